@@ -1 +1,123 @@
-"""placeholder"""
+"""Chart-aggregate queries (V1-V15) and their DuckDB oracles."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsense.operators import charts as C
+from tabsense.workload.base import register, rounded, table
+from tabsense.workload.profiling import _corr_sql
+
+Z = C.Z95
+
+
+@register("chart_histogram", """
+WITH s AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n,
+                  quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+l AS (SELECT lo, hi, CAST(greatest(1, ceil((hi - lo) /
+        CASE WHEN 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) > 0
+             THEN least(2.0 * (q3 - q1) * pow(n, -1.0 / 3.0), (hi - lo) / (log2(n) + 1.0))
+             ELSE (hi - lo) / (log2(n) + 1.0) END)) AS INTEGER) AS bins FROM s),
+b AS (SELECT least(bins - 1, CAST(floor((value - lo) / ((hi - lo) / bins)) AS INTEGER)) AS bin, lo, hi, bins
+      FROM events, l WHERE value IS NOT NULL)
+SELECT bin, round(lo + bin * ((hi - lo) / bins), 6) AS bin_lo, round(lo + (bin + 1) * ((hi - lo) / bins), 6) AS bin_hi,
+       CAST(count(*) AS BIGINT) AS count FROM b GROUP BY bin, lo, hi, bins""")
+def q_chart_histogram(spark, sf):
+    return rounded(C.histogram(table(spark, sf, "events"), "value"))
+
+
+@register("chart_bar_mean", f"""
+SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 6) AS mean,
+  round(avg(l_extendedprice) - {Z} * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 6) AS ci_lo,
+  round(avg(l_extendedprice) + {Z} * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 6) AS ci_hi,
+  CAST(count(l_extendedprice) AS BIGINT) AS n
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def q_chart_bar_mean(spark, sf):
+    return rounded(C.bar_mean(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice",
+                              "l_linestatus"))
+
+
+@register("chart_count", """
+SELECT o_orderpriority, o_orderstatus, CAST(count(*) AS BIGINT) AS count FROM orders
+GROUP BY o_orderpriority, o_orderstatus""")
+def q_chart_count(spark, sf):
+    return C.count_plot(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus")
+
+
+@register("chart_scatter_bins", """
+WITH s AS (SELECT min(l_quantity) AS xlo, max(l_quantity) AS xhi, min(l_extendedprice) AS ylo,
+                  max(l_extendedprice) AS yhi FROM lineitem),
+b AS (SELECT least(49, CAST(floor((l_quantity - xlo) / ((xhi - xlo) / 50)) AS INTEGER)) AS bx,
+             least(49, CAST(floor((l_extendedprice - ylo) / ((yhi - ylo) / 50)) AS INTEGER)) AS "by",
+             xlo, xhi, ylo, yhi FROM lineitem, s)
+SELECT bx, "by", round(xlo + (bx + 0.5) * ((xhi - xlo) / 50), 6) AS x_mid,
+       round(ylo + ("by" + 0.5) * ((yhi - ylo) / 50), 6) AS y_mid, CAST(count(*) AS BIGINT) AS count
+FROM b GROUP BY bx, "by", xlo, xhi, ylo, yhi""")
+def q_chart_scatter_bins(spark, sf):
+    return rounded(C.scatter_bins(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 50))
+
+
+@register("chart_line", f"""
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, round(avg(value), 6) AS mean,
+  round(avg(value) - {Z} * stddev_samp(value) / sqrt(count(value)), 6) AS ci_lo,
+  round(avg(value) + {Z} * stddev_samp(value) / sqrt(count(value)), 6) AS ci_hi,
+  CAST(count(value) AS BIGINT) AS n
+FROM events GROUP BY 1""")
+def q_chart_line(spark, sf):
+    return rounded(C.line_chart(table(spark, sf, "events"), "ts", "value", time_unit="day"))
+
+
+@register("chart_box", """
+WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1,
+                  quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3
+           FROM lineitem GROUP BY l_returnflag)
+SELECT q.l_returnflag, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  round(min(CASE WHEN l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN l_extendedprice END), 6) AS whisker_lo,
+  round(max(CASE WHEN l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN l_extendedprice END), 6) AS whisker_hi,
+  CAST(count_if(NOT (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS BIGINT) AS fliers,
+  CAST(count(*) AS BIGINT) AS n
+FROM lineitem JOIN q ON lineitem.l_returnflag = q.l_returnflag
+GROUP BY q.l_returnflag, q1, median, q3""")
+def q_chart_box(spark, sf):
+    return rounded(C.box_plot(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice"))
+
+
+@register("chart_pie_count", """
+SELECT c_nationkey, count, round(count / sum(count) OVER (), 6) AS share FROM (
+  SELECT c_nationkey, CAST(count(*) AS BIGINT) AS count FROM customer WHERE c_nationkey IS NOT NULL
+  GROUP BY c_nationkey ORDER BY count DESC, c_nationkey LIMIT 10)""")
+def q_chart_pie_count(spark, sf):
+    return rounded(C.pie_count(table(spark, sf, "customer"), "c_nationkey"))
+
+
+@register("chart_pie_sum", """
+SELECT l_suppkey, round(sum, 6) AS sum, round(sum / sum(sum) OVER (), 6) AS share FROM (
+  SELECT l_suppkey, sum(l_extendedprice) AS sum FROM lineitem WHERE l_suppkey IS NOT NULL
+  GROUP BY l_suppkey ORDER BY l_suppkey LIMIT 10)""")
+def q_chart_pie_sum(spark, sf):
+    return rounded(C.pie_sum(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice"))
+
+
+@register("chart_heatmap", _corr_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"]))
+def q_chart_heatmap(spark, sf):
+    return rounded(C.heatmap(table(spark, sf, "orders")))
+
+
+@register("chart_density")
+def q_chart_density(spark, sf):
+    return C.density(table(spark, sf, "events"), "value", "event_type")
+
+
+@register("chart_violin")
+def q_chart_violin(spark, sf):
+    return C.violin(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice")
+
+
+@register("chart_pairs")
+def q_chart_pairs(spark, sf):
+    return C.pair_plot(table(spark, sf, "lineitem"))
+
+
+@register("auto_charts")
+def q_auto_charts(spark, sf):
+    return C.auto_charts(table(spark, sf, "orders").select(
+        "o_totalprice", "o_custkey", "o_orderstatus", F.col("o_orderdate")))
