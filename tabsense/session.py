@@ -57,4 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never localCheckpoint."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist()              # computed once: the checkpoint write reads the cache
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
