@@ -9,7 +9,12 @@ equi-joined to the cells whose lower bound is within its search radius.
 
 * radius search: the radius is given (DBSCAN's eps);
 * k nearest: the radius is an upper bound on the k-th distance taken from the
-  cells alone (sort cells by ``d(q, p_c) + r_c``, accumulate sizes until k).
+  cells alone: the k-th smallest ``d(q, p_c) + d(x, p_c)`` over each cell's k
+  points nearest to its pivot.
+
+Points also carry a ring id (their pivot distance in bands of r_c / 32), so the
+join key is ``(cell, ring)`` and a query meets only the annulus
+``|d(q, p_c) - d(x, p_c)| <= radius`` of each candidate cell.
 
 Both are exact.  The top-k per query is a ``row_number() <= k`` filter, which
 Spark turns into a partial group limit before the shuffle.
@@ -21,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsense.session import cut_lineage
+
 SLACK = 1e-9
 
 
@@ -40,24 +47,49 @@ def vectorize(df: DataFrame, features: list[str] | str) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in features])
 
 
-def build_index(ref: DataFrame, n_pivots: int | None = None, seed: int = 7) -> tuple[DataFrame, Column, Column]:
-    """ref: (rid, vec).  Returns (assigned ref (rid, vec, cell, dcell), pivots
-    scalar column array<array<double>>, cells scalar column array<struct>)."""
+RINGS = 32
+
+
+def build_index(ref: DataFrame, n_pivots: int | None = None, seed: int = 7,
+                keep_k: int = 0) -> tuple[DataFrame, Column, Column]:
+    """ref: (rid, vec).  Returns (assigned ref (rid, vec, cell, dcell, ring),
+    pivots scalar column array<array<double>>, cells scalar column
+    array<struct<cell, n, r, w, kd>>).
+
+    ``ring`` = floor(dcell / w) with w = r / RINGS: a query at distance dq from the
+    pivot only meets points whose ring lies in [(dq - U) / w, (dq + U) / w].
+    ``kd`` holds the ``keep_k`` smallest pivot distances of the cell (for k-NN
+    bounds); it is filled by a ``row_number() <= k`` filter, never a full sort.
+    """
     n = ref.count()
     p = n_pivots or int(min(512, max(4, round(math.sqrt(max(n, 1)) / 2))))
     # Deterministic hash sample of about 4p candidates, then the p smallest hashes.
     h = F.xxhash64(F.col("rid"), F.lit(seed))
     frac = max(1, n // max(1, 4 * p))
     cand = ref.where(F.pmod(h, F.lit(frac)) == 0).select("vec", h.alias("_h"))
-    pivots = cand.orderBy("_h").limit(p).agg(F.collect_list("vec").alias("pv"))
-    pv = pivots.scalar()
-    with_d = ref.select("rid", "vec", pv.alias("_pv"))
+    pv = cand.orderBy("_h").limit(p).agg(F.collect_list("vec").alias("pv")).scalar()
     dists = F.transform("_pv", lambda q: dist(F.col("vec"), q))
     best = F.array_min(dists)
-    assigned = with_d.select("rid", "vec", (F.array_position(dists, best) - 1).cast("int").alias("cell"),
-                             best.alias("dcell"))
-    cells = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("r"))
-             .agg(F.array_sort(F.collect_list(F.struct("cell", "n", "r"))).alias("cs")))
+    assigned = ref.select("rid", "vec", pv.alias("_pv")).select(
+        "rid", "vec", (F.array_position(dists, best) - 1).cast("int").alias("cell"),
+        best.alias("dcell"))
+    stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("r"))
+    stats = stats.withColumn("w", F.when(F.col("r") > 0, F.col("r") / RINGS).otherwise(F.lit(1.0)))
+    if keep_k > 0:
+        wk = Window.partitionBy("cell").orderBy("dcell", "rid")
+        near = (assigned.select("cell", "dcell", "rid").withColumn("_k", F.row_number().over(wk))
+                .where(F.col("_k") <= keep_k).groupBy("cell")
+                .agg(F.array_sort(F.collect_list("dcell")).alias("kd")))
+        stats = stats.join(near, on="cell", how="left")
+    else:
+        stats = stats.withColumn("kd", F.array().cast("array<double>"))
+    # one row per cell (at most p rows): a bounded broadcast
+    assigned = assigned.join(F.broadcast(stats.select("cell", "w")), on="cell").select(
+        "rid", "vec", "cell", "dcell", F.floor(F.col("dcell") / F.col("w")).cast("bigint").alias("ring"))
+    # the index is materialised once in the shared checkpoint folder and reused
+    assigned = cut_lineage(assigned)
+    cells = cut_lineage(stats).agg(
+        F.array_sort(F.collect_list(F.struct("cell", "n", "r", "w", "kd"))).alias("cs"))
     return assigned, pv, cells.scalar()
 
 
@@ -66,14 +98,25 @@ def _query_pivot_dists(queries: DataFrame, pv: Column) -> DataFrame:
     return q.select("qid", "qvec", F.transform("_pv", lambda p: dist(F.col("qvec"), p)).alias("dq"))
 
 
+def _probe(q: DataFrame, assigned: DataFrame, lim: Column) -> DataFrame:
+    """Join each query to the (cell, ring) slots its search radius ``lim`` can reach."""
+    cand = F.filter("_cs", lambda c: F.col("dq")[c["cell"]] - c["r"] <= lim)
+    slots = F.flatten(F.transform(cand, lambda c: F.transform(
+        F.sequence(F.greatest(F.lit(0).cast("bigint"),
+                              F.floor((F.col("dq")[c["cell"]] - lim) / c["w"]).cast("bigint")),
+                   F.least(F.floor(c["r"] / c["w"]).cast("bigint"),
+                           F.floor((F.col("dq")[c["cell"]] + lim) / c["w"]).cast("bigint"))),
+        lambda g: F.struct(c["cell"].alias("cell"), g.alias("ring")))))
+    probes = q.select("*", F.explode(slots).alias("_s")).select("*", "_s.cell", "_s.ring").drop("_s")
+    return probes.join(assigned, on=["cell", "ring"])
+
+
 def range_pairs(queries: DataFrame, index: tuple, radius: float) -> DataFrame:
     """All (qid, rid, d) with d <= radius.  queries: (qid, vec)."""
     assigned, pv, cs = index
     q = _query_pivot_dists(queries, pv).withColumn("_cs", cs)
     lim = F.lit(float(radius) * (1 + SLACK) + SLACK)
-    cand = F.filter("_cs", lambda c: F.col("dq")[c["cell"]] - c["r"] <= lim)
-    probes = q.select("qid", "qvec", F.explode(F.transform(cand, lambda c: c["cell"])).alias("cell"))
-    j = probes.join(assigned, on="cell")
+    j = _probe(q, assigned, lim)
     return (j.select("qid", "rid", dist(F.col("qvec"), F.col("vec")).alias("d"))
             .where(F.col("d") <= F.lit(float(radius))))
 
@@ -84,27 +127,21 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
 
     queries: (qid, vec); ref: (rid, vec).  With ``exclude_self`` a reference point
     whose rid equals the qid is skipped (leave-one-out).  Distance ties are broken
-    by rid.
+    by rid.  The search radius U of a query is the k-th smallest of
+    d(q, p_c) + d(x, p_c) over the cells' nearest-to-pivot points, an upper bound
+    on the k-th neighbour distance by the triangle inequality.
     """
-    assigned, pv, cs = build_index(ref, n_pivots)
     need = k + (1 if exclude_self else 0)
+    assigned, pv, cs = build_index(ref, n_pivots, keep_k=need)
     q = _query_pivot_dists(queries, pv).withColumn("_cs", cs)
-    ub = F.transform("_cs", lambda c: F.struct((F.col("dq")[c["cell"]] + c["r"]).alias("ub"),
-                                               c["n"].alias("n")))
-    ub_sorted = F.array_sort(ub)
-    # running cell sizes in bound order: the first bound whose prefix reaches k
-    acc = F.aggregate(ub_sorted, F.struct(F.lit(0).cast("bigint").alias("s"),
-                                          F.lit(None).cast("double").alias("u")),
-                      lambda a, e: F.struct((a["s"] + e["n"]).alias("s"),
-                                            F.when(a["u"].isNull() & (a["s"] + e["n"] >= need), e["ub"])
-                                            .otherwise(a["u"]).alias("u")))
-    q = q.withColumn("_u", F.coalesce(acc["u"], F.lit(float("inf"))))
+    bounds = F.array_sort(F.flatten(F.transform(
+        "_cs", lambda c: F.transform(F.coalesce(c["kd"], F.array().cast("array<double>")),
+                                     lambda v: F.col("dq")[c["cell"]] + v))))
+    q = q.withColumn("_u", F.coalesce(F.element_at(bounds, need), F.lit(float("inf"))))
     lim = F.col("_u") * (1 + SLACK) + SLACK
-    cand = F.filter("_cs", lambda c: F.col("dq")[c["cell"]] - c["r"] <= lim)
-    probes = q.select("qid", "qvec", "_u", F.explode(F.transform(cand, lambda c: c["cell"])).alias("cell"))
-    j = probes.join(assigned, on="cell")
+    j = _probe(q, assigned, lim)
     d = dist(F.col("qvec"), F.col("vec"))
-    pairs = j.select("qid", "rid", d.alias("d"), "_u").where(F.col("d") <= F.col("_u") * (1 + SLACK) + SLACK)
+    pairs = j.select("qid", "rid", d.alias("d"), "_u").where(F.col("d") <= lim)
     if exclude_self:
         pairs = pairs.where(F.col("qid") != F.col("rid"))
     w = Window.partitionBy("qid").orderBy("d", "rid")
