@@ -9,4 +9,5 @@ from __future__ import annotations
 from tabsense.workload.base import QUERIES, SQL  # noqa: F401
 from tabsense.workload import (  # noqa: F401  (imports register the queries)
     profiling, outlier_q, chart_q, metric_q, prep_q, model_q, catalog_q, request_q, report_q,
+    source_q,
 )
