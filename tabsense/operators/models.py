@@ -242,7 +242,7 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
             if tuning:
                 best = est.copy({est.getParam(p.name): v for p, v in model.extractParamMap().items()
                                  if est.hasParam(p.name)})
-            cvm = CrossValidator(estimator=best, estimatorParamMaps=[{}], evaluator=ev,
+            cvm = CrossValidator(estimator=best, estimatorParamMaps=[{}], evaluator=ev, numFolds=cv_folds,
                                  foldCol="fold", parallelism=2).fit(folds)
             mrow["cv_mean_score"] = float(cvm.avgMetrics[0])
         except Exception:  # noqa: BLE001  (the reference ignores CV failures)
