@@ -31,13 +31,29 @@ from tabsense.session import cut_lineage
 SLACK = 1e-9
 
 
-def sq_dist(a: Column, b: Column) -> Column:
+def sq_dist(a: Column, b: Column, dim: int | None = None) -> Column:
+    """Squared Euclidean distance of two array<double> columns.  ``dim`` unrolls the
+    sum for short vectors only: a long unrolled sum makes a generated method too
+    large for the JIT and is slower than the higher-order ``aggregate``."""
+    if dim:
+        terms = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dim)]
+        out = terms[0]
+        for t in terms[1:]:
+            out = out + t
+        return out
     return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0),
                        lambda acc, x: acc + x)
 
 
-def dist(a: Column, b: Column) -> Column:
-    return F.sqrt(sq_dist(a, b))
+def dist(a: Column, b: Column, dim: int | None = None) -> Column:
+    return F.sqrt(sq_dist(a, b, dim))
+
+
+def vector_dim(df: DataFrame, col: str = "vec") -> int | None:
+    """Length of the vectors (one row read); unrolling is skipped above 256."""
+    r = df.select(F.size(col).alias("d")).where("d > 0").limit(1).collect()
+    d = int(r[0]["d"]) if r else None
+    return d if d and d <= 256 else None
 
 
 def vectorize(df: DataFrame, features: list[str] | str) -> Column:

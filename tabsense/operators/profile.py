@@ -201,7 +201,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     vx = n * F.col("sxx") - sx * sx
     vy = n * F.col("syy") - sy * sy
     r = F.when((n >= 2) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    r = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))   # least/greatest skip NULL
     names = F.array(*[F.lit(c) for c in cols])
     return sums.select(F.col("i").alias("ord_a"), F.col("j").alias("ord_b"),
                        names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"),
