@@ -137,8 +137,52 @@ def range_pairs(queries: DataFrame, index: tuple, radius: float) -> DataFrame:
             .where(F.col("d") <= F.lit(float(radius))))
 
 
+BLOCK = 2048
+PAIR_SCHEMA = "qid long, rid long, d double"
+
+
+def _block_topk(k: int):
+    """Per cogrouped block: exact distances with numpy, each query's k best
+    (distance, then rid) within its search radius."""
+    import numpy as np
+    import pandas as pd
+
+    def run(_key, qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or rpdf.empty:
+            return pd.DataFrame({"qid": [], "rid": [], "d": []})
+        qv = np.stack(qpdf["qvec"].to_numpy()).astype("float64")
+        rv = np.stack(rpdf["vec"].to_numpy()).astype("float64")
+        # exact differences (not |q|^2 + |r|^2 - 2 q.r), in query chunks of ~32 MB
+        step = max(1, (1 << 22) // max(1, rv.shape[0] * rv.shape[1]))
+        d = np.empty((qv.shape[0], rv.shape[0]))
+        for s0 in range(0, qv.shape[0], step):
+            diff = qv[s0:s0 + step, None, :] - rv[None, :, :]
+            d[s0:s0 + step] = np.sqrt(np.einsum("qrd,qrd->qr", diff, diff))
+        rid = rpdf["rid"].to_numpy()
+        lim = qpdf["_lim"].to_numpy()[:, None]
+        d = np.where(d <= lim, d, np.inf)
+        kk = min(k, d.shape[1])
+        part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else \
+            np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
+        rows_q, rows_r, rows_d = [], [], []
+        qids = qpdf["qid"].to_numpy()
+        for i in range(d.shape[0]):
+            cand = part[i]
+            # ties at the k-th distance: keep every candidate with that distance
+            kth = d[i, cand].max()
+            sel = np.where(d[i] <= kth)[0] if np.isfinite(kth) else cand[np.isfinite(d[i, cand])]
+            sel = sel[np.isfinite(d[i, sel])]
+            rows_q.append(np.full(len(sel), qids[i]))
+            rows_r.append(rid[sel])
+            rows_d.append(d[i, sel])
+        return pd.DataFrame({"qid": np.concatenate(rows_q).astype("int64"),
+                             "rid": np.concatenate(rows_r).astype("int64"),
+                             "d": np.concatenate(rows_d)})
+    return run
+
+
 def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = False,
-        n_pivots: int | None = None) -> DataFrame:
+        n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """Exact k nearest reference points per query: (qid, rid, d, rank).
 
     queries: (qid, vec); ref: (rid, vec).  With ``exclude_self`` a reference point
@@ -146,6 +190,12 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
     by rid.  The search radius U of a query is the k-th smallest of
     d(q, p_c) + d(x, p_c) over the cells' nearest-to-pivot points, an upper bound
     on the k-th neighbour distance by the triangle inequality.
+
+    Queries and reference points meet per ``(cell, ring)`` slot in a cogrouped
+    ``applyInPandas``: distances are numpy blocks and each block emits only each
+    query's best candidates.  A slot with more than ``block`` points on either
+    side is split into sub-blocks (reference rows by hash, queries replicated to
+    each sub-block and vice versa), so no task holds more than a block per side.
     """
     need = k + (1 if exclude_self else 0)
     assigned, pv, cs = build_index(ref, n_pivots, keep_k=need)
@@ -155,9 +205,34 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
                                      lambda v: F.col("dq")[c["cell"]] + v))))
     q = q.withColumn("_u", F.coalesce(F.element_at(bounds, need), F.lit(float("inf"))))
     lim = F.col("_u") * (1 + SLACK) + SLACK
-    j = _probe(q, assigned, lim)
-    d = dist(F.col("qvec"), F.col("vec"))
-    pairs = j.select("qid", "rid", d.alias("d"), "_u").where(F.col("d") <= lim)
+    cand = F.filter("_cs", lambda c: F.col("dq")[c["cell"]] - c["r"] <= lim)
+    slots = F.flatten(F.transform(cand, lambda c: F.transform(
+        F.sequence(F.greatest(F.lit(0).cast("bigint"),
+                              F.floor((F.col("dq")[c["cell"]] - lim) / c["w"]).cast("bigint")),
+                   F.least(F.floor(c["r"] / c["w"]).cast("bigint"),
+                           F.floor((F.col("dq")[c["cell"]] + lim) / c["w"]).cast("bigint"))),
+        lambda g: F.struct(c["cell"].alias("cell"), g.alias("ring")))))
+    probes = (q.select("qid", "qvec", lim.alias("_lim"), F.explode(slots).alias("_s"))
+              .select("qid", "qvec", "_lim", "_s.cell", "_s.ring"))
+    probes = cut_lineage(probes)
+    # sub-block counts per slot (one row per slot: bounded by cells x rings)
+    rsz = assigned.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("nr"))
+    qsz = probes.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("nq"))
+    sub = (rsz.join(qsz, on=["cell", "ring"])
+           .select("cell", "ring", F.ceil(F.col("nr") / block).cast("int").alias("rs"),
+                   F.ceil(F.col("nq") / block).cast("int").alias("qs")))
+    sub = F.broadcast(sub)
+    r_side = (assigned.join(sub, on=["cell", "ring"])
+              .withColumn("_rb", F.pmod(F.xxhash64("rid"), F.col("rs")).cast("int"))
+              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+              .select("cell", "ring", "_rb", "_qb", "rid", "vec"))
+    q_side = (probes.join(sub, on=["cell", "ring"])
+              .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int"))
+              .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
+              .select("cell", "ring", "_rb", "_qb", "qid", "qvec", "_lim"))
+    keys = ["cell", "ring", "_rb", "_qb"]
+    pairs = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
+        _block_topk(need), PAIR_SCHEMA)
     if exclude_self:
         pairs = pairs.where(F.col("qid") != F.col("rid"))
     w = Window.partitionBy("qid").orderBy("d", "rid")
