@@ -1,9 +1,10 @@
 """Running totals over a sorted key without a single-partition window.
 
 A window ``ORDER BY`` without ``PARTITION BY`` moves every row to one task.
-``exclusive_prefix`` range-partitions instead (sampled bounds, so even one huge
-group is split over many tasks), sums inside each range partition, and adds the
-totals of the partitions before it (a frame of #groups x #partitions rows).
+``exclusive_prefix`` splits each group into deterministic range buckets
+(``functions/buckets.py``), sums inside each bucket with a window partitioned by
+``(group, bucket)``, and adds the totals of the group's earlier buckets (a frame
+of at most groups x buckets rows).
 """
 from __future__ import annotations
 
@@ -12,21 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsense.functions.buckets import (BUCKET, group_bounds, ranged_offsets,
+                                        shuffle_partitions, with_buckets)
+
 
 def exclusive_prefix(df: DataFrame, keys: Sequence[str], order: str, value: str,
                      out: str, partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``keys`` group whose
     ``order`` is strictly smaller.  ``order`` must be unique within a group."""
     keys = list(keys)
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = (df.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(order))
-              .withColumn("_pid", F.spark_partition_id()))
-    before = Window.partitionBy(*keys, "_pid").orderBy(order).rowsBetween(
+    parts = partitions or shuffle_partitions(df)
+    bounds, small = group_bounds(df, keys, order, parts)
+    b = with_buckets(df, keys, order, bounds, small, parts)
+    before = Window.partitionBy(*keys, BUCKET).orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("_loc", F.coalesce(F.sum(value).over(before), F.lit(0)))
-    totals = ranged.groupBy(*keys, "_pid").agg(F.sum(value).alias("_pt"))
-    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_pid",
-                            F.coalesce(F.sum("_pt").over(earlier), F.lit(0)).alias("_off"))
-    return (ranged.join(offsets, on=[*keys, "_pid"])
-            .withColumn(out, F.col("_off") + F.col("_loc")).drop("_pid", "_loc", "_off"))
+    local = b.withColumn("_loc", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    offsets = ranged_offsets(b, keys, value, small).drop("_n")
+    return (local.join(offsets, on=[*keys, BUCKET])
+            .withColumn(out, F.col("_off") + F.col("_loc")).drop(BUCKET, "_loc", "_off"))

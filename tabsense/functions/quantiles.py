@@ -6,10 +6,11 @@ column in a single task.  ``exact_quantiles`` instead:
 
 1. counts rows per distinct ``(keys, value)`` (map-side combine, so a value that
    holds a third of the rows becomes one row),
-2. range-partitions those distinct values by ``(keys, value)`` (sampled bounds,
-   so a high-cardinality group is split over many tasks),
-3. takes a running count inside each range partition and adds the total of the
-   partitions before it (a frame of #groups x #partitions rows),
+2. splits every group into deterministic range buckets (approximate quantile
+   bounds, checkpointed once: ``functions/buckets.py``), so a high-cardinality
+   group is spread over many tasks,
+3. takes a running count inside each ``(group, bucket)`` and adds the total of the
+   group's earlier buckets (a frame of at most groups x buckets rows),
 4. keeps only the distinct values whose rank interval covers a wanted rank and
    interpolates linearly between the two neighbours (pandas / ``quantile_cont``).
 """
@@ -20,9 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+from tabsense.functions.buckets import (BUCKET, group_bounds, ranged_offsets,
+                                        shuffle_partitions, with_buckets)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -35,27 +35,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     keys = list(keys)
-    parts = partitions or _shuffle_partitions(df)
+    parts = partitions or shuffle_partitions(df)
     v = F.col(value)
 
-    counts = (df.where(v.isNotNull())
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt")))
-    ranged = (counts.repartitionByRange(parts, *[F.col(k) for k in keys], v)
-              .withColumn("_pid", F.spark_partition_id()))
-    in_part = Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(
+    present = df.where(v.isNotNull())
+    bounds, small = group_bounds(present, keys, value, parts)
+    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = with_buckets(counts, keys, value, bounds, small, parts)
+    in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ranged = ranged.withColumn("_local", F.sum("_cnt").over(in_part))
-
-    totals = ranged.groupBy(*keys, "_pid").agg(F.sum("_cnt").alias("_ptot"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = totals.select(
-        *keys, "_pid",
-        F.coalesce(F.sum("_ptot").over(before), F.lit(0)).alias("_off"),
-        F.sum("_ptot").over(whole).alias("_n"))
+    local = counts.withColumn("_local", F.sum("_cnt").over(in_bucket))
+    offsets = ranged_offsets(counts, keys, "_cnt", small)
+    ranked = local.join(offsets, on=[*keys, BUCKET])
 
-    ranked = ranged.join(offsets, on=[*keys, "_pid"])
     hi = F.col("_off") + F.col("_local")          # exclusive end rank (0-based)
     lo = hi - F.col("_cnt")                        # first rank held by this value
     pos = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
