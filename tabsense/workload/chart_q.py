@@ -102,22 +102,101 @@ def q_chart_heatmap(spark, sf):
     return rounded(C.heatmap(table(spark, sf, "orders")))
 
 
-@register("chart_density")
+def _density_sql(src: str, value: str, group: str, grid: int, fine_bins: int = 2048,
+                 cut: float = 3.0) -> str:
+    """Gaussian KDE on a grid from fine-bin centres, the same arithmetic as V11."""
+    v = f"CAST({value} AS DOUBLE)"
+    z = f"((glo + point * step - c) / h)"
+    return f"""
+WITH base AS (SELECT {group}, {v} AS v FROM {src} WHERE {value} IS NOT NULL AND NOT isnan({v})),
+st AS (SELECT {group}, min(v) AS lo, max(v) AS hi, count(*) AS n,
+              stddev_samp(v) * pow(count(*), -0.2) AS h FROM base GROUP BY {group}),
+s2 AS (SELECT *, lo - {cut} * h AS glo, hi + {cut} * h AS ghi FROM st WHERE h > 0),
+fb AS (SELECT base.{group} AS {group},
+              least({fine_bins - 1}, CAST(floor((v - lo) / ((hi - lo) / {fine_bins})) AS INTEGER)) AS b,
+              count(*) AS w, avg(v) AS c
+       FROM base JOIN s2 ON base.{group} = s2.{group} GROUP BY 1, 2),
+pts AS (SELECT fb.{group} AS {group}, w, c, h, n, glo, (ghi - glo) / {grid - 1} AS step,
+               CAST(p.point AS INTEGER) AS point
+        FROM fb JOIN s2 ON fb.{group} = s2.{group} CROSS JOIN range(0, {grid}) p(point))
+SELECT {group}, point, round(glo + point * step, 6) AS x,
+       round(sum(w * exp(-0.5 * {z} * {z}) / (n * h * sqrt(2 * pi()))), 6) AS density
+FROM pts GROUP BY {group}, point, glo, step"""
+
+
+@register("chart_density", _density_sql("events", "value", "event_type", 200))
 def q_chart_density(spark, sf):
-    return C.density(table(spark, sf, "events"), "value", "event_type")
+    return rounded(C.density(table(spark, sf, "events"), "value", "event_type"))
 
 
-@register("chart_violin")
+@register("chart_violin", f"""
+SELECT l_returnflag, 'density' AS part, CAST(point AS DOUBLE) AS k, x AS at, density AS value
+FROM ({_density_sql("lineitem", "l_extendedprice", "l_returnflag", 100)}) d
+UNION ALL
+SELECT l_returnflag, 'box' AS part, CAST(NULL AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS at,
+       round(quantile_cont(l_extendedprice, 0.5), 6) AS value
+FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag""")
 def q_chart_violin(spark, sf):
-    return C.violin(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice")
+    return rounded(C.violin(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice"))
 
 
-@register("chart_pairs")
+def _pairs_sql(src: str, cols: list[str], bins: int = 20) -> str:
+    """2-D bins of every pair (a <= b) and 1-D bins on the diagonal, as V12."""
+    stats = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo{i}, max(CAST({c} AS DOUBLE)) AS hi{i}"
+                      for i, c in enumerate(cols))
+
+    def idx(c: str, i: int) -> str:
+        hi = f"(CASE WHEN hi{i} > lo{i} THEN hi{i} ELSE lo{i} + 1.0 END)"
+        return (f"least({bins - 1}, CAST(floor((CAST({c} AS DOUBLE) - lo{i}) / "
+                f"(({hi} - lo{i}) / {bins})) AS INTEGER))")
+
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if j < i:
+                continue
+            by = idx(b, j) if j != i else "0"
+            parts.append(f"""SELECT '{a}' AS col_a, '{b}' AS col_b, bx, "by", CAST(count(*) AS BIGINT) AS count
+FROM (SELECT {idx(a, i)} AS bx, {by} AS "by" FROM {src}, s) t
+WHERE bx IS NOT NULL AND "by" IS NOT NULL GROUP BY bx, "by\"""")
+    return f"WITH s AS (SELECT {stats} FROM {src})\n" + "\nUNION ALL\n".join(parts)
+
+
+PAIR_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+
+
+@register("chart_pairs", _pairs_sql("lineitem", PAIR_COLS))
 def q_chart_pairs(spark, sf):
     return C.pair_plot(table(spark, sf, "lineitem"))
 
 
-@register("auto_charts")
+def _hist_sql(src: str, col: str) -> str:
+    """V1 bins (numpy 'auto' width) and counts of one column."""
+    v = f"CAST({col} AS DOUBLE)"
+    return f"""
+WITH s AS (SELECT min({v}) AS lo, max({v}) AS hi, count({v}) AS n,
+                  quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.75) AS q3 FROM {src}),
+l AS (SELECT lo, hi, CAST(greatest(1, ceil((hi - lo) /
+        CASE WHEN 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) > 0
+             THEN least(2.0 * (q3 - q1) * pow(n, -1.0 / 3.0), (hi - lo) / (log2(n) + 1.0))
+             ELSE (hi - lo) / (log2(n) + 1.0) END)) AS INTEGER) AS bins FROM s),
+b AS (SELECT least(bins - 1, CAST(floor(({v} - lo) / ((hi - lo) / bins)) AS INTEGER)) AS bin
+      FROM {src}, l WHERE {col} IS NOT NULL)
+SELECT bin, CAST(count(*) AS BIGINT) AS count FROM b GROUP BY bin"""
+
+
+AUTO_NUM = ["o_totalprice", "o_custkey"]
+
+
+@register("auto_charts", f"""
+SELECT 0 AS chart, 'heatmap' AS chart_type, col_a AS x, col_b AS key, r AS value
+FROM ({_corr_sql("orders", AUTO_NUM)}) c
+UNION ALL
+SELECT 1, 'histogram', 'o_totalprice', CAST(bin AS VARCHAR), CAST(count AS DOUBLE)
+FROM ({_hist_sql("orders", "o_totalprice")}) h1
+UNION ALL
+SELECT 2, 'histogram', 'o_custkey', CAST(bin AS VARCHAR), CAST(count AS DOUBLE)
+FROM ({_hist_sql("orders", "o_custkey")}) h2""")
 def q_auto_charts(spark, sf):
-    return C.auto_charts(table(spark, sf, "orders").select(
-        "o_totalprice", "o_custkey", "o_orderstatus", F.col("o_orderdate")))
+    return rounded(C.auto_charts(table(spark, sf, "orders").select(
+        "o_totalprice", "o_custkey", "o_orderstatus", F.col("o_orderdate"))))
