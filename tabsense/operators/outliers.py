@@ -31,22 +31,31 @@ def _check_numeric(df: DataFrame, cols: Sequence[str]) -> None:
             raise ValueError(f"{c} is not numeric")
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    long = long_numeric(df, cols)
-    qs = quantiles(long, ["ord", "column"], "value", (0.25, 0.75), ("q1", "q3"), approx=approx)
+def fences(qs: DataFrame) -> DataFrame:
+    """Tukey fences from a frame of ``ord, column, q1, q3``."""
     iqr = F.col("q3") - F.col("q1")
     return qs.select("ord", "column", "q1", "q3",
                      (F.col("q1") - 1.5 * iqr).alias("lower_bound"),
                      (F.col("q3") + 1.5 * iqr).alias("upper_bound"))
 
 
+def iqr_bounds(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+    long = long_numeric(df, cols)
+    qs = quantiles(long, ["ord", "column"], "value", (0.25, 0.75), ("q1", "q3"), approx=approx)
+    return fences(qs)
+
+
 def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None,
-                 approx: bool = False) -> DataFrame:
-    """O1: Tukey fences and strict outlier counts per numeric column."""
+                 approx: bool = False, bounds: DataFrame | None = None) -> DataFrame:
+    """O1: Tukey fences and strict outlier counts per numeric column.
+
+    ``bounds`` (``ord, lower_bound, upper_bound`` for the same ``cols``) lets a
+    caller that already has the quartiles (the report's numeric summary) skip a
+    second quantile job."""
     cols = list(cols) if cols is not None else K.numeric_columns(df)
     _check_numeric(df, cols)
     names = F.array(*[F.lit(c) for c in cols])
-    bounds = iqr_bounds(df, cols, approx)
+    bounds = bounds if bounds is not None else iqr_bounds(df, cols, approx)
     long = long_numeric(df, cols)
     flagged = long.join(F.broadcast(bounds.select("ord", "lower_bound", "upper_bound")),
                         on="ord", how="left")

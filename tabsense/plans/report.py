@@ -55,8 +55,13 @@ def report_tables(df: DataFrame, models: DataFrame | None = None, dataset_id: st
     parts.append(_stacked(mv.where(F.col("ord") < max_columns), 2, ["missing_count", "missing_pct"], "dtype"))
     num = K.numeric_columns(df)[:max_numeric]
     if num:
-        parts.append(_stacked(P.numeric_summary(df, num), 3, ["mean", "std", "min", "p50", "max"]))
-        out = O.outliers_iqr(df, K.numeric_columns(df)).where("outlier_count > 0")
+        summary = P.numeric_summary(df, num)
+        parts.append(_stacked(summary, 3, ["mean", "std", "min", "p50", "max"]))
+        all_num = K.numeric_columns(df)
+        # the summary already holds the quartiles of these columns: one quantile job, not two
+        shared = O.fences(summary.select("ord", "column", F.col("p25").alias("q1"),
+                                         F.col("p75").alias("q3"))) if all_num == num else None
+        out = O.outliers_iqr(df, all_num, bounds=shared).where("outlier_count > 0")
         out = out.orderBy("ord").limit(max_outliers)
         parts.append(_stacked(out, 4, ["outlier_count", "outlier_pct", "lower_bound", "upper_bound"]))
     if with_charts:
