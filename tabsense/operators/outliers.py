@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabsense.functions import kinds as K
 from tabsense.functions.quantiles import quantiles
-from tabsense.operators.profile import long_numeric
+from tabsense.operators.profile import column_name, long_numeric
 
 
 def normalise_method(method: str | None) -> str:
@@ -40,9 +40,9 @@ def fences(qs: DataFrame) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    long = long_numeric(df, cols)
-    qs = quantiles(long, ["ord", "column"], "value", (0.25, 0.75), ("q1", "q3"), approx=approx)
-    return fences(qs)
+    long = long_numeric(df, cols).drop("column")
+    qs = quantiles(long, ["ord"], "value", (0.25, 0.75), ("q1", "q3"), approx=approx)
+    return fences(qs.withColumn("column", column_name(cols)))
 
 
 def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None,

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,18 +96,25 @@ def long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.explode(F.array(*named)).alias("_r")).select("_r.*")
 
 
+def column_name(cols: Sequence[str], ord_col: str = "ord") -> Column:
+    """The column name for an ordinal produced by ``long_numeric``."""
+    return F.array(*[F.lit(c) for c in cols])[F.col(ord_col)]
+
+
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
                     approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, quartiles, max per numeric column."""
     cols = _cols(df, cols, K.numeric_columns(df))
-    long = long_numeric(df, cols)
-    base = long.groupBy("ord", "column").agg(
+    # group by the int ordinal only; the names come back from a literal array
+    long = long_numeric(df, cols).drop("column")
+    base = long.groupBy("ord").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    qs = quantiles(long, ["ord", "column"], "value", QUARTILES, QUARTILE_NAMES, approx=approx)
-    out = base.join(qs.drop("_n"), on=["ord", "column"], how="left")
-    return out.select("ord", "column", F.col("count").cast("bigint").alias("count"),
+    qs = quantiles(long, ["ord"], "value", QUARTILES, QUARTILE_NAMES, approx=approx)
+    out = base.join(qs.drop("_n"), on=["ord"], how="left")
+    return out.select("ord", column_name(cols).alias("column"),
+                      F.col("count").cast("bigint").alias("count"),
                       "mean", "std", "min", *QUARTILE_NAMES, "max")
 
 
