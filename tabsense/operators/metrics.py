@@ -156,15 +156,25 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def silhouette(df: DataFrame, features: Sequence[str] | str, cluster: str) -> DataFrame:
+def silhouette(df: DataFrame, features: Sequence[str] | str, cluster: str,
+               max_unrolled: int = 4096) -> DataFrame:
     """Mean silhouette with squared Euclidean distance (one row).
 
     sum_{y in C} |x - y|^2 = |C| |x|^2 - 2 x . S_C + Q_C, so each point needs only
     the per-cluster count, vector sum S_C and square sum Q_C: one small aggregate
-    (one row per cluster) read as a scalar subquery, no pairs of points.
+    (one row per cluster), no pairs of points.
     A singleton cluster scores 0; the result is -1 unless 1 < clusters < rows.
     ``features``: list of numeric columns, or the name of an array<double> column.
+
+    With a list of columns and at most ``max_unrolled`` cluster statistics, the
+    cluster table is read once and every distance is a plain (code-generated)
+    expression over literals; otherwise the table is a scalar subquery walked with
+    higher-order functions.
     """
+    if not isinstance(features, str):
+        out = _silhouette_unrolled(df, list(features), cluster, max_unrolled)
+        if out is not None:
+            return out
     if isinstance(features, str):
         vec = K.col(features).cast("array<double>")
     else:
@@ -196,6 +206,48 @@ def silhouette(df: DataFrame, features: Sequence[str] | str, cluster: str) -> Da
                       .otherwise(F.lit(-1.0)).alias("silhouette_score"))
 
 
+def _silhouette_unrolled(df: DataFrame, features: list[str], cluster: str,
+                         max_unrolled: int) -> DataFrame | None:
+    """The silhouette of ``silhouette`` with the cluster table inlined as literals;
+    None when the table has more than ``max_unrolled`` entries."""
+    d = len(features)
+    xs = [K.col(c).cast("double") for c in features]
+    pts = df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)],
+                    K.col(cluster).cast("string").alias("c")).where(F.col("c").isNotNull())
+    x = [F.col(f"_x{i}") for i in range(d)]
+    sq = x[0] * x[0]
+    for xi in x[1:]:
+        sq = sq + xi * xi
+    pts = pts.withColumn("sq", sq)
+    stats = pts.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("sq").alias("q"),
+                                 *[F.sum(f"_x{i}").alias(f"s{i}") for i in range(d)])
+    cap = max(1, max_unrolled // (d + 3))
+    rows = stats.limit(cap + 1).collect()
+    if len(rows) > cap:
+        return None
+    own_n, own_a, others = None, None, []
+    for r in rows:
+        dot = x[0] * F.lit(r["s0"])
+        for i in range(1, d):
+            dot = dot + x[i] * F.lit(r[f"s{i}"])
+        t = F.lit(r["n"]) * F.col("sq") - 2 * dot + F.lit(r["q"])
+        mine = F.col("c") == F.lit(r["c"])
+        own_n = (own_n if own_n is not None else F).when(mine, F.lit(r["n"]))
+        a_j = F.when(F.lit(r["n"]) > 1, t / (r["n"] - 1)) if r["n"] > 1 else F.lit(None).cast("double")
+        own_a = (own_a if own_a is not None else F).when(mine, a_j)
+        others.append(F.when(~mine, t / r["n"]))
+    k = len(rows)
+    if k == 0:
+        return df.sparkSession.createDataFrame([(-1.0,)], "silhouette_score double")
+    a = own_a
+    b = F.least(*others) if len(others) > 1 else others[0]
+    s = F.when(own_n <= 1, F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    res = pts.agg(F.avg(s).alias("s"), F.count(F.lit(1)).alias("n"))
+    return res.select(F.when((F.lit(k) > 1) & (F.lit(k) < F.col("n")), F.col("s"))
+                      .otherwise(F.lit(-1.0)).alias("silhouette_score"))
+
+
 def silhouette_spark(df: DataFrame, features_col: str, prediction_col: str) -> DataFrame:
     """MLlib's own silhouette (squared Euclidean) on a vector column, as one row."""
     from pyspark.ml.evaluation import ClusteringEvaluator
