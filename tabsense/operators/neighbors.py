@@ -66,52 +66,96 @@ def vectorize(df: DataFrame, features: list[str] | str) -> Column:
 RINGS = 32
 
 
+def _pivot_distances(pivots, vec_col: str = "vec"):
+    """Arrow-batch numpy distances of every vector to every pivot, in row chunks
+    of bounded size (rows x pivots x dim <= 4M doubles)."""
+    import numpy as np
+
+    piv = np.asarray(pivots, dtype="float64")
+    if piv.ndim != 2 or piv.shape[0] == 0:
+        return lambda vecs: np.zeros((len(vecs), 0))
+    step = max(1, (1 << 22) // max(1, piv.shape[0] * piv.shape[1]))
+
+    def dists(vecs) -> "np.ndarray":
+        v = np.stack(vecs).astype("float64") if len(vecs) else np.zeros((0, piv.shape[1]))
+        out = np.empty((v.shape[0], piv.shape[0]))
+        for s0 in range(0, v.shape[0], step):
+            diff = v[s0:s0 + step, None, :] - piv[None, :, :]
+            out[s0:s0 + step] = np.sqrt(np.einsum("rpd,rpd->rp", diff, diff))
+        return out
+    return dists
+
+
 def build_index(ref: DataFrame, n_pivots: int | None = None, seed: int = 7,
-                keep_k: int = 0) -> tuple[DataFrame, Column, Column]:
+                keep_k: int = 0) -> tuple[DataFrame, list, Column]:
     """ref: (rid, vec).  Returns (assigned ref (rid, vec, cell, dcell, ring),
-    pivots scalar column array<array<double>>, cells scalar column
+    pivots (a list of at most 512 vectors), cells scalar column
     array<struct<cell, n, r, w, kd>>).
 
     ``ring`` = floor(dcell / w) with w = r / RINGS: a query at distance dq from the
     pivot only meets points whose ring lies in [(dq - U) / w, (dq + U) / w].
     ``kd`` holds the ``keep_k`` smallest pivot distances of the cell (for k-NN
     bounds); it is filled by a ``row_number() <= k`` filter, never a full sort.
+    Pivot distances are numpy blocks inside ``mapInPandas`` tasks; the pivots
+    themselves are a bounded hash sample brought to the driver once.
     """
+    import numpy as np
+    import pandas as pd
+
+    ref = ref.where(F.col("vec").isNotNull())
     n = ref.count()
     p = n_pivots or int(min(512, max(4, round(math.sqrt(max(n, 1)) / 2))))
     # Deterministic hash sample of about 4p candidates, then the p smallest hashes.
     h = F.xxhash64(F.col("rid"), F.lit(seed))
     frac = max(1, n // max(1, 4 * p))
     cand = ref.where(F.pmod(h, F.lit(frac)) == 0).select("vec", h.alias("_h"))
-    pv = cand.orderBy("_h").limit(p).agg(F.collect_list("vec").alias("pv")).scalar()
-    dists = F.transform("_pv", lambda q: dist(F.col("vec"), q))
-    best = F.array_min(dists)
-    assigned = ref.select("rid", "vec", pv.alias("_pv")).select(
-        "rid", "vec", (F.array_position(dists, best) - 1).cast("int").alias("cell"),
-        best.alias("dcell"))
-    stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("r"))
+    pivots = [list(r["vec"]) for r in cand.orderBy("_h", "vec").limit(p).collect()]
+    dists = _pivot_distances(pivots)
+
+    def assign(it):
+        for pdf in it:
+            d = dists(pdf["vec"].to_numpy())
+            if d.shape[1] == 0:          # no pivots: one cell
+                cell, dcell = np.zeros(d.shape[0], "int32"), np.zeros(d.shape[0])
+            else:
+                cell = d.argmin(axis=1).astype("int32")
+                dcell = d[np.arange(d.shape[0]), cell]
+            yield pd.DataFrame({"rid": pdf["rid"], "vec": pdf["vec"], "cell": cell, "dcell": dcell})
+
+    base = cut_lineage(ref.select("rid", F.col("vec").cast("array<double>").alias("vec"))
+                       .mapInPandas(assign, "rid long, vec array<double>, cell int, dcell double"))
+    stats = base.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("r"))
     stats = stats.withColumn("w", F.when(F.col("r") > 0, F.col("r") / RINGS).otherwise(F.lit(1.0)))
     if keep_k > 0:
         wk = Window.partitionBy("cell").orderBy("dcell", "rid")
-        near = (assigned.select("cell", "dcell", "rid").withColumn("_k", F.row_number().over(wk))
+        near = (base.select("cell", "dcell", "rid").withColumn("_k", F.row_number().over(wk))
                 .where(F.col("_k") <= keep_k).groupBy("cell")
                 .agg(F.array_sort(F.collect_list("dcell")).alias("kd")))
         stats = stats.join(near, on="cell", how="left")
     else:
         stats = stats.withColumn("kd", F.array().cast("array<double>"))
+    stats = cut_lineage(stats)
     # one row per cell (at most p rows): a bounded broadcast
-    assigned = assigned.join(F.broadcast(stats.select("cell", "w")), on="cell").select(
+    assigned = base.join(F.broadcast(stats.select("cell", "w")), on="cell").select(
         "rid", "vec", "cell", "dcell", F.floor(F.col("dcell") / F.col("w")).cast("bigint").alias("ring"))
-    # the index is materialised once in the shared checkpoint folder and reused
-    assigned = cut_lineage(assigned)
-    cells = cut_lineage(stats).agg(
-        F.array_sort(F.collect_list(F.struct("cell", "n", "r", "w", "kd"))).alias("cs"))
-    return assigned, pv, cells.scalar()
+    cells = stats.agg(F.array_sort(F.collect_list(F.struct("cell", "n", "r", "w", "kd"))).alias("cs"))
+    return assigned, pivots, cells.scalar()
+
+
+def _query_pivot_dists(queries: DataFrame, pivots: list) -> DataFrame:
+    """(qid, qvec, dq): the distance of every query to every pivot."""
+    import pandas as pd
+
+    dists = _pivot_distances(pivots)
 
+    def run(it):
+        for pdf in it:
+            d = dists(pdf["vec"].to_numpy())
+            yield pd.DataFrame({"qid": pdf["qid"], "qvec": pdf["vec"], "dq": list(d)})
 
-def _query_pivot_dists(queries: DataFrame, pv: Column) -> DataFrame:
-    q = queries.select("qid", F.col("vec").alias("qvec"), pv.alias("_pv"))
-    return q.select("qid", "qvec", F.transform("_pv", lambda p: dist(F.col("qvec"), p)).alias("dq"))
+    return (queries.where(F.col("vec").isNotNull())
+            .select("qid", F.col("vec").cast("array<double>").alias("vec"))
+            .mapInPandas(run, "qid long, qvec array<double>, dq array<double>"))
 
 
 def _probe(q: DataFrame, assigned: DataFrame, lim: Column) -> DataFrame:
@@ -142,39 +186,49 @@ PAIR_SCHEMA = "qid long, rid long, d double"
 
 
 def _block_topk(k: int):
-    """Per cogrouped block: exact distances with numpy, each query's k best
-    (distance, then rid) within its search radius."""
+    """Per cogrouped (cell, sub-block) pair: each query's k best reference points
+    (distance, then rid) within its search radius.  Reference points are sorted by
+    ring, so every query binary-searches its annulus ``[rlo, rhi]`` and computes
+    exact distances (numpy differences, not |q|^2 + |r|^2 - 2 q.r) only there."""
     import numpy as np
     import pandas as pd
 
     def run(_key, qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
+                              "d": pd.Series([], dtype="float64")})
         if qpdf.empty or rpdf.empty:
-            return pd.DataFrame({"qid": [], "rid": [], "d": []})
+            return empty
+        ring = rpdf["ring"].to_numpy()
+        order = np.argsort(ring, kind="stable")
+        ring = ring[order]
+        rv = np.stack(rpdf["vec"].to_numpy()).astype("float64")[order]
+        rid = rpdf["rid"].to_numpy()[order]
         qv = np.stack(qpdf["qvec"].to_numpy()).astype("float64")
-        rv = np.stack(rpdf["vec"].to_numpy()).astype("float64")
-        # exact differences (not |q|^2 + |r|^2 - 2 q.r), in query chunks of ~32 MB
-        step = max(1, (1 << 22) // max(1, rv.shape[0] * rv.shape[1]))
-        d = np.empty((qv.shape[0], rv.shape[0]))
-        for s0 in range(0, qv.shape[0], step):
-            diff = qv[s0:s0 + step, None, :] - rv[None, :, :]
-            d[s0:s0 + step] = np.sqrt(np.einsum("qrd,qrd->qr", diff, diff))
-        rid = rpdf["rid"].to_numpy()
-        lim = qpdf["_lim"].to_numpy()[:, None]
-        d = np.where(d <= lim, d, np.inf)
-        kk = min(k, d.shape[1])
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else \
-            np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
-        rows_q, rows_r, rows_d = [], [], []
+        lim = qpdf["_lim"].to_numpy()
+        starts = np.searchsorted(ring, qpdf["rlo"].to_numpy(), "left")
+        ends = np.searchsorted(ring, qpdf["rhi"].to_numpy(), "right")
         qids = qpdf["qid"].to_numpy()
-        for i in range(d.shape[0]):
-            cand = part[i]
-            # ties at the k-th distance: keep every candidate with that distance
-            kth = d[i, cand].max()
-            sel = np.where(d[i] <= kth)[0] if np.isfinite(kth) else cand[np.isfinite(d[i, cand])]
-            sel = sel[np.isfinite(d[i, sel])]
-            rows_q.append(np.full(len(sel), qids[i]))
-            rows_r.append(rid[sel])
-            rows_d.append(d[i, sel])
+        rows_q, rows_r, rows_d = [], [], []
+        for i in range(qv.shape[0]):
+            a, b = starts[i], ends[i]
+            if a >= b:
+                continue
+            diff = rv[a:b] - qv[i]
+            d = np.sqrt(np.einsum("rd,rd->r", diff, diff))
+            keep = d <= lim[i]
+            if not keep.any():
+                continue
+            d, ids = d[keep], rid[a:b][keep]
+            if len(d) > k:
+                # ties at the k-th distance: keep every candidate with that distance
+                kth = np.partition(d, k - 1)[k - 1]
+                sel = d <= kth
+                d, ids = d[sel], ids[sel]
+            rows_q.append(np.full(len(d), qids[i]))
+            rows_r.append(ids)
+            rows_d.append(d)
+        if not rows_q:
+            return empty
         return pd.DataFrame({"qid": np.concatenate(rows_q).astype("int64"),
                              "rid": np.concatenate(rows_r).astype("int64"),
                              "d": np.concatenate(rows_d)})
@@ -191,11 +245,12 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
     d(q, p_c) + d(x, p_c) over the cells' nearest-to-pivot points, an upper bound
     on the k-th neighbour distance by the triangle inequality.
 
-    Queries and reference points meet per ``(cell, ring)`` slot in a cogrouped
-    ``applyInPandas``: distances are numpy blocks and each block emits only each
-    query's best candidates.  A slot with more than ``block`` points on either
-    side is split into sub-blocks (reference rows by hash, queries replicated to
-    each sub-block and vice versa), so no task holds more than a block per side.
+    A query is sent once to every cell its radius can reach, with the ring
+    interval of that cell's annulus; queries and reference points meet per cell
+    in a cogrouped ``applyInPandas``.  A cell with more than ``block`` points on
+    either side is split into sub-blocks (reference rows by hash, queries
+    replicated to each sub-block and vice versa), so no task holds more than a
+    block per side.
     """
     need = k + (1 if exclude_self else 0)
     assigned, pv, cs = build_index(ref, n_pivots, keep_k=need)
@@ -206,31 +261,32 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
     q = q.withColumn("_u", F.coalesce(F.element_at(bounds, need), F.lit(float("inf"))))
     lim = F.col("_u") * (1 + SLACK) + SLACK
     cand = F.filter("_cs", lambda c: F.col("dq")[c["cell"]] - c["r"] <= lim)
-    slots = F.flatten(F.transform(cand, lambda c: F.transform(
-        F.sequence(F.greatest(F.lit(0).cast("bigint"),
-                              F.floor((F.col("dq")[c["cell"]] - lim) / c["w"]).cast("bigint")),
-                   F.least(F.floor(c["r"] / c["w"]).cast("bigint"),
-                           F.floor((F.col("dq")[c["cell"]] + lim) / c["w"]).cast("bigint"))),
-        lambda g: F.struct(c["cell"].alias("cell"), g.alias("ring")))))
-    probes = (q.select("qid", "qvec", lim.alias("_lim"), F.explode(slots).alias("_s"))
-              .select("qid", "qvec", "_lim", "_s.cell", "_s.ring"))
+    hit = F.transform(cand, lambda c: F.struct(
+        c["cell"].alias("cell"),
+        F.greatest(F.lit(0).cast("bigint"),
+                   F.floor((F.col("dq")[c["cell"]] - lim) / c["w"]).cast("bigint")).alias("rlo"),
+        F.least(F.floor(c["r"] / c["w"]).cast("bigint"),
+                F.floor((F.col("dq")[c["cell"]] + lim) / c["w"]).cast("bigint")).alias("rhi")))
+    probes = (q.select("qid", "qvec", lim.alias("_lim"), F.explode(hit).alias("_s"))
+              .select("qid", "qvec", "_lim", "_s.cell", "_s.rlo", "_s.rhi")
+              .where(F.col("rlo") <= F.col("rhi")))
     probes = cut_lineage(probes)
-    # sub-block counts per slot (one row per slot: bounded by cells x rings)
-    rsz = assigned.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("nr"))
-    qsz = probes.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("nq"))
-    sub = (rsz.join(qsz, on=["cell", "ring"])
-           .select("cell", "ring", F.ceil(F.col("nr") / block).cast("int").alias("rs"),
+    # sub-block counts per cell (one row per cell: at most 512 rows)
+    rsz = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("nr"))
+    qsz = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
+    sub = (rsz.join(qsz, on="cell")
+           .select("cell", F.ceil(F.col("nr") / block).cast("int").alias("rs"),
                    F.ceil(F.col("nq") / block).cast("int").alias("qs")))
     sub = F.broadcast(sub)
-    r_side = (assigned.join(sub, on=["cell", "ring"])
+    r_side = (assigned.join(sub, on="cell")
               .withColumn("_rb", F.pmod(F.xxhash64("rid"), F.col("rs")).cast("int"))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-              .select("cell", "ring", "_rb", "_qb", "rid", "vec"))
-    q_side = (probes.join(sub, on=["cell", "ring"])
+              .select("cell", "_rb", "_qb", "rid", "vec", "ring"))
+    q_side = (probes.join(sub, on="cell")
               .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int"))
               .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
-              .select("cell", "ring", "_rb", "_qb", "qid", "qvec", "_lim"))
-    keys = ["cell", "ring", "_rb", "_qb"]
+              .select("cell", "_rb", "_qb", "qid", "qvec", "_lim", "rlo", "rhi"))
+    keys = ["cell", "_rb", "_qb"]
     pairs = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
         _block_topk(need), PAIR_SCHEMA)
     if exclude_self:
