@@ -66,7 +66,33 @@ def q_knn_predict(spark, sf):
         F.col("qid").alias("vec_id"), "prediction")
 
 
-@register("dbscan_labels")
+# DBSCAN by its definition: neighbours by a range join plus the exact distance test,
+# cores by degree, components by min-label propagation (a keyed recursive CTE),
+# border points take the smallest neighbouring core label, the rest are noise (-1).
+DBSCAN_SQL = """
+WITH RECURSIVE st AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv,
+                             avg(user_id) AS mu, stddev_pop(user_id) AS su FROM events),
+p AS (SELECT event_id AS pid, (value - mv) / sv AS x, (user_id - mu) / su AS y FROM events, st),
+nb AS (SELECT a.pid AS pid, b.pid AS other FROM p a JOIN p b
+         ON b.x BETWEEN a.x - 0.5 AND a.x + 0.5 AND b.y BETWEEN a.y - 0.5 AND a.y + 0.5
+       WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.5),
+core AS (SELECT pid FROM nb GROUP BY pid HAVING count(*) >= 5),
+ce AS (SELECT nb.pid AS a, nb.other AS b FROM nb SEMI JOIN core c1 ON nb.pid = c1.pid
+       SEMI JOIN core c2 ON nb.other = c2.pid),
+cc(node, comp) USING KEY (node) AS (
+  SELECT pid, pid FROM core
+  UNION
+  SELECT ce.b, min(cc.comp) FROM cc JOIN ce ON cc.node = ce.a GROUP BY ce.b
+  HAVING min(cc.comp) < (SELECT r.comp FROM recurring.cc r WHERE r.node = ce.b)),
+border AS (SELECT nb.pid, min(cc.comp) AS bl FROM nb JOIN cc ON nb.other = cc.node
+           ANTI JOIN core ON nb.pid = core.pid GROUP BY nb.pid),
+lab AS (SELECT p.pid, coalesce(cc.comp, border.bl, -1) AS cluster, cc.node IS NOT NULL AS is_core
+        FROM p LEFT JOIN cc ON p.pid = cc.node LEFT JOIN border ON p.pid = border.pid)
+SELECT CAST(cluster AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS rows,
+       CAST(count_if(is_core) AS BIGINT) AS core_rows FROM lab GROUP BY cluster"""
+
+
+@register("dbscan_labels", DBSCAN_SQL)
 def q_dbscan_labels(spark, sf):
     ev = table(spark, sf, "events")
     st = ev.agg(F.avg("value").alias("mv"), F.stddev_pop("value").alias("sv"),
