@@ -57,3 +57,21 @@ def test_connected_components_chain(spark):
         spark.createDataFrame([(100,), (101,), (200,)], "node long"))
     cc = {r["node"]: r["comp"] for r in connected_components(edges, nodes).collect()}
     assert all(cc[i] == 0 for i in range(31)) and cc[101] == 100 and cc[200] == 200
+
+
+def test_knn_sub_blocks_leave_one_out_vs_brute_force(spark):
+    """Tiny blocks force every cell into hash sub-blocks on both sides; the
+    leave-one-out result must still equal brute force (ties by rid)."""
+    rng = np.random.default_rng(21)
+    pts = np.round(rng.normal(0, 1, (400, 16)), 2)
+    pts[100:160] = pts[100]                             # a third-of-a-cell duplicate group
+    df = pd.DataFrame({"id": range(400), "vec": list(pts)})
+    r = spark.createDataFrame(df.rename(columns={"id": "rid"}))
+    q = spark.createDataFrame(df.rename(columns={"id": "qid"}))
+    got = knn(q, r, 3, exclude_self=True, n_pivots=6, block=16).toPandas()
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    ids = np.arange(400)
+    for i in range(400):
+        row = np.where(ids == i, np.inf, d[i])
+        exp = ids[np.lexsort((ids, row))][:3].tolist()
+        assert got[got.qid == i].sort_values("rank").rid.tolist() == exp
