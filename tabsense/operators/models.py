@@ -166,30 +166,34 @@ def _knn_fit_predict(train: DataFrame, test: DataFrame, task: str, k: int = 5) -
     return test.join(pred.withColumnRenamed("qid", "_rid"), on="_rid")
 
 
-def cv_score(est, data: DataFrame, prep, keys: Sequence[str], k: int, task: str,
-             extra: Sequence = ()) -> float | None:
-    """Mean score (r2 / accuracy) of ``est`` refitted on k hash folds.
-
-    The prepared frame is persisted once and every fold reads it; the k fold fits
-    are independent Spark jobs submitted concurrently, so on a cluster they share
-    the executors instead of queueing one after another.
+def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
+             num: Sequence[str], cat: Sequence[str], scaling: str,
+             rff: bool = False) -> float | None:
+    """Mean score (r2 / accuracy) of the whole pipeline refitted on k hash folds.
+
+    As in a cross-validated pipeline, every fold fits its own preprocessor (and
+    random-feature map) on its training rows before refitting a copy of ``est``.
+    The input is persisted once with its fold id; the k fold fits are independent
+    Spark jobs submitted concurrently, so on a cluster they share the executors
+    instead of queueing one after another.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import inheritable_thread_target
 
-    folds = P.with_folds(prep.model.transform(data), keys, k, SEED)
-    for stage in extra:
-        folds = stage.transform(folds)
-    vec = [c for c in ("features", "rff") if c in folds.columns]
-    folds = folds.select("label", "fold", *vec).persist()
+    folds = P.with_folds(data, keys, k, SEED).persist()
     metric = "r2" if task == "regression" else "accuracy"
     score = M.eval_regression if task == "regression" else M.eval_classification
 
     def one(i: int):
-        fitted = est.fit(folds.where(F.col("fold") != i))
-        pred = fitted.transform(folds.where(F.col("fold") == i))
-        return score(pred, "label", "prediction").first()[metric]
+        tr_raw, va_raw = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
+        prep = P.fit_preprocessor(tr_raw, num, cat, scaling)
+        tr, va = prep.model.transform(tr_raw), prep.model.transform(va_raw)
+        if rff:
+            stage = _rff_stage(tr, len(prep.feature_names))
+            tr, va = stage.transform(tr), stage.transform(va)
+        fitted = est.copy().fit(tr)
+        return score(fitted.transform(va), "label", "prediction").first()[metric]
 
     try:
         with ThreadPoolExecutor(max_workers=k) as pool:
@@ -270,7 +274,7 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
             if tuning:
                 best = est.copy({est.getParam(p.name): v for p, v in model.extractParamMap().items()
                                  if est.hasParam(p.name)})
-            score = cv_score(best, data, prep, keys, cv_folds, task, extra)
+            score = cv_score(best, data, keys, cv_folds, task, num, cat, scaling, bool(extra))
             if score is not None:
                 mrow["cv_mean_score"] = score
         except Exception:  # noqa: BLE001  (the reference ignores CV failures)
