@@ -128,7 +128,17 @@ def q_request_plans(spark, sf):
                     F.to_json("steps").alias("steps"), "needs_dataset")
 
 
-@register("plan_validate")
+def _plan_validate_sql() -> str:
+    """Every planned step names a known tool and chart kind, so validation keeps
+    them all and drops only the appended unknown step; both counts are the number
+    of raised intents, capped at six."""
+    n = ("least(6, CAST(want_eda AS INTEGER) + CAST(want_outliers AS INTEGER) + CAST(want_chart AS INTEGER)"
+         " + CAST(want_cluster AS INTEGER) + CAST(want_train AS INTEGER) + CAST(want_explain AS INTEGER)"
+         " + CAST(want_report AS INTEGER))")
+    return f"SELECT conv_id, turn, {n} AS n_steps, {n} AS n_valid FROM ({_intents_sql()}) i"
+
+
+@register("plan_validate", _plan_validate_sql())
 def q_plan_validate(spark, sf):
     p = Q.plan(messages(spark, sf), "message", COLS)
     bogus = F.struct(F.lit("bogus").alias("tool"), F.create_map().cast("map<string,string>").alias("args"))
