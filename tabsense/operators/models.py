@@ -197,7 +197,8 @@ def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
 
     try:
         with ThreadPoolExecutor(max_workers=k) as pool:
-            scores = [s for s in pool.map(inheritable_thread_target(one), range(k)) if s is not None]
+            run = inheritable_thread_target(data.sparkSession)(one)
+            scores = [s for s in pool.map(run, range(k)) if s is not None]
     finally:
         folds.unpersist()
     return float(sum(scores) / len(scores)) if scores else None
