@@ -76,6 +76,17 @@ def group_bounds(source: DataFrame, keys: Sequence[str], value: str,
     return cut_lineage(bounds), False
 
 
+def local_if_small(df: DataFrame, row_bytes: int = 256) -> DataFrame | None:
+    """``df`` re-created as a local relation (safe to broadcast) when its rows fit
+    the session's broadcast threshold at ``row_bytes`` each; None otherwise.  At
+    most threshold / row_bytes + 1 rows reach the driver."""
+    cap = max(1, broadcast_limit(df) // row_bytes)
+    rows = df.limit(cap + 1).collect()
+    if len(rows) > cap:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def bucket_of(value: Column, bounds: Column, parts: int) -> Column:
     """Number of entries of the sorted array ``bounds`` that are <= ``value``."""
     step = max(1, int(math.ceil(math.sqrt(parts))))

@@ -33,6 +33,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     Returns ``keys + names`` (one double column per probability) plus ``_n``,
     the non-null count.  NULL values are ignored; groups without values are absent.
     """
+    return exact_quantiles_sized(df, keys, value, probs, names, partitions)[0]
+
+
+def exact_quantiles_sized(df: DataFrame, keys: Sequence[str], value: str,
+                          probs: Sequence[float], names: Sequence[str] | None = None,
+                          partitions: int | None = None) -> tuple[DataFrame, bool]:
+    """``exact_quantiles`` plus whether its one-row-per-group result is proven
+    small enough to broadcast (the bucket bounds, which hold more per group,
+    passed the session's broadcast threshold)."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
     keys = list(keys)
     parts = partitions or shuffle_partitions(df)
@@ -73,7 +82,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         frac = h - F.floor(h)
         lo_v, hi_v = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         out.append((lo_v + (hi_v - lo_v) * frac).alias(names[i]))
-    return picked.select(*out)
+    return picked.select(*out), small
 
 
 def approx_quantiles(df: DataFrame, keys: Sequence[str], value: str,
