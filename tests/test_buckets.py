@@ -53,3 +53,29 @@ def test_exclusive_prefix_vs_cumsum(spark):
     m = exp.merge(out, on=["g", "o", "w"], suffixes=("_e", "_g"))
     assert len(m) == n
     assert (m["before_e"] == m["before_g"]).all()
+
+
+def test_exact_quantiles_without_broadcast(spark):
+    """Above the broadcast threshold the bounds are checkpointed and joined by key;
+    the result must stay exact (the threshold is switched off for this test)."""
+    pdf, df = _skewed(spark, n=20000, seed=9)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bounds, small = group_bounds(df, ["k"], "v", 16)
+        assert not small
+        probs = (0.1, 0.5, 0.9)
+        got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, partitions=16).collect()}
+        opdf = pdf.assign(o=np.arange(len(pdf), dtype="float64"))
+        pre = exclusive_prefix(spark.createDataFrame(opdf), ["k"], "o", "v", "before", 16).toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    exp = opdf.sort_values(["k", "o"]).copy()
+    exp["before"] = exp.groupby("k")["v"].cumsum() - exp["v"]
+    m = exp.merge(pre, on=["k", "o"], suffixes=("_e", "_g"))
+    assert len(m) == len(pdf)
+    assert np.allclose(m["before_e"], m["before_g"], rtol=1e-9)
+    for k, g in pdf.groupby("k"):
+        exp = np.quantile(g["v"].values, probs)
+        for i, e in enumerate(exp):
+            assert abs(got[k][f"q{i}"] - e) <= 1e-9 * max(1.0, abs(e))
