@@ -78,3 +78,11 @@ def test_failed_step_does_not_stop_the_rest(unit_df):
     assert [r["success"] for r in rows] == [False, False, True]
     assert "unknown" in rows[1]["error"]
     assert outputs[2]["result"]
+
+
+def test_grid_search_picks_a_grid_point(unit_df):
+    """Tuning runs the reference's depth grid for a decision tree with 3 folds."""
+    res = MD.train_supervised(unit_df.drop("rid"), "sotib_oldi", algorithm="decision_tree",
+                              cv_folds=0, tuning=True, key_cols=["yosh", "daromad", "shahar"])
+    assert res.model.getOrDefault("maxDepth") in (3, 5, 8)
+    assert 0.0 <= res.metrics["accuracy"] <= 1.0
