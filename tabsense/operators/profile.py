@@ -163,8 +163,10 @@ GRAM_SCHEMA = T.StructType([
     T.StructField("syy", T.DoubleType()), T.StructField("sxy", T.DoubleType())])
 
 
-def _gram_blocks(k: int):
-    """Per-partition masked Gram blocks: one (k x k) block per moment."""
+def _gram_blocks(k: int, index: Sequence[int] | None = None, keep=None):
+    """Per-partition masked Gram blocks: one (k x k) block per moment.  ``index``
+    maps local column positions to global ordinals; ``keep(i, j)`` (global) picks
+    the pairs a tile reports."""
     def run(batches):
         acc = None
         for pdf in batches:
@@ -178,19 +180,54 @@ def _gram_blocks(k: int):
         if acc is None:
             return
         ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-        yield pd.DataFrame({"i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"),
-                            "n": acc[0].ravel(), "sx": acc[1].ravel(), "sy": acc[2].ravel(),
-                            "sxx": acc[3].ravel(), "syy": acc[4].ravel(),
-                            "sxy": acc[5].ravel()})
+        gi, gj = ii.ravel(), jj.ravel()
+        if index is not None:
+            pos = np.asarray(index)
+            gi, gj = pos[gi], pos[gj]
+        sel = keep(gi, gj) if keep is not None else np.ones(len(gi), bool)
+        yield pd.DataFrame({"i": gi[sel].astype("int32"), "j": gj[sel].astype("int32"),
+                            "n": acc[0].ravel()[sel], "sx": acc[1].ravel()[sel],
+                            "sy": acc[2].ravel()[sel], "sxx": acc[3].ravel()[sel],
+                            "syy": acc[4].ravel()[sel], "sxy": acc[5].ravel()[sel]})
     return run
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+GRAM_BLOCK = 256
+
+
+def _gram_parts(centred: DataFrame, k: int, block: int) -> DataFrame:
+    """Per-task moment rows for every column pair.  Up to ``block`` columns one
+    pass holds the whole (k x k) blocks; above it the pairs are tiled: one pass per
+    pair of column blocks (a <= b) over just those columns, so a task holds at
+    most (2 * block)^2 cells per moment whatever k is."""
+    if k <= block:
+        return centred.mapInPandas(_gram_blocks(k), GRAM_SCHEMA)
+    blocks = [list(range(s0, min(k, s0 + block))) for s0 in range(0, k, block)]
+    out = None
+    for a, ca in enumerate(blocks):
+        for b in range(a, len(blocks)):
+            cb = blocks[b]
+            idx = ca + cb if a != b else ca
+            in_a, in_b = set(ca), set(cb)
+
+            def keep(gi, gj, in_a=in_a, in_b=in_b):
+                ga = np.isin(gi, list(in_a))
+                gb = np.isin(gj, list(in_b))
+                return (ga & gb) | (np.isin(gi, list(in_b)) & np.isin(gj, list(in_a)))
+            part = centred.select(*[f"x{i}" for i in idx]).mapInPandas(
+                _gram_blocks(len(idx), idx, keep), GRAM_SCHEMA)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
+                       block: int = GRAM_BLOCK) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered column pair, undefined -> 0.
 
     Pass 1 takes the column means (one row); pass 2 centres by them and sums, per
     partition, the six k x k moment blocks of ``Z = [mask, x, x^2]``; only those
-    k^2 partial rows per task are shuffled.
+    k^2 partial rows per task are shuffled.  Above ``block`` columns the pairs are
+    tiled by column blocks (``_gram_parts``), so task memory stays bounded.
     """
     cols = _cols(df, cols, K.numeric_columns(df))
     if not cols:
@@ -200,7 +237,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
                      for i, c in enumerate(cols)]).first()
     centred = df.select(*[(K.as_double(df, c) - F.lit(float(means[i] or 0.0)))
                           .alias(f"x{i}") for i, c in enumerate(cols)])
-    parts = centred.mapInPandas(_gram_blocks(k), GRAM_SCHEMA)
+    parts = _gram_parts(centred, k, block)
     sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in
                                          ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")

@@ -73,3 +73,14 @@ def test_exact_quantiles_vs_numpy_and_repartition(spark):
 def test_full_profile_sections(unit_df):
     sections = {r["section"] for r in P.full_profile(unit_df.drop("rid")).select("section").distinct().collect()}
     assert sections == {"basic", "missing", "duplicates", "numeric", "correlation", "categorical", "top_values"}
+
+
+def test_correlation_tiled_equals_single_block(spark, unit_df):
+    """Tiling the Gram pass by column blocks gives the same matrix."""
+    df = unit_df.withColumn("x2", unit_df["yosh"] * 2.5 - unit_df["daromad"]).withColumn(
+        "x3", unit_df["daromad"] / 7.0 + 1.0)
+    one = {(r["col_a"], r["col_b"]): r["r"] for r in P.correlation_matrix(df).collect()}
+    tiled = {(r["col_a"], r["col_b"]): r["r"] for r in P.correlation_matrix(df, block=2).collect()}
+    assert one.keys() == tiled.keys() and len(one) == 36
+    for key, v in one.items():
+        assert abs(v - tiled[key]) < 1e-12
