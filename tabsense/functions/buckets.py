@@ -52,10 +52,15 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def group_bounds(source: DataFrame, keys: Sequence[str], value: str,
-                 parts: int | None = None) -> tuple[DataFrame, bool]:
+                 parts: int | None = None,
+                 stats: dict[str, Column] | None = None) -> tuple[DataFrame, bool]:
     """``keys + _bounds`` (sorted distinct approximate quantiles of ``value`` per
-    group, sketched over a ``SAMPLE_RATE`` Bernoulli sample of its rows) and
-    whether the frame is small enough to broadcast.
+    group, sketched over a ``SAMPLE_RATE`` Bernoulli sample of its non-null rows)
+    and whether the frame is small enough to broadcast.
+
+    ``stats`` (name -> aggregate over all rows of the group) ride along in the same
+    scan, so a caller that needs them anyway (the numeric summary's count, mean,
+    std, min and max) does not read the data again.
 
     The bounds only balance the buckets; any bounds give exact results.  A group
     too small to be sampled gets no bounds (one bucket), which is fine because it
@@ -67,8 +72,13 @@ def group_bounds(source: DataFrame, keys: Sequence[str], value: str,
     parts = max(2, parts or shuffle_partitions(source))
     probs = [i / parts for i in range(1, parts)]
     v = F.col(value)
-    bounds = (source.where(v.isNotNull()).sample(False, SAMPLE_RATE, SEED).groupBy(*keys)
-              .agg(F.array_distinct(F.percentile_approx(v, probs, ACCURACY)).alias("_bounds")))
+    picked = F.when(v.isNotNull() & (F.rand(SEED) < F.lit(SAMPLE_RATE)), v)
+    src = source.select(*keys, value, picked.alias("_smp"))
+    if not stats:
+        src = src.where(v.isNotNull())
+    aggs = [F.array_distinct(F.percentile_approx("_smp", probs, ACCURACY)).alias("_bounds")]
+    aggs += [c.alias(n) for n, c in (stats or {}).items()]
+    bounds = src.groupBy(*keys).agg(*aggs)
     cap = max(1, broadcast_limit(source) // (parts * 8 + 64))
     rows = bounds.limit(cap + 1).collect()
     if len(rows) <= cap:
@@ -103,6 +113,7 @@ def with_buckets(df: DataFrame, keys: Sequence[str], value: str, bounds: DataFra
     """``df`` plus ``_bkt`` from the group's bounds (groups without bounds: 0)."""
     keys = list(keys)
     parts = max(2, parts or shuffle_partitions(df))
+    bounds = bounds.select(*keys, "_bounds")
     b = F.broadcast(bounds) if small else bounds
     j = df.join(b, on=keys, how="left") if keys else df.crossJoin(F.broadcast(bounds))
     bkt = F.coalesce(bucket_of(F.col(value), F.col("_bounds"), parts), F.lit(0))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.buckets import (BUCKET, group_bounds, ranged_offsets,
@@ -38,17 +38,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
 def exact_quantiles_sized(df: DataFrame, keys: Sequence[str], value: str,
                           probs: Sequence[float], names: Sequence[str] | None = None,
-                          partitions: int | None = None) -> tuple[DataFrame, bool]:
+                          partitions: int | None = None,
+                          stats: dict[str, Column] | None = None) -> tuple[DataFrame, bool]:
     """``exact_quantiles`` plus whether its one-row-per-group result is proven
     small enough to broadcast (the bucket bounds, which hold more per group,
-    passed the session's broadcast threshold)."""
+    passed the session's broadcast threshold).
+
+    With ``stats`` (name -> aggregate over all rows of a group, computed in the
+    bounds scan) the result has one row per group of ``df``, including groups
+    whose values are all NULL (their quantiles are NULL), with those columns added.
+    """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     keys = list(keys)
     parts = partitions or shuffle_partitions(df)
     v = F.col(value)
 
     present = df.where(v.isNotNull())
-    bounds, small = group_bounds(present, keys, value, parts)
+    bounds, small = group_bounds(df if stats else present, keys, value, parts, stats)
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
     counts = with_buckets(counts, keys, value, bounds, small, parts)
     in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(
@@ -82,7 +88,12 @@ def exact_quantiles_sized(df: DataFrame, keys: Sequence[str], value: str,
         frac = h - F.floor(h)
         lo_v, hi_v = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         out.append((lo_v + (hi_v - lo_v) * frac).alias(names[i]))
-    return picked.select(*out), small
+    result = picked.select(*out)
+    if stats:
+        st = bounds.select(*keys, *stats.keys())
+        result = (F.broadcast(st) if small else st).join(result, on=keys, how="left") if keys \
+            else st.crossJoin(result)
+    return result, small
 
 
 def approx_quantiles(df: DataFrame, keys: Sequence[str], value: str,

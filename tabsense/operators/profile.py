@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions import kinds as K
-from tabsense.functions.quantiles import quantiles
+from tabsense.functions.quantiles import exact_quantiles_sized, quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("p25", "p50", "p75")
@@ -107,12 +107,16 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
     cols = _cols(df, cols, K.numeric_columns(df))
     # group by the int ordinal only; the names come back from a literal array
     long = long_numeric(df, cols).drop("column")
-    base = long.groupBy("ord").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    qs = quantiles(long, ["ord"], "value", QUARTILES, QUARTILE_NAMES, approx=approx)
-    out = base.join(qs.drop("_n"), on=["ord"], how="left")
+    stats = {"count": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value"),
+             "min": F.min("value"), "max": F.max("value")}
+    if approx:
+        base = long.groupBy("ord").agg(*[c.alias(n) for n, c in stats.items()])
+        qs = quantiles(long, ["ord"], "value", QUARTILES, QUARTILE_NAMES, approx=True)
+        out = base.join(qs.drop("_n"), on=["ord"], how="left")
+    else:
+        # the plain statistics ride along in the bucket-bounds scan (one scan fewer)
+        out, _small = exact_quantiles_sized(long, ["ord"], "value", QUARTILES, QUARTILE_NAMES,
+                                            stats=stats)
     return out.select("ord", column_name(cols).alias("column"),
                       F.col("count").cast("bigint").alias("count"),
                       "mean", "std", "min", *QUARTILE_NAMES, "max")

@@ -84,3 +84,13 @@ def test_correlation_tiled_equals_single_block(spark, unit_df):
     assert one.keys() == tiled.keys() and len(one) == 36
     for key, v in one.items():
         assert abs(v - tiled[key]) < 1e-12
+
+
+def test_numeric_summary_all_null_column(spark, unit_df):
+    """A column with no values keeps its row: count 0, NULL statistics."""
+    from pyspark.sql import functions as F
+    df = unit_df.withColumn("empty", F.lit(None).cast("double"))
+    rows = {r["column"]: r for r in P.numeric_summary(df).collect()}
+    assert rows["empty"]["count"] == 0
+    assert rows["empty"]["p50"] is None and rows["empty"]["mean"] is None
+    assert rows["yosh"]["count"] == 200
