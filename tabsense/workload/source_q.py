@@ -41,7 +41,10 @@ def q_json_roundtrip(spark, sf):
     return S.read_json(spark, out).select("event_id", "user_id", "event_type", "value")
 
 
-@register("json_rows")
+@register("json_rows", """
+SELECT CAST(to_json({'event_id': event_id, 'ts': CAST(ts AS VARCHAR), 'user_id': user_id,
+  'event_type': event_type, 'value': CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END,
+  'props': props}) AS VARCHAR) AS json FROM events""")
 def q_json_rows(spark, sf):
     return S.json_rows(table(spark, sf, "events"))
 
