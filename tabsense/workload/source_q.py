@@ -49,7 +49,13 @@ def q_json_rows(spark, sf):
     return S.json_rows(table(spark, sf, "events"))
 
 
-@register("ingest_catalog")
+@register("ingest_catalog", """
+SELECT '.csv' AS ext, 'registered' AS status, CAST(NULL AS VARCHAR) AS reason,
+       CAST(count(*) AS BIGINT) AS row_count, CAST(5 AS BIGINT) AS column_count FROM customer
+UNION ALL
+SELECT '.json', 'registered', NULL, CAST(count(*) AS BIGINT), CAST(6 AS BIGINT) FROM orders
+UNION ALL
+SELECT '.parquet', 'rejected', 'unsupported file type .parquet', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)""")
 def q_ingest_catalog(spark, sf):
     landing = _scratch(spark, "landing")
     table(spark, sf, "customer").coalesce(1).write.option("header", True).csv(f"{landing}/a")
