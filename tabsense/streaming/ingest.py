@@ -69,26 +69,36 @@ def _register(spark: SparkSession, batch: DataFrame) -> DataFrame:
                     status = "registered"
             except Exception as exc:  # noqa: BLE001
                 reason = f"unreadable: {str(exc)[:200]}"
-        rows.append((str(uuid.uuid4()), r["session_id"], r["filename"], r["filepath"], r["file_type"],
+        # a replayed micro-batch must produce the same ids (see the idempotent write below)
+        rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['session_id']}|{r['filepath']}|{r['length']}|{r['mtime']}")
+        rows.append((str(rid), r["session_id"], r["filename"], r["filepath"], r["file_type"],
                      r["length"], nrow, ncol, schema, status, reason, r["mtime"]))
     return spark.createDataFrame(rows, INGEST_SCHEMA)
 
 
 def ingest_folder(spark: SparkSession, landing: str, catalog_path: str, session_id: str = "default",
-                  max_mb: float | None = S.MAX_UPLOAD_MB, checkpoint: str | None = None) -> DataFrame:
+                  max_mb: float | None = S.MAX_UPLOAD_MB, checkpoint: str | None = None,
+                  max_files_per_batch: int = 1000) -> DataFrame:
     """Process every file now in ``landing`` (availableNow) and return the
-    catalog rows written by this run and earlier ones."""
+    catalog rows written by this run and earlier ones.  A micro-batch holds at
+    most ``max_files_per_batch`` files, which bounds the per-batch file list the
+    driver walks (one small Spark job per accepted file)."""
     base = ensure_checkpoint_dir(spark)
     ck = checkpoint or os.path.join(base, "ingest-" + uuid.uuid5(uuid.NAMESPACE_URL, landing).hex)
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
+             .option("maxFilesPerTrigger", str(max_files_per_batch))
              .load(landing).select("path", "length", "modificationTime"))
     screened = screen(files, session_id, max_mb)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        out = _register(batch.sparkSession, batch)
-        out.write.mode("append").partitionBy("session_id").parquet(catalog_path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        # Idempotent sink: each micro-batch owns the partition batch_id=<epoch> and
+        # replaces it, so a batch replayed after a failure leaves no duplicates.
+        out = _register(batch.sparkSession, batch).withColumn("batch_id", F.lit(int(epoch)))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("session_id", "batch_id").parquet(catalog_path))
 
     q = (screened.writeStream.foreachBatch(write).option("checkpointLocation", ck)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(INGEST_SCHEMA).parquet(catalog_path)
+    return spark.read.parquet(catalog_path).select(*[F.col(f.name).cast(f.dataType)
+                                                     for f in INGEST_SCHEMA.fields])
