@@ -9,8 +9,11 @@ Grid of side ``eps / sqrt(d)``: two points in one cell are always within eps.
   points, so this emits at most (#neighbour cells x min_samples) pairs per point
   of any cell, linear in the input even when one cell holds a third of the rows.
 * clusters: core cells are the nodes; a core cell is linked to a neighbouring
-  core cell when some pair of their core points is within eps (pairs enumerated
-  between the two cells' core points).  Components come from min-label
+  core cell when some pair of their core points is within eps.  Most links are
+  settled without any point pair: sub-cells of half the cell side whose farthest
+  points are within eps link their cells when both hold a core point (a join of
+  distinct sub-cells).  Only neighbouring core-cell pairs left open compare their
+  core points.  Components come from min-label
   propagation with pointer jumping, checkpointed into ``spark.checkpoint.dir``.
 * border points (non-core, within eps of a core point; always in sparse cells)
   take the smallest neighbouring cluster label.
@@ -43,6 +46,16 @@ def _stencil(d: int) -> list[list[int]]:
     return out
 
 
+def _sure_stencil(d: int) -> list[list[int]]:
+    """Sub-cell offsets (sub-cell side eps / (2 sqrt(d))) whose farthest points are
+    within eps: sum((|o_i| + 1)^2) <= 4 d."""
+    out = []
+    for off in itertools.product(range(-2 * d, 2 * d + 1), repeat=d):
+        if sum((abs(o) + 1) ** 2 for o in off) <= 4 * d:
+            out.append(list(off))
+    return out
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame, max_iter: int = 100,
                          checkpoint_every: int = 1) -> DataFrame:
     """Smallest node id per component.  edges: (a, b) undirected; nodes: (node).
@@ -107,12 +120,27 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
 
     # core cells and links between neighbouring core cells
     core_cells = core_pts.groupBy("cell").agg(F.min("pid").alias("node"))
-    cprobe = core_pts.select(F.col("cell").alias("home"), F.col("vec").alias("pvec"),
-                             F.explode(F.transform(stencil, lambda off: F.zip_with(
-                                 F.col("cell"), off, lambda c, o: c + o))).alias("cell"))
-    links = (cprobe.join(core_pts.select("cell", "vec"), on="cell")
-             .where((F.col("home") != F.col("cell")) & (dist(F.col("pvec"), F.col("vec")) <= F.lit(float(eps))))
-             .select("home", "cell").distinct())
+    # 1. certain links without point pairs: non-empty core sub-cells (half the cell
+    #    side) whose farthest points are within eps link their two cells; this is a
+    #    join of distinct sub-cells, so two adjacent dense cells cost no pairs.
+    half = side / 2.0
+    sub = F.transform("vec", lambda x: F.floor(x / F.lit(half)).cast("bigint"))
+    core_sub = core_pts.select("cell", sub.alias("sub")).distinct()
+    sure_st = F.array(*[F.array(*[F.lit(o) for o in off]) for off in _sure_stencil(d)])
+    sure = (core_sub.select(F.col("cell").alias("home"), F.explode(F.transform(
+                sure_st, lambda off: F.zip_with(F.col("sub"), off, lambda c, o: c + o))).alias("sub"))
+            .join(core_sub, on="sub").where(F.col("home") != F.col("cell"))
+            .select("home", "cell").distinct())
+    # 2. the neighbouring core-cell pairs not settled above compare their points
+    cell_pairs = (core_cells.select(F.col("cell").alias("home"), F.explode(F.transform(
+                      stencil, lambda off: F.zip_with(F.col("cell"), off, lambda c, o: c + o))).alias("cell"))
+                  .join(core_cells.select("cell"), on="cell").where(F.col("home") != F.col("cell")))
+    todo = cell_pairs.join(sure, on=["home", "cell"], how="left_anti")
+    cprobe = core_pts.select(F.col("cell").alias("home"), F.col("vec").alias("pvec")).join(todo, on="home")
+    checked = (cprobe.join(core_pts.select("cell", "vec"), on="cell")
+               .where(dist(F.col("pvec"), F.col("vec")) <= F.lit(float(eps)))
+               .select("home", "cell").distinct())
+    links = sure.unionByName(checked)
     ids = core_cells.select(F.col("cell").alias("home"), F.col("node").alias("a"))
     edges = (links.join(ids, on="home")
              .join(core_cells.select("cell", F.col("node").alias("b")), on="cell").select("a", "b"))

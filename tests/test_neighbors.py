@@ -75,3 +75,45 @@ def test_knn_sub_blocks_leave_one_out_vs_brute_force(spark):
         row = np.where(ids == i, np.inf, d[i])
         exp = ids[np.lexsort((ids, row))][:3].tolist()
         assert got[got.qid == i].sort_values("rank").rid.tolist() == exp
+
+
+def _dbscan_brute(x, eps, min_samples):
+    n = len(x)
+    nb = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    core = nb.sum(1) >= min_samples
+    comp = -np.ones(n, dtype=int)
+    for i in range(n):
+        if core[i] and comp[i] < 0:
+            stack, members = [i], []
+            comp[i] = 0
+            while stack:
+                j = stack.pop()
+                members.append(j)
+                for k in np.where(nb[j] & core & (comp < 0))[0]:
+                    comp[k] = 0
+                    stack.append(k)
+            for j in members:
+                comp[j] = min(members)
+    exp = np.where(core, comp, -1)
+    for i in range(n):
+        if not core[i]:
+            cs = [comp[k] for k in np.where(nb[i] & core)[0]]
+            exp[i] = min(cs) if cs else -1
+    return exp, core
+
+
+def test_dbscan_3d_dense_blobs_and_bridge(spark):
+    """Two dense 3-D blobs (most links settled by sub-cells), a thin bridge of
+    single points (links that need point checks), a far blob and noise."""
+    rng = np.random.default_rng(17)
+    a = rng.normal(0, .1, (150, 3))
+    b = rng.normal(0, .1, (150, 3)) + [1.2, 0, 0]
+    bridge = np.column_stack([np.linspace(0.25, 0.95, 8), np.zeros(8), np.zeros(8)])
+    far = rng.normal(0, .1, (40, 3)) + [0, 3, 0]
+    noise = rng.uniform(-2, 4, (25, 3))
+    x = np.concatenate([a, b, bridge, far, noise])
+    pdf = pd.DataFrame({"pid": range(len(x)), "vec": list(x)})
+    got = dbscan(spark.createDataFrame(pdf), 0.25, 4).toPandas().sort_values("pid")
+    exp, core = _dbscan_brute(x, 0.25, 4)
+    assert (got.is_core.values == core).all()
+    assert (got.cluster.values == exp).all()
