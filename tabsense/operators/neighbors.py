@@ -12,9 +12,11 @@ equi-joined to the cells whose lower bound is within its search radius.
   cells alone: the k-th smallest ``d(q, p_c) + d(x, p_c)`` over each cell's k
   points nearest to its pivot.
 
-Points also carry a ring id (their pivot distance in bands of r_c / 32), so the
-join key is ``(cell, ring)`` and a query meets only the annulus
-``|d(q, p_c) - d(x, p_c)| <= radius`` of each candidate cell.
+Points also carry a ring id (their pivot distance in bands of r_c / 32).  A
+query is sent once to each cell its radius can reach, with the ring interval of
+the annulus ``|d(q, p_c) - d(x, p_c)| <= radius``; inside a cogrouped numpy block
+the cell's points are sorted by ring and each query computes exact distances only
+over its interval.
 
 Both are exact.  The top-k per query is a ``row_number() <= k`` filter, which
 Spark turns into a partial group limit before the shuffle.
@@ -158,36 +160,13 @@ def _query_pivot_dists(queries: DataFrame, pivots: list) -> DataFrame:
             .mapInPandas(run, "qid long, qvec array<double>, dq array<double>"))
 
 
-def _probe(q: DataFrame, assigned: DataFrame, lim: Column) -> DataFrame:
-    """Join each query to the (cell, ring) slots its search radius ``lim`` can reach."""
-    cand = F.filter("_cs", lambda c: F.col("dq")[c["cell"]] - c["r"] <= lim)
-    slots = F.flatten(F.transform(cand, lambda c: F.transform(
-        F.sequence(F.greatest(F.lit(0).cast("bigint"),
-                              F.floor((F.col("dq")[c["cell"]] - lim) / c["w"]).cast("bigint")),
-                   F.least(F.floor(c["r"] / c["w"]).cast("bigint"),
-                           F.floor((F.col("dq")[c["cell"]] + lim) / c["w"]).cast("bigint"))),
-        lambda g: F.struct(c["cell"].alias("cell"), g.alias("ring")))))
-    probes = q.select("*", F.explode(slots).alias("_s")).select("*", "_s.cell", "_s.ring").drop("_s")
-    return probes.join(assigned, on=["cell", "ring"])
-
-
-def range_pairs(queries: DataFrame, index: tuple, radius: float) -> DataFrame:
-    """All (qid, rid, d) with d <= radius.  queries: (qid, vec)."""
-    assigned, pv, cs = index
-    q = _query_pivot_dists(queries, pv).withColumn("_cs", cs)
-    lim = F.lit(float(radius) * (1 + SLACK) + SLACK)
-    j = _probe(q, assigned, lim)
-    return (j.select("qid", "rid", dist(F.col("qvec"), F.col("vec")).alias("d"))
-            .where(F.col("d") <= F.lit(float(radius))))
-
-
 BLOCK = 2048
 PAIR_SCHEMA = "qid long, rid long, d double"
 
 
-def _block_topk(k: int):
+def _block_topk(k: int | None):
     """Per cogrouped (cell, sub-block) pair: each query's k best reference points
-    (distance, then rid) within its search radius.  Reference points are sorted by
+    (distance, then rid) within its search radius (every one when ``k`` is None).  Reference points are sorted by
     ring, so every query binary-searches its annulus ``[rlo, rhi]`` and computes
     exact distances (numpy differences, not |q|^2 + |r|^2 - 2 q.r) only there."""
     import numpy as np
@@ -219,7 +198,7 @@ def _block_topk(k: int):
             if not keep.any():
                 continue
             d, ids = d[keep], rid[a:b][keep]
-            if len(d) > k:
+            if k is not None and len(d) > k:
                 # ties at the k-th distance: keep every candidate with that distance
                 kth = np.partition(d, k - 1)[k - 1]
                 sel = d <= kth
@@ -235,31 +214,12 @@ def _block_topk(k: int):
     return run
 
 
-def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = False,
-        n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Exact k nearest reference points per query: (qid, rid, d, rank).
-
-    queries: (qid, vec); ref: (rid, vec).  With ``exclude_self`` a reference point
-    whose rid equals the qid is skipped (leave-one-out).  Distance ties are broken
-    by rid.  The search radius U of a query is the k-th smallest of
-    d(q, p_c) + d(x, p_c) over the cells' nearest-to-pivot points, an upper bound
-    on the k-th neighbour distance by the triangle inequality.
-
-    A query is sent once to every cell its radius can reach, with the ring
-    interval of that cell's annulus; queries and reference points meet per cell
-    in a cogrouped ``applyInPandas``.  A cell with more than ``block`` points on
-    either side is split into sub-blocks (reference rows by hash, queries
-    replicated to each sub-block and vice versa), so no task holds more than a
-    block per side.
-    """
-    need = k + (1 if exclude_self else 0)
-    assigned, pv, cs = build_index(ref, n_pivots, keep_k=need)
-    q = _query_pivot_dists(queries, pv).withColumn("_cs", cs)
-    bounds = F.array_sort(F.flatten(F.transform(
-        "_cs", lambda c: F.transform(F.coalesce(c["kd"], F.array().cast("array<double>")),
-                                     lambda v: F.col("dq")[c["cell"]] + v))))
-    q = q.withColumn("_u", F.coalesce(F.element_at(bounds, need), F.lit(float("inf"))))
-    lim = F.col("_u") * (1 + SLACK) + SLACK
+def _cell_blocks(q: DataFrame, assigned: DataFrame, lim: Column, k: int | None,
+                 block: int = BLOCK) -> DataFrame:
+    """Send each query (qid, qvec, dq, _cs) once to every cell its radius ``lim``
+    can reach, with that cell's ring interval, and meet the cell's reference points
+    in cogrouped numpy blocks (``_block_topk``).  A cell with more than ``block``
+    points on either side is split into hash sub-blocks."""
     cand = F.filter("_cs", lambda c: F.col("dq")[c["cell"]] - c["r"] <= lim)
     hit = F.transform(cand, lambda c: F.struct(
         c["cell"].alias("cell"),
@@ -288,7 +248,46 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
               .select("cell", "_rb", "_qb", "qid", "qvec", "_lim", "rlo", "rhi"))
     keys = ["cell", "_rb", "_qb"]
     pairs = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
-        _block_topk(need), PAIR_SCHEMA)
+        _block_topk(k), PAIR_SCHEMA)
+    return pairs
+
+
+def range_pairs(queries: DataFrame, index: tuple, radius: float, block: int = BLOCK) -> DataFrame:
+    """All (qid, rid, d) with d <= radius.  queries: (qid, vec).  Exact distances in
+    the cogrouped cell blocks; only pairs within the radius leave a task."""
+    assigned, pv, cs = index
+    q = _query_pivot_dists(queries, pv).withColumn("_cs", cs)
+    lim = F.lit(float(radius) * (1 + SLACK) + SLACK)
+    pairs = _cell_blocks(q, assigned, lim, None, block)
+    return pairs.where(F.col("d") <= F.lit(float(radius)))
+
+
+def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = False,
+        n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Exact k nearest reference points per query: (qid, rid, d, rank).
+
+    queries: (qid, vec); ref: (rid, vec).  With ``exclude_self`` a reference point
+    whose rid equals the qid is skipped (leave-one-out).  Distance ties are broken
+    by rid.  The search radius U of a query is the k-th smallest of
+    d(q, p_c) + d(x, p_c) over the cells' nearest-to-pivot points, an upper bound
+    on the k-th neighbour distance by the triangle inequality.
+
+    A query is sent once to every cell its radius can reach, with the ring
+    interval of that cell's annulus; queries and reference points meet per cell
+    in a cogrouped ``applyInPandas``.  A cell with more than ``block`` points on
+    either side is split into sub-blocks (reference rows by hash, queries
+    replicated to each sub-block and vice versa), so no task holds more than a
+    block per side.
+    """
+    need = k + (1 if exclude_self else 0)
+    assigned, pv, cs = build_index(ref, n_pivots, keep_k=need)
+    q = _query_pivot_dists(queries, pv).withColumn("_cs", cs)
+    bounds = F.array_sort(F.flatten(F.transform(
+        "_cs", lambda c: F.transform(F.coalesce(c["kd"], F.array().cast("array<double>")),
+                                     lambda v: F.col("dq")[c["cell"]] + v))))
+    q = q.withColumn("_u", F.coalesce(F.element_at(bounds, need), F.lit(float("inf"))))
+    lim = F.col("_u") * (1 + SLACK) + SLACK
+    pairs = _cell_blocks(q, assigned, lim, need, block)
     if exclude_self:
         pairs = pairs.where(F.col("qid") != F.col("rid"))
     w = Window.partitionBy("qid").orderBy("d", "rid")

@@ -117,3 +117,15 @@ def test_dbscan_3d_dense_blobs_and_bridge(spark):
     exp, core = _dbscan_brute(x, 0.25, 4)
     assert (got.is_core.values == core).all()
     assert (got.cluster.values == exp).all()
+
+
+def test_dbscan_pivot_path_5d(spark):
+    """Above four dimensions DBSCAN takes the pivot radius search (cell blocks)."""
+    rng = np.random.default_rng(23)
+    x = np.concatenate([rng.normal(0, .15, (120, 5)), rng.normal(1.5, .15, (80, 5)),
+                        rng.uniform(-1, 3, (20, 5))])
+    pdf = pd.DataFrame({"pid": range(len(x)), "vec": list(x)})
+    got = dbscan(spark.createDataFrame(pdf), 0.45, 5).toPandas().sort_values("pid")
+    exp, core = _dbscan_brute(x, 0.45, 5)
+    assert (got.is_core.values == core).all()
+    assert (got.cluster.values == exp).all()
