@@ -182,12 +182,13 @@ def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
     from pyspark import inheritable_thread_target
 
     folds = P.with_folds(data, keys, k, SEED).persist()
+    fold_med = P.fold_medians(folds, num, k)       # every fold's medians in one job
     metric = "r2" if task == "regression" else "accuracy"
     score = M.eval_regression if task == "regression" else M.eval_classification
 
     def one(i: int):
         tr_raw, va_raw = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        prep = P.fit_preprocessor(tr_raw, num, cat, scaling)
+        prep = P.fit_preprocessor(tr_raw, num, cat, scaling, fitted_medians=fold_med[i])
         tr, va = prep.model.transform(tr_raw), prep.model.transform(va_raw)
         if rff:
             stage = _rff_stage(tr, len(prep.feature_names))

@@ -86,3 +86,11 @@ def test_grid_search_picks_a_grid_point(unit_df):
                               cv_folds=0, tuning=True, key_cols=["yosh", "daromad", "shahar"])
     assert res.model.getOrDefault("maxDepth") in (3, 5, 8)
     assert 0.0 <= res.metrics["accuracy"] <= 1.0
+
+
+def test_fold_medians_equal_per_fold_medians(spark, unit_df):
+    df = P.with_folds(unit_df, ["rid"], 4)
+    cols = ["yosh", "daromad"]
+    allf = P.fold_medians(df, cols, 4)
+    for i in range(4):
+        assert allf[i] == P.medians(df.where(F.col("fold") != i), cols)
