@@ -31,7 +31,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.operators.neighbors import build_index, dist, range_pairs
+from tabsense.operators.neighbors import (SLACK, _cell_sides, _query_pivot_dists, block_reduce,
+                                          build_index, dist)
 from tabsense.session import cut_lineage
 
 
@@ -158,22 +159,48 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
     return out
 
 
-def _dbscan_pivot(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def _dbscan_pivot(points: DataFrame, eps: float, min_samples: int, max_iter: int = 100) -> DataFrame:
+    """DBSCAN above ``grid_max_dims`` dimensions on the pivot index, without
+    emitting point pairs: degrees are counted inside the cogrouped cell blocks,
+    clusters come from min-label propagation through the same blocks (each round
+    every core point takes the smallest label of its core neighbours within eps,
+    then jumps to its label's label), and border points take the smallest label of
+    a core neighbour.  Every round emits one row per point and is checkpointed."""
     ref = points.select(F.col("pid").alias("rid"), "vec")
-    index = build_index(ref)
-    pairs = range_pairs(points.select(F.col("pid").alias("qid"), "vec"), index, eps)
-    deg = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("deg"))
-    core = (points.select("pid").join(deg.withColumnRenamed("qid", "pid"), on="pid", how="left")
+    assigned, pv, cs = build_index(ref)
+    q = _query_pivot_dists(points.select(F.col("pid").alias("qid"), "vec"), pv).withColumn("_cs", cs)
+    lim = F.lit(float(eps) * (1 + SLACK) + SLACK)
+    q_side, r_side, keys = _cell_sides(q, assigned, lim)
+    deg = block_reduce(q_side, r_side, keys, eps, "count")
+    core = (points.select("pid").join(deg.select(F.col("qid").alias("pid"), F.col("v").alias("deg")),
+                                      on="pid", how="left")
             .select("pid", (F.coalesce("deg", F.lit(0)) >= min_samples).alias("is_core")))
     core = cut_lineage(core)
-    cores = core.where("is_core").select("pid")
-    cp = (pairs.join(cores.withColumnRenamed("pid", "qid"), on="qid")
-          .join(cores.withColumnRenamed("pid", "rid"), on="rid")
-          .where(F.col("qid") < F.col("rid")).select(F.col("qid").alias("a"), F.col("rid").alias("b")))
-    comps = connected_components(cp, cores.select(F.col("pid").alias("node")))
-    core_lab = comps.select(F.col("node").alias("pid"), F.col("comp").alias("cluster"))
-    border = (pairs.join(core_lab.withColumnRenamed("pid", "rid"), on="rid")
-              .groupBy(F.col("qid").alias("pid")).agg(F.min("cluster").alias("bl")))
-    return (core.join(core_lab, on="pid", how="left").join(border, on="pid", how="left")
+    core_ids = core.where("is_core").select("pid")
+    q_core = q_side.join(core_ids.withColumnRenamed("pid", "qid"), on="qid", how="left_semi")
+    r_core = r_side.join(core_ids.withColumnRenamed("pid", "rid"), on="rid", how="left_semi")
+    labels = cut_lineage(core_ids.select(F.col("pid").alias("node"), F.col("pid").alias("comp")))
+
+    def with_labels(lab: DataFrame) -> DataFrame:
+        return r_core.join(lab.select(F.col("node").alias("rid"), F.col("comp").alias("lab")), on="rid")
+
+    for _ in range(max_iter):
+        nb = block_reduce(q_core, with_labels(labels), keys, eps, "minlab")
+        step = (labels.join(nb.select(F.col("qid").alias("node"), F.col("v").alias("nc")), on="node", how="left")
+                .select("node", F.col("comp").alias("old"),
+                        F.least("comp", F.coalesce("nc", "comp")).alias("comp")))
+        jump = step.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("cc")),
+                         on="comp", how="left")
+        new = cut_lineage(jump.select("node", "old", F.least("comp", F.coalesce("cc", "comp")).alias("comp")))
+        changed = new.agg(F.count_if(F.col("comp") != F.col("old"))).first()[0]
+        labels = new.select("node", "comp")
+        if changed == 0:
+            break
+    q_border = q_side.join(core.where(~F.col("is_core")).select(F.col("pid").alias("qid")),
+                           on="qid", how="left_semi")
+    border = block_reduce(q_border, with_labels(labels), keys, eps, "minlab")
+    core_lab = labels.select(F.col("node").alias("pid"), F.col("comp").alias("cluster"))
+    return (core.join(core_lab, on="pid", how="left")
+            .join(border.select(F.col("qid").alias("pid"), F.col("v").alias("bl")), on="pid", how="left")
             .select("pid", F.coalesce("cluster", F.when(~F.col("is_core"), F.col("bl")), F.lit(-1))
                     .cast("bigint").alias("cluster"), "is_core"))

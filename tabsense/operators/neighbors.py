@@ -214,12 +214,12 @@ def _block_topk(k: int | None):
     return run
 
 
-def _cell_blocks(q: DataFrame, assigned: DataFrame, lim: Column, k: int | None,
-                 block: int = BLOCK) -> DataFrame:
+def _cell_sides(q: DataFrame, assigned: DataFrame, lim: Column,
+                block: int = BLOCK) -> tuple[DataFrame, DataFrame, list[str]]:
     """Send each query (qid, qvec, dq, _cs) once to every cell its radius ``lim``
-    can reach, with that cell's ring interval, and meet the cell's reference points
-    in cogrouped numpy blocks (``_block_topk``).  A cell with more than ``block``
-    points on either side is split into hash sub-blocks."""
+    can reach, with that cell's ring interval; returns the query side, the
+    reference side (every column of ``assigned``) and the cogroup keys.  A cell
+    with more than ``block`` points on either side is split into hash sub-blocks."""
     cand = F.filter("_cs", lambda c: F.col("dq")[c["cell"]] - c["r"] <= lim)
     hit = F.transform(cand, lambda c: F.struct(
         c["cell"].alias("cell"),
@@ -241,15 +241,66 @@ def _cell_blocks(q: DataFrame, assigned: DataFrame, lim: Column, k: int | None,
     r_side = (assigned.join(sub, on="cell")
               .withColumn("_rb", F.pmod(F.xxhash64("rid"), F.col("rs")).cast("int"))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-              .select("cell", "_rb", "_qb", "rid", "vec", "ring"))
+              .drop("rs", "qs"))
     q_side = (probes.join(sub, on="cell")
               .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int"))
               .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
               .select("cell", "_rb", "_qb", "qid", "qvec", "_lim", "rlo", "rhi"))
-    keys = ["cell", "_rb", "_qb"]
-    pairs = q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
+    return q_side, r_side, ["cell", "_rb", "_qb"]
+
+
+def _cell_blocks(q: DataFrame, assigned: DataFrame, lim: Column, k: int | None,
+                 block: int = BLOCK) -> DataFrame:
+    """(qid, rid, d): each query's k best (or all) points within ``lim``, from the
+    cogrouped cell blocks of ``_cell_sides``."""
+    q_side, r_side, keys = _cell_sides(q, assigned, lim, block)
+    r_side = r_side.select(*keys, "rid", "vec", "ring")
+    return q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(
         _block_topk(k), PAIR_SCHEMA)
-    return pairs
+
+
+def _block_reduce(radius: float, mode: str):
+    """Per cogrouped block, one row per query with at least one reference point
+    within ``radius``: their number (``count``) or their smallest ``lab``
+    (``minlab``).  No pair leaves the task."""
+    import numpy as np
+    import pandas as pd
+
+    def run(_key, qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or rpdf.empty:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
+        ring = rpdf["ring"].to_numpy()
+        order = np.argsort(ring, kind="stable")
+        ring = ring[order]
+        rv = np.stack(rpdf["vec"].to_numpy()).astype("float64")[order]
+        lab = rpdf["lab"].to_numpy()[order] if mode == "minlab" else None
+        qv = np.stack(qpdf["qvec"].to_numpy()).astype("float64")
+        starts = np.searchsorted(ring, qpdf["rlo"].to_numpy(), "left")
+        ends = np.searchsorted(ring, qpdf["rhi"].to_numpy(), "right")
+        qids = qpdf["qid"].to_numpy()
+        out_q, out_v = [], []
+        for i in range(qv.shape[0]):
+            a, b = starts[i], ends[i]
+            if a >= b:
+                continue
+            diff = rv[a:b] - qv[i]
+            keep = np.sqrt(np.einsum("rd,rd->r", diff, diff)) <= radius
+            if not keep.any():
+                continue
+            out_q.append(qids[i])
+            out_v.append(int(keep.sum()) if mode == "count" else int(lab[a:b][keep].min()))
+        return pd.DataFrame({"qid": np.asarray(out_q, dtype="int64"), "v": np.asarray(out_v, dtype="int64")})
+    return run
+
+
+def block_reduce(q_side: DataFrame, r_side: DataFrame, keys: list[str], radius: float,
+                 mode: str) -> DataFrame:
+    """(qid, v) summed (count) or minimised (minlab) over the query's blocks."""
+    cols = ["rid", "vec", "ring"] + (["lab"] if mode == "minlab" else [])
+    part = q_side.groupBy(*keys).cogroup(r_side.select(*keys, *cols).groupBy(*keys)).applyInPandas(
+        _block_reduce(float(radius), mode), "qid long, v long")
+    agg = F.sum("v") if mode == "count" else F.min("v")
+    return part.groupBy("qid").agg(agg.alias("v"))
 
 
 def range_pairs(queries: DataFrame, index: tuple, radius: float, block: int = BLOCK) -> DataFrame:

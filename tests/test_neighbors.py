@@ -129,3 +129,17 @@ def test_dbscan_pivot_path_5d(spark):
     exp, core = _dbscan_brute(x, 0.45, 5)
     assert (got.is_core.values == core).all()
     assert (got.cluster.values == exp).all()
+
+
+def test_dbscan_pivot_path_long_chain(spark):
+    """A 6-D chain of points spaced just under eps needs many propagation rounds;
+    its single cluster label must be the smallest core id."""
+    rng = np.random.default_rng(29)
+    t = np.arange(60) * 0.09
+    chain = np.column_stack([t, np.zeros(60), np.zeros(60), np.zeros(60), np.zeros(60), np.zeros(60)])
+    x = np.concatenate([chain[::-1], rng.uniform(10, 20, (10, 6))])
+    pdf = pd.DataFrame({"pid": range(len(x)), "vec": list(x)})
+    got = dbscan(spark.createDataFrame(pdf), 0.1, 2).toPandas().sort_values("pid")
+    exp, core = _dbscan_brute(x, 0.1, 2)
+    assert (got.is_core.values == core).all()
+    assert (got.cluster.values == exp).all()
