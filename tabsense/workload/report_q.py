@@ -50,7 +50,31 @@ def q_run_steps(spark, sf):
     return status
 
 
-@register("summary_lines")
+def _summary_sql() -> str:
+    """The four summary lines: profile counts and the z-score outlier columns come
+    from the table; the two chart steps end as fixed texts (an unknown kind fails,
+    the box plot succeeds)."""
+    from tabsense.operators.charts import CHART_TYPES
+    cols = ["c_custkey", "c_nationkey", "c_acctbal"]
+    stats = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(cols))
+    counts = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, count_if(abs(({c} - m{i}) / s{i}) > 3.0) AS n FROM customer, s WHERE s{i} <> 0"
+        for i, c in enumerate(cols))
+    failed = f"chart failed: unknown chart type 'hist'; known: {', '.join(CHART_TYPES)}"
+    return f"""
+WITH s AS (SELECT {stats} FROM customer),
+o AS ({counts}),
+t AS (SELECT string_agg(col || ' ' || CAST(n AS VARCHAR), ', ' ORDER BY n DESC, col) AS top
+      FROM (SELECT * FROM o WHERE n > 0 ORDER BY n DESC, col LIMIT 6) k)
+SELECT 0 AS step, 'profile: ' || CAST(count(*) AS VARCHAR) || ' rows, 5 columns, '
+       || CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer) d) AS VARCHAR)
+       || ' duplicate rows' AS line FROM customer
+UNION ALL SELECT 1, 'outliers (zscore): ' || coalesce(top, 'none found') FROM t
+UNION ALL SELECT 2, '{failed.replace("'", "''")}'
+UNION ALL SELECT 3, 'chart: box_plot'"""
+
+
+@register("summary_lines", _summary_sql())
 def q_summary_lines(spark, sf):
     ctx = H.StepContext(table(spark, sf, "customer"))
     _status, outputs = H.run_steps(ctx, STEPS[:4])
