@@ -79,3 +79,22 @@ def test_exact_quantiles_without_broadcast(spark):
         exp = np.quantile(g["v"].values, probs)
         for i, e in enumerate(exp):
             assert abs(got[k][f"q{i}"] - e) <= 1e-9 * max(1.0, abs(e))
+
+
+def test_density_same_without_broadcast(spark):
+    """Group statistics above the broadcast threshold are joined by key instead;
+    the density table must not change."""
+    from tabsense.functions.buckets import local_if_small
+    from tabsense.operators import charts as C
+    pdf, df = _skewed(spark, n=6000, seed=41)
+    df = df.withColumn("g", (F.col("k") % 2).cast("string"))
+    base = sorted((r["g"], r["point"], round(r["density"], 12)) for r in C.density(df, "v", "g").collect())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert local_if_small(df.select("g").distinct()) is None
+        other = sorted((r["g"], r["point"], round(r["density"], 12))
+                       for r in C.density(df, "v", "g").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert base == other
