@@ -1,8 +1,11 @@
 """The registered opN_<name> queries over the whole ``documents`` table."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabsense.llm.common import documents
 from tabsense.llm.exact_dedup import exact_dedup
+from tabsense.llm.host_quality import host_quality
 from tabsense.llm.registry import QUERIES, SQL, register  # noqa: F401
 
 
@@ -12,3 +15,42 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def q_exact_dedup(spark, sf):
     return exact_dedup(documents(spark, sf))
+
+
+@register("op7_host_quality", r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
+keyed AS (SELECT doc_id, i, struct_pack(a := ws[i], b := ws[i + 1], c := ws[i + 2]) AS k FROM win),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keyed) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+          SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (
+  SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id)),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         100 * n_symbols > 10 * n_words OR 2 * n_dup_lines > n_words
+           OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS more_failed FROM m),
+h AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR more_failed) AS k FROM f GROUP BY source),
+p AS (
+  SELECT sum(k) / sum(n) AS mu, var_pop(k / n) AS v FROM h),
+s AS (
+  SELECT mu, CASE WHEN v > 0 AND mu * (1 - mu) / v - 1 > 0 THEN mu * (1 - mu) / v - 1 ELSE 10 END AS st FROM p),
+r AS (
+  SELECT source, (k + mu * st) / (n + st) AS rate FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       round(rate, 6) AS host_rate, NOT base_failed AND NOT rate > 0.9 AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""")
+def q_host_quality(spark, sf):
+    return host_quality(documents(spark, sf)).withColumn("host_rate", F.round("host_rate", 6))
