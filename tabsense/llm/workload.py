@@ -7,6 +7,7 @@ from tabsense.llm.common import documents
 from tabsense.llm.exact_dedup import exact_dedup
 from tabsense.llm.host_quality import host_quality
 from tabsense.llm.registry import QUERIES, SQL, register  # noqa: F401
+from tabsense.llm.simhash import simhash_components
 
 
 @register("op1_exact_dedup", """
@@ -54,3 +55,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""")
 def q_host_quality(spark, sf):
     return host_quality(documents(spark, sf)).withColumn("host_rate", F.round("host_rate", 6))
+
+
+@register("op4_simhash")
+def q_simhash(spark, sf):
+    return simhash_components(documents(spark, sf), shingle=3, max_bits=2)
