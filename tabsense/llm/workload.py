@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from tabsense.llm.common import documents
 from tabsense.llm.exact_dedup import exact_dedup
 from tabsense.llm.host_quality import host_quality
+from tabsense.llm.mixing import mix
 from tabsense.llm.registry import QUERIES, SQL, register  # noqa: F401
+from tabsense.llm.sharding import shard_documents
 from tabsense.llm.simhash import simhash_components
 
 
@@ -57,6 +59,16 @@ def q_host_quality(spark, sf):
     return host_quality(documents(spark, sf)).withColumn("host_rate", F.round("host_rate", 6))
 
 
+@register("op2_mixing")
+def q_mixing(spark, sf):
+    return mix(documents(spark, sf))
+
+
 @register("op4_simhash")
 def q_simhash(spark, sf):
     return simhash_components(documents(spark, sf), shingle=3, max_bits=2)
+
+
+@register("op8_sharding")
+def q_sharding(spark, sf):
+    return shard_documents(documents(spark, sf), shards=24)
