@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import bit_filter, probe, text_of
+from tabsense.llm.common import bit_filter, materialize, probe, text_of
 
 PREFIX_CHARS = 64
 
@@ -44,7 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of equal texts the largest id stays.  The join on the digest is the only
     shuffle of all rows (id and digest); a hot group is split by AQE's skew join.
     """
-    groups = duplicate_groups(docs, id_col, text_col)
+    groups = materialize(duplicate_groups(docs, id_col, text_col))   # else no skew split in the join
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"),
                        F.unhex(F.sha2(text_of(text_col), 256)).alias("sha"))
     keep = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))
