@@ -193,7 +193,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     ready = []
     tasks = materialize(_roots(fps, max_bits))
     while True:
-        sized = tasks.join(tasks.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"), KEY)
+        counts = materialize(tasks.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"))
+        sized = tasks.join(counts, KEY)
         ready.append(sized.where(F.col("n") <= MAX_ROOT).drop("n"))
         tasks = materialize(_split(sized.where(F.col("n") > MAX_ROOT).drop("n"), max_bits))
         if tasks.isEmpty():
