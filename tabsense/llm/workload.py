@@ -8,6 +8,7 @@ from tabsense.llm.exact_dedup import exact_dedup
 from tabsense.llm.host_quality import host_quality
 from tabsense.llm.mixing import mix
 from tabsense.llm.registry import QUERIES, SQL, register  # noqa: F401
+from tabsense.llm.secret_scan import scan_secrets
 from tabsense.llm.sharding import shard_documents
 from tabsense.llm.simhash import simhash_components
 
@@ -64,6 +65,11 @@ def q_mixing(spark, sf):
     return mix(documents(spark, sf))
 
 
+@register("op3_secret_scan")
+def q_secret_scan(spark, sf):
+    return scan_secrets(documents(spark, sf))
+
+
 @register("op4_simhash")
 def q_simhash(spark, sf):
     return simhash_components(documents(spark, sf), shingle=3, max_bits=2)
