@@ -233,3 +233,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return (rows.join(named, "fp")
             .select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                     F.col("component").alias("component_id"), F.col("size").alias("component_size")))
+
+
+def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                           shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row with the smallest id
+    stays, with all its columns; of rows repeating that id, those repeat as they are."""
+    found = simhash_components(docs.select(F.col(f"`{id_col}`").alias("doc_id"),
+                                           F.col(f"`{text_col}`").alias("text")),
+                               shingle=shingle, max_bits=max_bits)
+    stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+                       .select(F.col("doc_id").alias("_stay")).distinct())
+    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 from tabsense.llm.common import documents
 from tabsense.llm.exact_dedup import exact_dedup
 from tabsense.llm.host_quality import host_quality
+from tabsense.llm.line_dedup import line_report
 from tabsense.llm.mixing import mix
+from tabsense.llm.packing import pack
 from tabsense.llm.registry import QUERIES, SQL, register  # noqa: F401
 from tabsense.llm.secret_scan import scan_secrets
 from tabsense.llm.sharding import shard_documents
 from tabsense.llm.simhash import simhash_components
+from tabsense.llm.tokens import packing_vocabulary
 
 
 @register("op1_exact_dedup", """
@@ -78,3 +81,13 @@ def q_simhash(spark, sf):
 @register("op8_sharding")
 def q_sharding(spark, sf):
     return shard_documents(documents(spark, sf), shards=24)
+
+
+@register("op9_packing")
+def q_packing(spark, sf):
+    return pack(documents(spark, sf), packing_vocabulary())
+
+
+@register("op10_line_dedup")
+def q_line_dedup(spark, sf):
+    return line_report(documents(spark, sf))
