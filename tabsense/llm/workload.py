@@ -9,11 +9,13 @@ from tabsense.llm.host_quality import host_quality
 from tabsense.llm.line_dedup import line_report
 from tabsense.llm.mixing import mix
 from tabsense.llm.packing import pack
+from tabsense.llm.private_data import find_private
 from tabsense.llm.registry import QUERIES, SQL, register  # noqa: F401
 from tabsense.llm.secret_scan import scan_secrets
 from tabsense.llm.sharding import shard_documents
 from tabsense.llm.simhash import simhash_components
-from tabsense.llm.tokens import packing_vocabulary
+from tabsense.llm.token_count import count_tokens
+from tabsense.llm.tokens import packing_vocabulary, piece_vocabulary
 
 
 @register("op1_exact_dedup", """
@@ -91,3 +93,13 @@ def q_packing(spark, sf):
 @register("op10_line_dedup")
 def q_line_dedup(spark, sf):
     return line_report(documents(spark, sf))
+
+
+@register("op5_private_data")
+def q_private_data(spark, sf):
+    return find_private(documents(spark, sf))
+
+
+@register("op6_token_count")
+def q_token_count(spark, sf):
+    return count_tokens(documents(spark, sf), piece_vocabulary())
