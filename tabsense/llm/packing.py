@@ -19,9 +19,11 @@ columns are ignored.
 """
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,9 @@ BLOCK = 1 << 20
 SENTENCE_COST = 32
 HARD_COST = 256
 HARD_STEP = 256
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 # What ends a sentence in the vocabulary's words.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?]*")
 STOPS = (".", "!", "?", "…", "。", "！", "？")
 
 
@@ -53,6 +56,8 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes = np.zeros(len(self.stops), bool)
+        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.stops[[i for w, i in vocab.items() if w.removesuffix("</w>").endswith(STOPS)]] = True
 
     def __call__(self, text: bytes) -> bytes:
@@ -61,11 +66,35 @@ class WordIds:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = list(set(words))
-        got = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got))
+        self._learn([w.decode() for w in new], new)
         return b"".join(map(self.known.__getitem__, words))
 
 
+    def _learn(self, words: list[str], keys: list[bytes]) -> None:
+        """Plain words are encoded as one text and parted where their pre-tokens close (a
+        run of letters, a run of marks); others, or all if the closes differ, one by one."""
+        found = list(map(PLAIN.fullmatch, words))
+        plain = [i for i, m in enumerate(found) if m]
+        text = " ".join([words[i] for i in plain])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        last = np.cumsum([1 + (m.end(1) < m.end()) for m in map(found.__getitem__, plain)], dtype=np.int64) - 1
+        if len(plain) and (len(ends) != last[-1] + 1 or ends[-1] != len(ids)):
+            plain, last = [], last[:0]
+        cuts, data = [0, *(4 * ends[last]).tolist()], ids.tobytes()
+        self.known.update((keys[i], data[a:b]) for i, a, b in zip(plain, cuts, cuts[1:]))
+        if len(plain) < len(words):
+            rest = sorted(set(range(len(words))).difference(plain))
+            got = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
+            self.known.update((keys[i], np.array(e.ids, "<u4").tobytes()) for i, e in zip(rest, got))
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so that later tasks find the words of earlier ones."""
+    return WordIds(path)
+
+
 def window_cuts(places: list[int], costs: list[int], length: int) -> list[int]:
     """Cuts of least total padding and cutting cost; ``places`` ascend from 0, less than
     ``length`` apart, and end with the end of the tokens."""
@@ -154,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         packer = Packer(words.stops, length, TaskContext.get().partitionId() << 33)
 
         def done(id_type):
