@@ -33,6 +33,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# What a text must hold for a kind to occur in it: a cheap look before the scan.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 IDENTIFIER = r"(?<![A-Za-z0-9])[A-Z]{1,3}[0-9][0-9A-Z-]{4,}"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CONTEXT = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
@@ -66,7 +68,7 @@ def _valid(kind: str, m: Column) -> Column:
     return bind(_digits(m), lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, needs: str) -> Column:
     """array of (start, end, value, before): leftmost non-overlapping matches and the
     text since the one before.  Starts are two-level running sums of lengths."""
     def build(c):
@@ -85,11 +87,13 @@ def matches(text: Column, pattern: str) -> Column:
                             F.right(F.get(p, i), F.lit(CONTEXT_CHARS)).alias("before"))
 
         found = bind(sizes, lambda s: bind(blocks(s), lambda sums: F.transform(m, lambda v, i: row(s, sums, v, i))))
-        return F.when(F.size(m) > 0, found).otherwise(
-            F.expr("CAST(array() AS array<struct<start:bigint,end:bigint,value:string,before:string>>)"))
+        return found
 
-    return bind(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-                         F.split(text, pattern, -1).alias("p")), build)
+    none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint,value:string,before:string>>)")
+    all_matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = bind(all_matches, lambda m: F.when(F.size(m) > 0, bind(
+        F.struct(m.alias("m"), F.split(text, pattern, -1).alias("p")), build)).otherwise(none))
+    return F.when(text.rlike(needs), found).otherwise(none)
 
 
 def _context(before: Column) -> Column:
@@ -100,7 +104,7 @@ def _context(before: Column) -> Column:
 def _base(text: Column) -> Column:
     """Sorted array of (start, kind, end)."""
     def of(n, kind):
-        kept = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
+        kept = F.filter(matches(text, PATTERNS[kind], NEEDS[kind]), lambda m: _valid(kind, m["value"]))
         return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(n).alias("kind"),
                                                     m["end"].alias("end")))
 
@@ -118,7 +122,7 @@ def _nodes(text: Column) -> Column:
             out = out | (v.rlike(f"^(?:{PATTERNS[k]})$") & _valid(k, v))
         return out
 
-    marked = F.transform(matches(text, both), lambda m: F.struct(
+    marked = F.transform(matches(text, both, "[0-9@]"), lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), _context(m["before"]).alias("pattern"),
         F.xxhash64(m["value"]).alias("inst"), seed(m["value"]).alias("seed"),
         (F.length(_digits(m["value"])).__ge__(LEAST_DIGITS)
