@@ -142,9 +142,10 @@ def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     Texts are measured twice (host rates first, then the verdict) instead of being
     shuffled or written once more.
     """
-    measured = measure(docs, text_col, doc_rules)
-    hosts = host_table(measured.select(F.col(f"`{host_col}`").alias("_host"), F.col("_m.failed")),
-                       "_host", host_rules).where("rejected").select(F.col("host").alias("_rejected"))
-    host = measured[host_col]
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{host_col}`").alias("_host"),
+                       F.col(f"`{text_col}`").alias("_text"))
+    measured = measure(rows, "_text", doc_rules)
+    hosts = host_table(measured.select("_host", F.col("_m.failed").alias("failed")), "_host", host_rules)
+    hosts = hosts.where("rejected").select(F.col("host").alias("_rejected"))
     return (measured.where(~F.col("_m.base_failed"))
-            .join(hosts, host.eqNullSafe(F.col("_rejected")), "left_anti").drop("_m"))
+            .join(hosts, F.col("_host").eqNullSafe(F.col("_rejected")), "left_anti").select("_row.*"))

@@ -244,4 +244,5 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
                                shingle=shingle, max_bits=max_bits)
     stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
                        .select(F.col("doc_id").alias("_stay")).distinct())
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"))
+    return rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi").select("_row.*")
