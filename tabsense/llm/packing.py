@@ -24,6 +24,8 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ HARD_COST = 256
 HARD_STEP = 256
 CACHE_WORDS = 1 << 20
 # What ends a sentence in the vocabulary's words.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?]*")
+MARKS = ".,;:!?"
+PLAIN = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]*")
 STOPS = (".", "!", "?", "…", "。", "！", "？")
 
 
@@ -62,23 +65,26 @@ class WordIds:
 
     def __call__(self, text: bytes) -> bytes:
         words = text.split()
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(set(words))
-        self._learn([w.decode() for w in new], new)
-        return b"".join(map(self.known.__getitem__, words))
-
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            at = list(compress(count(), map(is_, parts, repeat(None))))
+            new = list({words[i] for i in at})
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+            self._learn([w.decode() for w in new], new)
+            for i in at:
+                parts[i] = self.known[words[i]]
+        return b"".join(parts)
 
     def _learn(self, words: list[str], keys: list[bytes]) -> None:
         """Plain words are encoded as one text and parted where their pre-tokens close (a
         run of letters, a run of marks); others, or all if the closes differ, one by one."""
-        found = list(map(PLAIN.fullmatch, words))
-        plain = [i for i, m in enumerate(found) if m]
-        text = " ".join([words[i] for i in plain])
+        plain = [i for i, m in enumerate(map(PLAIN.fullmatch, words)) if m]
+        taken = [words[i] for i in plain]
+        text = " ".join(taken)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
-        last = np.cumsum([1 + (m.end(1) < m.end()) for m in map(found.__getitem__, plain)], dtype=np.int64) - 1
+        last = np.cumsum([1 + (w[-1] in MARKS) for w in taken], dtype=np.int64) - 1
         if len(plain) and (len(ends) != last[-1] + 1 or ends[-1] != len(ids)):
             plain, last = [], last[:0]
         cuts, data = [0, *(4 * ends[last]).tolist()], ids.tobytes()
@@ -118,16 +124,16 @@ def window_cuts(places: list[int], costs: list[int], length: int) -> list[int]:
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, stops: np.ndarray) -> tuple[list[int], list[int]]:
-    """Places of possible cuts and their costs."""
-    sentence = np.flatnonzero(stops[ids]) + 1
-    soft = np.unique(np.concatenate([[0], sentence, doc_ends]))
-    gaps = np.diff(soft)
-    hard = [np.arange(soft[i] + HARD_STEP, soft[i + 1], HARD_STEP) for i in np.flatnonzero(gaps > HARD_STEP)]
-    places = np.unique(np.concatenate([soft, *hard]))
-    costs = np.full(len(places), HARD_COST)
-    costs[np.isin(places, sentence)] = SENTENCE_COST
-    costs[np.isin(places, doc_ends)] = 0
-    return places.tolist(), costs.tolist()
+    """Places of possible cuts and their costs (the first place costs nothing)."""
+    price = np.full(len(ids) + 1, -1)
+    price[1:][stops[ids]] = SENTENCE_COST
+    price[doc_ends] = 0
+    price[0] = 0
+    soft = np.flatnonzero(price >= 0)
+    for i in np.flatnonzero(np.diff(soft) > HARD_STEP):
+        price[soft[i] + HARD_STEP:soft[i + 1]:HARD_STEP] = HARD_COST
+    places = np.flatnonzero(price >= 0)
+    return places.tolist(), price[places].tolist()
 
 
 class Packer:
