@@ -57,20 +57,19 @@ def _sure_stencil(d: int) -> list[list[int]]:
     return out
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_iter: int = 100,
-                         checkpoint_every: int = 1) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest node id per component.  edges: (a, b) undirected; nodes: (node).
     Returns (node, comp).
 
     Each round takes the smallest label among a node's neighbours, then jumps to
     the label of that label (pointer jumping), so long chains converge in few
-    rounds.  Every round is checkpointed into the shared checkpoint folder, so the
+    rounds; it goes on until a round changes nothing.  Every round is checkpointed into the shared checkpoint folder, so the
     plan stays one round deep and a lost executor costs one round at most.
     """
     sym = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sym = cut_lineage(sym.distinct())
     labels = cut_lineage(nodes.select("node", F.col("node").alias("comp")))
-    for _ in range(max_iter):
+    while True:
         nb = (sym.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("bc")), on="b")
               .groupBy(F.col("a").alias("node")).agg(F.min("bc").alias("nc")))
         step = (labels.join(nb, on="node", how="left")
@@ -84,12 +83,16 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_iter: int = 100
         labels = new.select("node", "comp")
         if changed == 0:
             return labels
-    return labels
 
 
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
            grid_max_dims: int = 4) -> DataFrame:
-    """points: (pid bigint, vec array<double>).  Returns (pid, cluster, is_core)."""
+    """points: (pid bigint, vec array<double>[, w bigint]).  Returns (pid, cluster, is_core).
+
+    ``w`` is the number of rows a point stands for (1 without the column): repeated
+    rows are one weighted point, so they never meet as pairs."""
+    if "w" not in points.columns:
+        points = points.withColumn("w", F.lit(1).cast("bigint"))
     d = points.select(F.size("vec").alias("d")).first()
     if d is None:
         return points.sparkSession.createDataFrame([], "pid bigint, cluster bigint, is_core boolean")
@@ -98,8 +101,8 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
         return _dbscan_pivot(points, eps, min_samples)
     side = eps / math.sqrt(d)
     cell = F.transform("vec", lambda x: F.floor(x / F.lit(side)).cast("bigint"))
-    pts = points.select("pid", "vec", cell.alias("cell"))
-    sizes = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("csize"))
+    pts = points.select("pid", "vec", "w", cell.alias("cell"))
+    sizes = pts.groupBy("cell").agg(F.sum("w").alias("csize"))
     pts = pts.join(sizes, on="cell")
     dense = F.col("csize") >= min_samples
     stencil = F.array(*[F.array(*[F.lit(o) for o in off]) for off in _stencil(d)])
@@ -109,10 +112,10 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
               .select("pid", F.col("vec").alias("pvec"),
                       F.explode(F.transform(stencil, lambda off: F.zip_with(
                           F.col("cell"), off, lambda c, o: c + o))).alias("cell")))
-    near = (probes.join(pts.select("cell", F.col("pid").alias("other"), "vec"), on="cell")
+    near = (probes.join(pts.select("cell", F.col("pid").alias("other"), "vec", "w"), on="cell")
             .where(dist(F.col("pvec"), F.col("vec")) <= F.lit(float(eps)))
-            .select("pid", "other"))
-    degree = near.groupBy("pid").agg(F.count(F.lit(1)).alias("deg"))
+            .select("pid", "other", "w"))
+    degree = near.groupBy("pid").agg(F.sum("w").alias("deg"))
     core = (pts.join(degree, on="pid", how="left")
             .select("pid", "cell", "vec", (dense | (F.coalesce("deg", F.lit(0)) >= min_samples))
                     .alias("is_core")))
@@ -159,7 +162,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
     return out
 
 
-def _dbscan_pivot(points: DataFrame, eps: float, min_samples: int, max_iter: int = 100) -> DataFrame:
+def _dbscan_pivot(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """DBSCAN above ``grid_max_dims`` dimensions on the pivot index, without
     emitting point pairs: degrees are counted inside the cogrouped cell blocks,
     clusters come from min-label propagation through the same blocks (each round
@@ -171,7 +174,8 @@ def _dbscan_pivot(points: DataFrame, eps: float, min_samples: int, max_iter: int
     q = _query_pivot_dists(points.select(F.col("pid").alias("qid"), "vec"), pv).withColumn("_cs", cs)
     lim = F.lit(float(eps) * (1 + SLACK) + SLACK)
     q_side, r_side, keys = _cell_sides(q, assigned, lim)
-    deg = block_reduce(q_side, r_side, keys, eps, "count")
+    weights = points.select(F.col("pid").alias("rid"), F.col("w").alias("lab"))
+    deg = block_reduce(q_side, r_side.join(weights, on="rid"), keys, eps, "sum")
     core = (points.select("pid").join(deg.select(F.col("qid").alias("pid"), F.col("v").alias("deg")),
                                       on="pid", how="left")
             .select("pid", (F.coalesce("deg", F.lit(0)) >= min_samples).alias("is_core")))
@@ -184,7 +188,7 @@ def _dbscan_pivot(points: DataFrame, eps: float, min_samples: int, max_iter: int
     def with_labels(lab: DataFrame) -> DataFrame:
         return r_core.join(lab.select(F.col("node").alias("rid"), F.col("comp").alias("lab")), on="rid")
 
-    for _ in range(max_iter):
+    while True:
         nb = block_reduce(q_core, with_labels(labels), keys, eps, "minlab")
         step = (labels.join(nb.select(F.col("qid").alias("node"), F.col("v").alias("nc")), on="node", how="left")
                 .select("node", F.col("comp").alias("old"),

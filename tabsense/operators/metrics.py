@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tabsense.functions import kinds as K
 from tabsense.functions.prefix import exclusive_prefix
@@ -33,11 +36,20 @@ def eval_regression(df: DataFrame, label: str = "label", prediction: str = "pred
 
 
 def _pairs(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    return df.select(K.col(label).cast("string").alias("y"),
-                     K.col(prediction).cast("string").alias("p")).where(
+    """(y, p) as text; numbers of two types are compared as numbers, so 1 is 1.0."""
+    y, p = K.col(label), K.col(prediction)
+    kinds = [df.select(c).schema[0].dataType for c in (y, p)]
+    if kinds[0] != kinds[1] and all(isinstance(t, NumericType) for t in kinds):
+        y, p = _number_text(y.cast("double")), _number_text(p.cast("double"))
+    return df.select(y.cast("string").alias("y"), p.cast("string").alias("p")).where(
         F.col("y").isNotNull() & F.col("p").isNotNull())
 
 
+def _number_text(v: Column) -> Column:
+    whole = (v == F.floor(v)) & (F.abs(v) < 2.0 ** 53)
+    return F.when(whole, v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+
+
 def class_stats(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Per class (labels union predictions): support, predicted, tp, precision, recall, f1."""
     pairs = _pairs(df, label, prediction)
@@ -179,6 +191,11 @@ def silhouette(df: DataFrame, features: Sequence[str] | str, cluster: str,
         vec = K.col(features).cast("array<double>")
     else:
         vec = F.array(*[K.col(c).cast("double") for c in features])
+    # distances do not change when the mean is taken off, but their digits survive
+    mean = df.where(vec.isNotNull()).agg(Summarizer.mean(array_to_vector(vec))).first()[0]
+    if mean is not None:
+        centre = F.array(*[F.lit(float(m)) for m in mean])
+        vec = F.zip_with(vec, centre, lambda a, b: a - b)
     pts = df.select(vec.alias("x"), K.col(cluster).cast("string").alias("c")).where(
         F.col("c").isNotNull() & F.col("x").isNotNull())
     pts = pts.withColumn("sq", F.aggregate(F.col("x"), F.lit(0.0), lambda acc, v: acc + v * v))
@@ -212,6 +229,8 @@ def _silhouette_unrolled(df: DataFrame, features: list[str], cluster: str,
     None when the table has more than ``max_unrolled`` entries."""
     d = len(features)
     xs = [K.col(c).cast("double") for c in features]
+    means = df.where(K.col(cluster).isNotNull()).agg(*[F.avg(x) for x in xs]).first()
+    xs = [x - F.lit(float(m or 0.0)) for x, m in zip(xs, means)]
     pts = df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)],
                     K.col(cluster).cast("string").alias("c")).where(F.col("c").isNotNull())
     x = [F.col(f"_x{i}") for i in range(d)]

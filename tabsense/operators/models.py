@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tabsense.functions import kinds as K
 from tabsense.operators import metrics as M
 from tabsense.operators import prep as P
+from tabsense.session import cut_lineage
 
 SEED = 42
 
@@ -159,11 +160,17 @@ def _rff_stage(train_feats: DataFrame, dim: int) -> RandomFourierFeatures:
 
 def _knn_fit_predict(train: DataFrame, test: DataFrame, task: str, k: int = 5) -> DataFrame:
     from tabsense.operators.neighbors import knn_predict
-    ref = train.select(F.col("_rid").alias("rid"), vector_to_array("features").alias("vec"),
-                       F.col("label").alias("target"))
-    q = test.select(F.col("_rid").alias("qid"), vector_to_array("features").alias("vec"))
-    pred = knn_predict(q, ref, k, task)
-    return test.join(pred.withColumnRenamed("qid", "_rid"), on="_rid")
+    ref = _numbered(train.select(vector_to_array("features").alias("vec"), F.col("label").alias("target"))
+                    .groupBy("vec", "target").agg(F.count(F.lit(1)).alias("w")), "rid")
+    rows = test.withColumn("_vec", vector_to_array("features"))
+    q = _numbered(rows.select(F.col("_vec").alias("vec")).distinct(), "qid")
+    pred = knn_predict(q, ref, k, task).join(q.select("qid", F.col("vec").alias("_vec")), on="qid")
+    return rows.join(pred.drop("qid"), on="_vec").drop("_vec")
+
+
+def _numbered(distinct_rows: DataFrame, name: str) -> DataFrame:
+    """Distinct rows with a unique id, checkpointed so that the ids never change."""
+    return cut_lineage(distinct_rows.withColumn(name, F.monotonically_increasing_id()))
 
 
 def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
@@ -300,10 +307,14 @@ def train_clustering(df: DataFrame, features: Sequence[str] | None = None,
     algo = normalise_algorithm(algorithm)
     if algo == "dbscan":
         from tabsense.operators.dbscan import dbscan
-        rid = K.col(id_col) if id_col else F.xxhash64(*[K.col(c) for c in feats], F.lit(SEED))
-        pts = x.select(rid.alias("pid"), vector_to_array("features").alias("vec"), "*")
-        lab = dbscan(pts.select("pid", "vec"), 0.5, 5)
-        labelled = pts.join(lab, on="pid").withColumnRenamed("cluster", "prediction")
+        # equal rows are one weighted point; its id is the least of theirs if they have ids
+        rows = x.withColumn("vec", vector_to_array("features"))
+        least = [F.min(K.col(id_col)).alias("pid")] if id_col else []
+        uniq = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("w"), *least)
+        uniq = cut_lineage(uniq) if id_col else _numbered(uniq, "pid")
+        lab = dbscan(uniq, 0.5, 5)
+        labelled = (rows.join(uniq.select("vec", "pid"), on="vec").join(lab, on="pid")
+                    .withColumnRenamed("cluster", "prediction"))
         used, model = "dbscan", None
     else:
         if algo in ("hierarchical", "agglomerative"):

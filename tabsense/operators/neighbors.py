@@ -261,8 +261,8 @@ def _cell_blocks(q: DataFrame, assigned: DataFrame, lim: Column, k: int | None,
 
 def _block_reduce(radius: float, mode: str):
     """Per cogrouped block, one row per query with at least one reference point
-    within ``radius``: their number (``count``) or their smallest ``lab``
-    (``minlab``).  No pair leaves the task."""
+    within ``radius``: the sum (``sum``) or the smallest (``minlab``) of their
+    ``lab``.  No pair leaves the task."""
     import numpy as np
     import pandas as pd
 
@@ -273,7 +273,7 @@ def _block_reduce(radius: float, mode: str):
         order = np.argsort(ring, kind="stable")
         ring = ring[order]
         rv = np.stack(rpdf["vec"].to_numpy()).astype("float64")[order]
-        lab = rpdf["lab"].to_numpy()[order] if mode == "minlab" else None
+        lab = rpdf["lab"].to_numpy()[order]
         qv = np.stack(qpdf["qvec"].to_numpy()).astype("float64")
         starts = np.searchsorted(ring, qpdf["rlo"].to_numpy(), "left")
         ends = np.searchsorted(ring, qpdf["rhi"].to_numpy(), "right")
@@ -288,18 +288,19 @@ def _block_reduce(radius: float, mode: str):
             if not keep.any():
                 continue
             out_q.append(qids[i])
-            out_v.append(int(keep.sum()) if mode == "count" else int(lab[a:b][keep].min()))
+            near = lab[a:b][keep]
+            out_v.append(int(near.sum() if mode == "sum" else near.min()))
         return pd.DataFrame({"qid": np.asarray(out_q, dtype="int64"), "v": np.asarray(out_v, dtype="int64")})
     return run
 
 
 def block_reduce(q_side: DataFrame, r_side: DataFrame, keys: list[str], radius: float,
                  mode: str) -> DataFrame:
-    """(qid, v) summed (count) or minimised (minlab) over the query's blocks."""
-    cols = ["rid", "vec", "ring"] + (["lab"] if mode == "minlab" else [])
+    """(qid, v) summed (sum) or minimised (minlab) over the query's blocks."""
+    cols = ["rid", "vec", "ring", "lab"]
     part = q_side.groupBy(*keys).cogroup(r_side.select(*keys, *cols).groupBy(*keys)).applyInPandas(
         _block_reduce(float(radius), mode), "qid long, v long")
-    agg = F.sum("v") if mode == "count" else F.min("v")
+    agg = F.sum("v") if mode == "sum" else F.min("v")
     return part.groupBy("qid").agg(agg.alias("v"))
 
 
@@ -336,7 +337,7 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
     bounds = F.array_sort(F.flatten(F.transform(
         "_cs", lambda c: F.transform(F.coalesce(c["kd"], F.array().cast("array<double>")),
                                      lambda v: F.col("dq")[c["cell"]] + v))))
-    q = q.withColumn("_u", F.coalesce(F.element_at(bounds, need), F.lit(float("inf"))))
+    q = q.withColumn("_u", F.coalesce(F.try_element_at(bounds, F.lit(need)), F.lit(float("inf"))))
     lim = F.col("_u") * (1 + SLACK) + SLACK
     pairs = _cell_blocks(q, assigned, lim, need, block)
     if exclude_self:
@@ -348,13 +349,21 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
 
 def knn_predict(queries: DataFrame, ref: DataFrame, k: int = 5, task: str = "classification",
                 exclude_self: bool = False) -> DataFrame:
-    """M7: kNN prediction.  ref: (rid, vec, target).  Classification = majority
-    vote, ties to the smallest label; regression = mean of the neighbours."""
+    """M7: kNN prediction.  ref: (rid, vec, target[, w]).  Classification = majority
+    vote, ties to the smallest label; regression = mean of the neighbours.  ``w`` is the
+    number of equal rows a reference point stands for: the nearest points are taken
+    until their weights make k."""
+    if "w" not in ref.columns:
+        ref = ref.withColumn("w", F.lit(1).cast("bigint"))
     nb = knn(queries, ref.select("rid", "vec"), k, exclude_self)
-    lab = nb.join(ref.select("rid", F.col("target")), on="rid")
+    nearer = Window.partitionBy("qid").orderBy("d", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    lab = (nb.join(ref.select("rid", "target", "w"), on="rid")
+           .withColumn("w", F.least("w", F.lit(k) - F.coalesce(F.sum("w").over(nearer), F.lit(0))))
+           .where("w > 0"))
     if task == "regression":
-        return lab.groupBy("qid").agg(F.avg(F.col("target").cast("double")).alias("prediction"))
-    votes = lab.groupBy("qid", "target").agg(F.count(F.lit(1)).alias("_v"))
+        return lab.groupBy("qid").agg(
+            (F.sum(F.col("target").cast("double") * F.col("w")) / F.sum("w")).alias("prediction"))
+    votes = lab.groupBy("qid", "target").agg(F.sum("w").alias("_v"))
     best = votes.groupBy("qid").agg(
         F.max_by("target", F.struct(F.col("_v"), -F.col("target").cast("double"))).alias("prediction")) \
         if _numeric_target(ref) else votes.groupBy("qid").agg(

@@ -138,7 +138,7 @@ def outlier_rows(df: DataFrame, column: str, method: str = "iqr",
     if normalise_method(method) == "zscore":
         mu = vals.agg(F.avg("v")).scalar()
         sd = vals.agg(F.stddev_samp("v")).scalar()
-        flag = F.abs((x - mu) / sd) > F.lit(float(threshold))
+        flag = F.abs(F.try_divide(x - mu, sd)) > F.lit(float(threshold))
     else:
         bounds = iqr_bounds(df, [column])
         lo = bounds.select("lower_bound").scalar()

@@ -40,7 +40,7 @@ def _stacked(df: DataFrame, section: int, metrics: Sequence[str], text: str | No
 
 
 def report_tables(df: DataFrame, models: DataFrame | None = None, dataset_id: str | None = None,
-                  max_columns: int = 40, max_numeric: int = 25, max_outliers: int = 25,
+                  max_columns: int | None = None, max_numeric: int | None = None, max_outliers: int | None = None,
                   with_charts: bool = True) -> DataFrame:
     """H1: the six report sections as one long frame."""
     mv = P.missing_values(df)
@@ -52,7 +52,7 @@ def report_tables(df: DataFrame, models: DataFrame | None = None, dataset_id: st
     parts = [_stacked(overview, 1, ["rows", "columns", "duplicate_rows", "total_missing"])]
     parts[0] = parts[0].withColumn("ord", F.expr(
         "CASE metric WHEN 'rows' THEN 0 WHEN 'columns' THEN 1 WHEN 'duplicate_rows' THEN 2 ELSE 3 END"))
-    parts.append(_stacked(mv.where(F.col("ord") < max_columns), 2, ["missing_count", "missing_pct"], "dtype"))
+    parts.append(_stacked(mv if max_columns is None else mv.where(F.col("ord") < max_columns), 2, ["missing_count", "missing_pct"], "dtype"))
     num = K.numeric_columns(df)[:max_numeric]
     if num:
         summary = P.numeric_summary(df, num)
@@ -62,7 +62,7 @@ def report_tables(df: DataFrame, models: DataFrame | None = None, dataset_id: st
         shared = O.fences(summary.select("ord", "column", F.col("p25").alias("q1"),
                                          F.col("p75").alias("q3"))) if all_num == num else None
         out = O.outliers_iqr(df, all_num, bounds=shared).where("outlier_count > 0")
-        out = out.orderBy("ord").limit(max_outliers)
+        out = out if max_outliers is None else out.orderBy("ord").limit(max_outliers)
         parts.append(_stacked(out, 4, ["outlier_count", "outlier_pct", "lower_bound", "upper_bound"]))
     if with_charts:
         try:

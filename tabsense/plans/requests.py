@@ -106,7 +106,8 @@ def _strip(c: Column) -> Column:
 def pick_target(msg: Column, columns: Sequence[str], mentions: Column) -> Column:
     """Q3: after target/maqsad/nishon; else the word before bashorat/predict/prognoz;
     else the first mentioned column; else the last column."""
-    low = F.create_map(*[x for c in columns for x in (F.lit(_lit_norm(c)), F.lit(c))]) \
+    names = {_lit_norm(c): c for c in columns}      # of names that differ by case the last one wins
+    low = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) \
         if columns else F.create_map().cast("map<string,string>")
     m1 = _strip(F.regexp_extract(msg, u(r"(?:target|maqsad|nishon)\w*\s*[:=]?\s*([^\s,;]+)"), 1))
     m2 = _strip(F.regexp_extract(msg, u(r"([^\s,;]+)\s+(?:ni\s+|ning\s+)?(?:bashorat|predict|prognoz)"), 1))

@@ -38,7 +38,7 @@ BINARY_FILE = T.StructType([T.StructField("path", T.StringType()),
                             T.StructField("content", T.BinaryType())])
 
 
-def screen(files: DataFrame, session_id: str, max_mb: float | None = S.MAX_UPLOAD_MB) -> DataFrame:
+def screen(files: DataFrame, session_id: str, max_mb: float | None = None) -> DataFrame:
     """Extension and size checks as column expressions; repeats dropped."""
     name = S.safe_name(F.col("path"))
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
@@ -68,7 +68,7 @@ def _register(spark: SparkSession, batch: DataFrame) -> DataFrame:
                 else:
                     status = "registered"
             except Exception as exc:  # noqa: BLE001
-                reason = f"unreadable: {str(exc)[:200]}"
+                reason = f"unreadable: {str(exc)}"
         # a replayed micro-batch must produce the same ids (see the idempotent write below)
         rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['session_id']}|{r['filepath']}|{r['length']}|{r['mtime']}")
         rows.append((str(rid), r["session_id"], r["filename"], r["filepath"], r["file_type"],
@@ -77,7 +77,7 @@ def _register(spark: SparkSession, batch: DataFrame) -> DataFrame:
 
 
 def ingest_folder(spark: SparkSession, landing: str, catalog_path: str, session_id: str = "default",
-                  max_mb: float | None = S.MAX_UPLOAD_MB, checkpoint: str | None = None,
+                  max_mb: float | None = None, checkpoint: str | None = None,
                   max_files_per_batch: int = 1000) -> DataFrame:
     """Process every file now in ``landing`` (availableNow) and return the
     catalog rows written by this run and earlier ones.  A micro-batch holds at
