@@ -9,6 +9,11 @@ beta prior fitted to all hosts by the method of moments, and a host is rejected
 when its shrunk rate exceeds ``HostRules.reject_rate``.  Host verdicts are joined
 back to the documents.
 
+``keep_documents`` also lets the host rate decide how strictly a document's own
+failures count: one that fails any rule but the base ones stays only on a trusted
+host, whose shrunk rate is ``HostRules.trust_rate`` at most.  ``host_quality`` gives
+``kept`` by the base rules and the host's rejection, as its SQL defines it.
+
 Defined results: null or wordless text has no words and fails; a null host is a
 host of its own; an empty table gives an empty result; repeated rows are measured
 alike; other columns are ignored or passed through.  Two different windows of one
@@ -41,6 +46,7 @@ class DocRules:
 class HostRules:
     """``reject_rate`` is high on purpose: a mixed host keeps its clean documents."""
     reject_rate: float = 0.9
+    trust_rate: float = 0.05        # a document that fails an extra rule stays only below
     prior_strength: float = 10.0    # used where the hosts' rates do not spread
 
 
@@ -146,6 +152,8 @@ def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
                        F.col(f"`{text_col}`").alias("_text"))
     measured = measure(rows, "_text", doc_rules)
     hosts = host_table(measured.select("_host", F.col("_m.failed").alias("failed")), "_host", host_rules)
-    hosts = hosts.where("rejected").select(F.col("host").alias("_rejected"))
+    hosts = (hosts.withColumn("_trusted", F.col("rate") <= host_rules.trust_rate).where("rejected OR _trusted")
+             .select(F.col("host").alias("_named"), F.col("rejected").alias("_rejected"), "_trusted"))
+    stays = F.when(F.col("_m.failed"), F.col("_trusted")).otherwise(~F.coalesce("_rejected", F.lit(False)))
     return (measured.where(~F.col("_m.base_failed"))
-            .join(hosts, F.col("_host").eqNullSafe(F.col("_rejected")), "left_anti").select("_row.*"))
+            .join(hosts, F.col("_host").eqNullSafe(F.col("_named")), "left").where(stays).select("_row.*"))

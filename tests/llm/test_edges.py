@@ -104,3 +104,14 @@ def test_failing_host_takes_its_documents(spark):
     kept = {r.doc_id for r in H.keep_documents(df).collect()}
     assert kept == set(range(400, 500))
     assert {r.doc_id for r in H.host_quality(df).where("kept").collect()} == kept
+
+
+def test_extra_rules_count_unless_the_host_is_trusted(spark):
+    """Junk on a mixed host goes, clean documents stay; on a trusted host a failing one stays too."""
+    junk = "a | b | c | " * 10 + CLEAN
+    rows = [(i, "mixed", junk if i % 5 == 0 else f"{CLEAN} {i}") for i in range(100)]
+    rows += [(100 + i, None, junk if i % 5 == 0 else f"{CLEAN} {i}") for i in range(100)]
+    rows += [(1000 + i, "good", junk if i == 0 else f"{CLEAN} {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    kept = Counter(r.doc_id for r in H.keep_documents(df).collect())
+    assert kept == Counter([i for i in range(200) if i % 5] + list(range(1000, 1400)))
