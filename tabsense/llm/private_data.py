@@ -2,13 +2,13 @@
 
 Base spans (e-mail, ip, card, phone) come from linear regular expressions with their
 checks, row by row.  They are the seeds: the up to two words before a seed are a
-lexical pattern.  Identifier-like strings that are no base span are candidates, with
-their own patterns.  The distinct (pattern, instance) pairs form a graph.  In every
+lexical pattern.  Tokens with ``LEAST_DIGITS`` digits or more that are no base span are
+candidates, with their own patterns.  The distinct (pattern, instance) pairs form a graph.  In every
 round a pattern is trusted if at least ``SUPPORT`` of its instances are known and
 they are ``CONFIDENCE`` of all its instances (plus one, so that few say little);
 trusted patterns make their candidates known, which may make more patterns trusted.
-It ends when nothing new is found, after ``ROUNDS`` rounds at most.  Every occurrence
-of a candidate found so becomes a span of kind ``found``.
+It ends when a round finds nothing new; known instances only grow, so it does.  Every
+occurrence of a candidate found so becomes a span of kind ``found``.
 
 Only pairs of short strings are shuffled, never texts; groups are summed map-side, so
 a pattern or value in a third of all rows is one row per task.
@@ -35,12 +35,19 @@ PATTERNS = {
 }
 # What a text must hold for a kind to occur in it: a cheap look before the scan.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-IDENTIFIER = r"(?<![A-Za-z0-9])[A-Z]{1,3}[0-9][0-9A-Z-]{4,}"
+# A token with a letter and LEAST_DIGITS digits or more.  One with a run of as many digits as
+# a card is left to the card's pattern, so that a seed in it stays one, unless it has a short
+# upper-case head.
+LEAST_DIGITS = 5      # of a candidate
+TOKEN = (rf"(?=(?:[A-Za-z_-]*+[0-9]){{{LEAST_DIGITS}}})(?=[0-9_-]*+[A-Za-z])"
+         r"(?![A-Za-z0-9_-]*?(?<![0-9])[0-9](?:-?[0-9]){13,18}+(?!-?[0-9]))"
+         r"[A-Za-z0-9]++(?:[_-]++[A-Za-z0-9]++)*+")
+IDENTIFIER = rf"(?<![A-Za-z0-9])(?:{TOKEN}|[A-Z]{{1,3}}[0-9][0-9A-Z-]{{4,}})"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-CONTEXT = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
-CONTEXT_CHARS = 40
-LEAST_DIGITS, LONGEST = 5, 40      # of a candidate
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 4
+# The last two words of a text read backwards: anchored, so linear for words of any length.
+CONTEXT = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?"
+PATTERN_CHARS = 40                 # longer patterns are told apart by their digest
+SUPPORT, CONFIDENCE = 5, 0.8
 _BLOCK = 256
 
 
@@ -84,7 +91,7 @@ def matches(text: Column, pattern: str, needs: str) -> Column:
             b = F.floor(i / _BLOCK).cast("int")
             to = total(F.slice(sums, F.lit(1), b)) + total(F.slice(s, b * _BLOCK + 1, i % _BLOCK + 1))
             return F.struct((to - F.length(v)).alias("start"), to.alias("end"), v.alias("value"),
-                            F.right(F.get(p, i), F.lit(CONTEXT_CHARS)).alias("before"))
+                            F.get(p, i).alias("before"))
 
         found = bind(sizes, lambda s: bind(blocks(s), lambda sums: F.transform(m, lambda v, i: row(s, sums, v, i))))
         return found
@@ -97,8 +104,9 @@ def matches(text: Column, pattern: str, needs: str) -> Column:
 
 
 def _context(before: Column) -> Column:
-    words = F.regexp_replace(F.regexp_extract(before, CONTEXT, 0), r"[\x20\x09-\x0D]+", " ")
-    return F.trim(F.lower(words))
+    last = F.reverse(F.regexp_extract(F.reverse(before), CONTEXT, 0))
+    words = F.trim(F.lower(F.regexp_replace(last, r"[\x20\x09-\x0D]+", " ")))
+    return bind(words, lambda w: F.when(F.length(w) > PATTERN_CHARS, F.md5(w)).otherwise(w))
 
 
 def _base(text: Column) -> Column:
@@ -114,7 +122,7 @@ def _base(text: Column) -> Column:
 def _nodes(text: Column) -> Column:
     """array of (start, end, pattern, inst, seed): seeds and candidates with their patterns."""
     order = ("email", "ip", "phone", "card")
-    both = "|".join([*(PATTERNS[k] for k in order), IDENTIFIER])
+    both = "|".join([*(PATTERNS[k] for k in order[:-1]), IDENTIFIER, PATTERNS["card"]])
 
     def seed(v):
         out = F.lit(False)
@@ -125,41 +133,34 @@ def _nodes(text: Column) -> Column:
     marked = F.transform(matches(text, both, "[0-9@]"), lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), _context(m["before"]).alias("pattern"),
         F.xxhash64(m["value"]).alias("inst"), seed(m["value"]).alias("seed"),
-        (F.length(_digits(m["value"])).__ge__(LEAST_DIGITS)
-         & (F.length(m["value"]) <= LONGEST)).alias("shaped")))
+        (F.length(_digits(m["value"])) >= LEAST_DIGITS).alias("shaped")))
     return F.filter(marked, lambda m: m["seed"] | m["shaped"])
 
 
-def trusted_instances(pairs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE,
-                      rounds: int = ROUNDS) -> DataFrame:
+def trusted_instances(pairs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(inst): candidates found over trusted patterns; ``pairs`` has (pattern, inst, seed)."""
-    cur = materialize(pairs.where("pattern <> ''").groupBy("pattern", "inst")
-                      .agg(F.max("seed").alias("known"), F.max("seed").alias("seed")))
-    count = cur.where("known").count()
-    for _ in range(rounds):
-        good = (cur.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("known").alias("k"))
-                .where((F.col("k") >= support) & (F.col("k") >= confidence * (F.col("n") + 1)))
-                .select("pattern"))
-        new = materialize(cur.join(materialize(good), "pattern").where("NOT known").select("inst").distinct())
+    edges = materialize(pairs.where("pattern <> ''").groupBy("pattern", "inst").agg(F.max("seed").alias("seed")))
+    found = edges.select("inst").limit(0)
+    while True:
+        cur = edges.join(found.withColumn("new", F.lit(True)), "inst", "left").select(
+            "pattern", "inst", (F.col("seed") | F.col("new").isNotNull()).alias("known"))
+        good = materialize(cur.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("known").alias("k"))
+                           .where((F.col("k") >= support) & (F.col("k") >= confidence * (F.col("n") + 1))
+                                  & (F.col("k") < F.col("n"))).select("pattern"))
+        new = materialize(cur.where("NOT known").join(good, "pattern").select("inst").distinct())
         if new.isEmpty():
-            break
-        cur = materialize(cur.join(new.withColumn("new", F.lit(True)), "inst", "left")
-                          .select("pattern", "inst", (F.col("known") | F.col("new").isNotNull()).alias("known"), "seed"))
-        now = cur.where("known").count()
-        if now == count:
-            break
-        count = now
-    return cur.where("known AND NOT seed").select("inst").distinct()
+            return found
+        found = materialize(found.union(new))
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+                 support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone, n_found, base_sha256, spans."""
     text = text_of(text_col)
     rows = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"),
                                    _base(text).alias("base"), _nodes(text).alias("nodes")))
     nodes = rows.select("id", "th", F.explode("nodes").alias("n")).select("id", "th", "n.*")
-    insts = materialize(trusted_instances(nodes.select("pattern", "inst", "seed"), support, confidence, rounds))
+    insts = trusted_instances(nodes.select("pattern", "inst", "seed"), support, confidence)
     found = (nodes.where("NOT seed").join(insts, "inst")
              .groupBy("id", "th").agg(F.collect_set(F.struct(
                  F.col("start"), F.lit(len(KINDS) - 1).alias("kind"), F.col("end"))).alias("more"))

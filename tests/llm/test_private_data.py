@@ -65,3 +65,34 @@ def test_contexts_find_unseen_identifiers(spark):
     assert out[100].spans == "found:15:23" and out[101].spans == "found:10:18"
     assert out[102].n_found == 0 and all(out[200 + i].n_found == 0 for i in range(20))
     assert all(out[i].n_phone == 1 and out[i].n_found == 0 for i in range(30))
+
+
+def test_chain_of_six_patterns(spark):
+    """Eight patterns a level share the values of the level before, each brings one new value."""
+    name = lambda level, j: f"Ref-{'abcdefgh'[j]}{10000 + 10 * level + j}x"
+    rows, known = [], [f"+1 555 010 {1000 + j}" for j in range(8)]
+    for level in range(6):
+        new = [name(level, j) for j in range(8)]
+        rows += [(100 * level + j, " ".join(f"step{'pqrstu'[level]} kind{'abcdefgh'[j]}: {v} ;" for v in [*known, new[j]]))
+                 for j in range(8)]
+        known = new
+    out = {r.doc_id: r for r in P.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i, r in out.items():
+        got = [texts[i][int(a):int(b)] for _, a, b in (s.split(":") for s in r.spans.split(",") if s.startswith("found"))]
+        level, j = divmod(i, 100)
+        assert got == [*([name(level - 1, k) for k in range(8)] if level else []), name(level, j)]
+
+
+def test_candidates_of_any_shape_and_whole_context_words(spark):
+    """Mixed, lower-case and long tokens after a trusted context; contexts are told apart by whole words."""
+    long = "w" * 60
+    values = ["qx-12345", "12ab345_67", "K9" + "7Z" * 40, "de89370400440532013000", "Ab12345Cd"]
+    rows = [(i, f"a{long} phone: +1 555 010 {1000 + i} today") for i in range(30)]
+    rows += [(100 + i, f"so a{long} phone: {v}, now") for i, v in enumerate(values)]
+    rows += [(200, f"so b{long} phone: zz-12345 now")]
+    out = {r.doc_id: r for r in P.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = len(f"so a{long} phone: ")
+    spans = {i: out[100 + i].spans for i in range(len(values))}
+    assert spans == {i: f"found:{at}:{at + len(v)}" for i, v in enumerate(values)}
+    assert out[200].n_found == 0
