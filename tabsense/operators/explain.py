@@ -1,20 +1,24 @@
 """Model explanation: native importances and permutation importance.
 
-Permutation importance is one Spark job, not a loop of jobs per feature: the
-sample is replicated once per (feature, repeat) with ``explode``, each copy takes
-the feature's value from another sample row through a join on a hashed
-permutation of row numbers, the whole frame goes through the fitted pipeline in
-one ``transform``, and the score is a grouped aggregation.
+Permutation importance is not a loop of jobs per feature: the numbered rows are
+replicated once per (feature, repeat) with ``explode``, each copy takes the
+feature's value from another row through a join on a bijection of row numbers
+computed per row, the whole frame goes through the fitted pipeline in one
+``transform``, and the score is a grouped aggregation.
 """
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions import kinds as K
+from tabsense.functions.prefix import exclusive_prefix
 from tabsense.operators.models import TrainResult
+from tabsense.session import cut_lineage
 
 
 def native_importance(res: TrainResult) -> DataFrame | None:
@@ -49,13 +53,35 @@ def _score(pred: DataFrame, task: str, keys: Sequence[str]) -> DataFrame:
         F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("score"))
 
 
-def permutation_importance(res: TrainResult, df: DataFrame, sample_size: int = 500,
+def _numbered(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``rn``, 0 to n - 1 in the order of ``order``.  Ties are numbered within
+    the partition that holds them, so equal rows of any number spread over tasks."""
+    rows = cut_lineage(df.withColumn("_part", F.spark_partition_id()))
+    counts = rows.groupBy(order, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = exclusive_prefix(cut_lineage(counts), [], order, "_c", "_before").drop("_c")
+    local = F.row_number().over(Window.partitionBy(order, "_part").orderBy(order)) - 1
+    return cut_lineage(rows.withColumn("_local", local).join(before, on=[order, "_part"])
+                       .withColumn("rn", F.col("_before") + F.col("_local"))
+                       .drop("_part", "_local", "_before"))
+
+
+def _bijection(n: int, *key) -> tuple[int, int]:
+    """(a, b) of the row numbers' permutation (a * rn + b) mod n, drawn by ``key``; products
+    fit a long up to 2**33 rows."""
+    rng = random.Random("/".join(map(str, key)))
+    a = rng.randrange(max(n, 1)) % (1 << 30) or 1
+    while math.gcd(a, n) != 1:
+        a = a % (1 << 30) + 1
+    return a, rng.randrange(max(n, 1))
+
+
+def permutation_importance(res: TrainResult, df: DataFrame, sample_size: int | None = None,
                            repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean drop of the score (r2 / accuracy) when one raw feature is shuffled.
 
     ``df`` holds the raw rows (target included); rows with a missing target are
-    dropped first.  The sample is the ``sample_size`` rows with the smallest hash
-    (a deterministic sampling operator; its size is the argument).
+    dropped first.  All rows are scored, or the ``sample_size`` rows with the smallest
+    hash if that is given.
     """
     from tabsense.operators import prep as P
     feats = list(res.features)
@@ -66,16 +92,20 @@ def permutation_importance(res: TrainResult, df: DataFrame, sample_size: int = 5
     else:
         base = base.withColumn("label", K.col(res.target).cast("double"))
     h = F.xxhash64(*[K.col(c) for c in [res.target, *feats]], F.lit(seed))
-    sample = (base.withColumn("_h", h).orderBy("_h").limit(sample_size)
-              .withColumn("rn", F.row_number().over(Window.orderBy("_h"))).drop("_h"))
-    grid = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                     for f in feats for r in range(repeats)] +
-                   [F.struct(F.lit("__base__").alias("feature"), F.lit(0).alias("rep"))])
-    rep = sample.select("*", F.explode(grid).alias("g")).select("*", "g.feature", "g.rep").drop("g")
-    w = Window.partitionBy("feature", "rep").orderBy(F.xxhash64("rn", "feature", "rep", F.lit(seed)))
-    rep = rep.withColumn("donor", F.row_number().over(w))
-    donors = sample.select(F.col("rn").alias("donor"),
-                           F.struct(*[K.col(c) for c in feats]).alias("d"))
+    base = base.withColumn("_h", h)
+    if sample_size is not None:
+        base = base.orderBy("_h").limit(sample_size)
+    rows = _numbered(base, "_h").drop("_h")
+    n = rows.count()
+    grid = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"),
+                              F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
+                     for f, r, (a, b) in [(f, r, _bijection(n, seed, f, r))
+                                          for f in feats for r in range(repeats)] +
+                     [("__base__", 0, (1, 0))]])
+    rep = rows.select("*", F.explode(grid).alias("g")).select(
+        "*", "g.feature", "g.rep", ((F.col("g.a") * F.col("rn") + F.col("g.b")) % max(n, 1)).alias("donor")).drop("g")
+    donors = rows.select(F.col("rn").alias("donor"),
+                         F.struct(*[K.col(c) for c in feats]).alias("d"))
     mixed = rep.join(donors, on="donor")
     for c in feats:
         mixed = mixed.withColumn(c, F.when((F.col("feature") == c), F.col("d")[c]).otherwise(K.col(c)))

@@ -49,3 +49,22 @@ def test_permutation_importance_runs(unit_df):
     res = MD.train_supervised(df, "sotib_oldi", algorithm="logistic_regression", cv_folds=0)
     imp = X.permutation_importance(res, df, sample_size=100, repeats=2).collect()
     assert {r["feature"] for r in imp} == {"yosh", "daromad", "shahar"}
+
+
+def test_permutation_importance_scores_all_rows(spark, monkeypatch):
+    """Every row is scored for each (feature, repeat); its values are a permutation, of equal rows too."""
+    df = spark.range(1500).select(F.when(F.col("id") < 500, 7.0).otherwise(F.col("id") * 1.0).alias("x"),
+                                  F.when(F.col("id") < 500, 0.0).otherwise(F.col("id") % 13 * 1.0).alias("z"),
+                                  (F.col("id") > 900).cast("int").alias("y"))
+    res = MD.train_supervised(df, "y", algorithm="logistic_regression", cv_folds=0)
+    seen, score = {}, X._score
+    monkeypatch.setattr(X, "_score", lambda pred, *a: (seen.update(pred=pred), score(pred, *a))[1])
+    imp = {r["feature"]: r["importance"] for r in X.permutation_importance(res, df, repeats=3).collect()}
+    rows = seen["pred"].select("feature", "rep", "x", "z").collect()
+    orig = {c: sorted(r[c] for r in df.collect()) for c in "xz"}
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["feature"], r["rep"]), []).append(r)
+    assert len(groups) == 7 and all(len(g) == 1500 for g in groups.values())
+    assert all(sorted(r[c] for r in g) == orig[c] for g in groups.values() for c in "xz")
+    assert imp["x"] > 0.2 and abs(imp["z"]) < 0.05
