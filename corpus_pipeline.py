@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``n_chars`` is that of the text that stays; a null one stays null."""
-    out = line_dedup(docs)
+    out = line_dedup(docs, inside_lines=True)
     size = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), size))
 

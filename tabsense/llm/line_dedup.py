@@ -11,6 +11,13 @@ goes if it lies in a run of ``MIN_WORDS`` words that has begun before, in order
 then of text hash, then of line.  Blank lines go with the line before them.  The first
 copy of every line stays.
 
+With ``inside_lines`` a run is a sequence of ``MIN_WORDS`` neighbouring words, wherever
+lines begin and end, so every line run is one too.  Texts are winnowed over the hashes of
+half as many words: any ``MIN_WORDS`` words that two places share select the same
+fingerprints there.  Around the fingerprints found at two places or more the match is
+extended both ways by all windows of ``MIN_WORDS`` words that hold them, joined by their
+hashes.  The words in a window that has begun before go, a line with them if none is left.
+
 Texts stay in their tasks until the decisions are joined to them; only hashes are
 grouped, with partial minima first, so a passage held by a third of all rows is one
 row per task, and the join that follows can be split by AQE.
@@ -21,8 +28,10 @@ an empty table gives an empty result; other columns pass through.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -32,6 +41,11 @@ from pyspark.sql import functions as F
 from tabsense.llm.common import bit_filter, materialize, probe, text_of
 
 MIN_WORDS = 50
+WORD = re.compile(r"[^\x20\t-\r]+")
+# Odd multipliers of the rolling hashes, with their inverses mod 2**64, and a random value a byte.
+BYTE_STEP, WORD_STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+BYTE_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def _signed(h: int) -> int:
@@ -106,6 +120,128 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .agg(F.collect_set(F.struct("first", "last")).alias("runs")))
 
 
+def _powers(step: int, n: int) -> np.ndarray:
+    """1, step, step**2, ... mod 2**64."""
+    out = np.full(n, step, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _rolling(values: np.ndarray, step: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of values[lo:hi], alike wherever they stand."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(step, len(values)), out=sums[1:])
+    return _mixed((sums[hi] - sums[lo]) * _powers(pow(step, -1, 1 << 64), len(values))[lo])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~IS_SPACE[data]
+    edge = np.diff(inside)
+    return _rolling(BYTE_VALUES[data], BYTE_STEP, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+
+
+def word_runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words."""
+    at = np.arange(max(len(words) - size + 1, 0))
+    return _rolling(words, WORD_STEP, at, at + size)
+
+
+def fingerprints(text: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the least half-length run in every run of ``min_words`` words."""
+    grams = word_runs(word_hashes(text), (min_words + 1) // 2)
+    width = min_words - (min_words + 1) // 2 + 1
+    if len(grams) < width:
+        return grams[:0], np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
+    at = np.unique(least + np.arange(len(least)))
+    return grams[at], at
+
+
+def _hash_table(docs: DataFrame, names: list[str], of, *more: str) -> DataFrame:
+    """(id, th, hash, position) rows that ``of(text, *more)`` gives; docs has (id, th, text, *more)."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [of(b.column(2)[i].as_py(), *(b.column(3 + n)[i].as_py() for n in range(len(more))))
+                   for i in range(b.num_rows)]
+            if got:
+                take = pa.array(np.repeat(np.arange(len(got)), [len(at) for _, at in got]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take),
+                     pa.array(np.concatenate([h for h, _ in got]).view(np.int64)),
+                     pa.array(np.concatenate([at for _, at in got]).astype(np.int64))], ["id", "th", *names])
+
+    return docs.select("id", "th", F.encode("text", "UTF-8").alias("text"), *more).mapInArrow(
+        run, f"id {kind}, th long, " + ", ".join(f"{n} long" for n in names))
+
+
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, runs): the first words of the runs of ``min_words`` words that repeat earlier ones."""
+    width = min_words - (min_words + 1) // 2 + 1
+
+    def around(text: bytes, marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        runs = word_runs(word_hashes(text), min_words)
+        at = np.unique(np.array(marks)[:, None] - np.arange(width))
+        at = at[(at >= 0) & (at < len(runs))]
+        return runs[at], at
+
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th"),
+                       text_of(text_col).alias("text"))
+    table = materialize(_hash_table(base, ["fp", "at"], lambda text: fingerprints(text, min_words)))
+    place = F.struct("id", "th", "at")
+    shared = (table.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+              .where("NOT a <=> b").select("fp"))
+    marks = materialize(probe(table, bit_filter(shared), ["fp"]).groupBy("id", "th")
+                        .agg(F.collect_set("at").alias("marks")))
+    some = probe(base, bit_filter(marks.select("id", "th")), ["id", "th"]).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.th") == F.col("m.th"))
+    marked = some.join(marks.alias("m"), same).select("d.id", "d.th", "d.text", "m.marks")
+    live = materialize(_hash_table(marked, ["wh", "at"], around, "marks"))
+    earliest = materialize(live.groupBy("wh").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+                           .where("NOT a <=> b").select("wh", "a"))
+    later = live.join(earliest, "wh").where(place > F.col("a"))
+    return later.groupBy("id", "th").agg(F.collect_set("at").alias("runs"))
+
+
+def _without_words(text: str, runs, size: int) -> str:
+    words, lines = [m.span() for m in WORD.finditer(text)], text.split("\n")
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, np.asarray(runs), 1)
+    np.add.at(edge, np.asarray(runs) + size, -1)
+    goes = np.cumsum(edge) > 0
+    out, at, w, gone = [], 0, 0, False
+    for line in lines:
+        first = w
+        while w < len(words) and words[w][0] < at + len(line):
+            w += 1
+        stay = [i for i in range(first, w) if not goes[i]]
+        if w > first:                                      # blank lines follow the line before
+            gone = not stay
+        if stay and len(stay) < w - first:
+            parts = []
+            for i in stay:
+                begin = at if i == first else words[i][0]
+                end = at + len(line) if i == w - 1 else words[i][1]
+                if parts and parts[-1][2] == i - 1:
+                    begin = parts.pop()[0]
+                parts.append((begin, end, i))
+            out.append(" ".join(text[a:b] for a, b, _ in parts))
+        elif not gone:
+            out.append(line)
+        at += len(line) + 1
+    return "\n".join(out)
+
+
 def _without(text: str, runs) -> str:
     lines = text.split("\n")
     edge = [0] * (len(lines) + 1)
@@ -123,13 +259,15 @@ def _without(text: str, runs) -> str:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               min_words: int = MIN_WORDS) -> DataFrame:
+               min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
     """``docs`` with the later copies of repeated runs deleted from the texts."""
     @F.pandas_udf("string")
     def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None else _without(t, r) for t, r in zip(text, runs)], dtype=object)
+        less = (lambda t, r: _without_words(t, r, min_words)) if inside_lines else _without
+        return pd.Series([t if r is None else less(t, r) for t, r in zip(text, runs)], dtype=object)
 
-    runs = materialize(repeated_lines(docs, id_col, text_col, min_words))
+    find = repeated_words if inside_lines else repeated_lines
+    runs = materialize(find(docs, id_col, text_col, min_words))
     rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"),
                        F.xxhash64(text_of(text_col)).alias("_th"))
     hit = (F.col("_id").eqNullSafe(F.col("id"))) & (F.col("_th") == F.col("th"))
@@ -140,11 +278,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_words: int = MIN_WORDS) -> DataFrame:
+                min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
     """One row per input row: id, n_lines, kept_lines, kept_sha256 (of the text that stays)."""
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                         F.col(f"`{text_col}`").alias("old"))
-    out = line_dedup(named, "id", "text", min_words)
+    out = line_dedup(named, "id", "text", min_words, inside_lines)
     n_lines = lambda c: (F.length(text_of(c)) - F.length(F.replace(text_of(c), F.lit("\n"))) + 1)
     return out.select(F.col("id").alias(id_col), n_lines("old").cast("long").alias("n_lines"),
                       F.when(F.col("text") == F.col("old"), n_lines("old"))

@@ -92,7 +92,7 @@ def q_packing(spark, sf):
 
 @register("op10_line_dedup")
 def q_line_dedup(spark, sf):
-    return line_report(documents(spark, sf))
+    return line_report(documents(spark, sf), inside_lines=True)
 
 
 @register("op5_private_data")

@@ -60,3 +60,44 @@ def test_edges(spark):
     assert L.line_dedup(df.limit(0)).count() == 0
     report = {(r.doc_id, r.n_lines, r.kept_lines) for r in L.line_report(df).collect()}
     assert (4, 22, 2) in report and (6, 91, 1) in report and (7, 20, 0) in report
+
+
+def brute_words(rows, least):
+    """Words that stay of every row: a word goes in a run of ``least`` words that has begun before."""
+    seen, kept = set(), {}
+    for some, i, th, text in sorted({(i is not None, i or 0, th, t or "") for i, th, t in rows}):
+        words, gone = text.split(), set()
+        for a in range(len(words) - least + 1):
+            run = tuple(words[a:a + least])
+            if run in seen:
+                gone.update(range(a, a + least))
+            seen.add(run)
+        kept[(some, i, th)] = [w for n, w in enumerate(words) if n not in gone]
+    return [kept[(i is not None, i or 0, th)] for i, th, _ in rows]
+
+
+def test_words_inside_lines(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    for least in (1, 5, 12):
+        pool = [" ".join(rng.choices("abcdef", k=rng.choice((2, 7, 15)))) for _ in range(12)]
+        rows = [(rng.choice([None, *range(60)]), "".join(rng.choice(pool) + rng.choice(" \n\t") for _ in range(rng.randint(0, 9))), n)
+                for n in range(90)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+        src = df.select("doc_id", F.xxhash64("text"), "text", "n").collect()
+        want = {r[3]: w for r, w in zip(src, brute_words([r[:3] for r in src], least))}
+        got = {r.n: r.text.split() for r in L.line_dedup(df, min_words=least, inside_lines=True).collect()}
+        assert got == want
+
+
+def test_reflowed_passage_goes(spark):
+    words = [f"w{i}" for i in range(60)]
+    flowed = "\n".join(" ".join(words[i:i + 7]) for i in range(0, 60, 7))
+    rows = [(1, " ".join(words)), (2, f"  own head\n\nmore {flowed} tail\n\nend"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.line_dedup(df, inside_lines=True).collect()}
+    assert got == {1: rows[0][1], 2: "  own head\n\nmore\ntail\n\nend", 3: None, 4: ""}
+    report = {(r.doc_id, r.n_lines, r.kept_lines) for r in L.line_report(df, inside_lines=True).collect()}
+    assert (2, 13, 6) in report
+    assert L.line_dedup(df.limit(0), inside_lines=True).count() == 0
