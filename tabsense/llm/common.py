@@ -15,8 +15,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 FILTER_WORDS = 1 << 20
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def materialize(df: DataFrame) -> DataFrame:
