@@ -37,7 +37,10 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+OTHER_TABLES = {"op11_whitening", "op12_vector_codes", "op13_chat_format"}     # tests of their own
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - OTHER_TABLES))
 def test_queries_keep_every_row(spark, folders, name):
     ids = Counter(r.doc_id for r in spark.read.parquet(f"{folders[False]}/documents.parquet").collect())
     out = QUERIES[name](spark, folders[False]).collect()
