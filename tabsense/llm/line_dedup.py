@@ -12,11 +12,23 @@ then of text hash, then of line.  Blank lines go with the line before them.  The
 copy of every line stays.
 
 With ``inside_lines`` a run is a sequence of ``MIN_WORDS`` neighbouring words, wherever
-lines begin and end, so every line run is one too.  Texts are winnowed over the hashes of
-half as many words: any ``MIN_WORDS`` words that two places share select the same
-fingerprints there.  Around the fingerprints found at two places or more the match is
-extended both ways by all windows of ``MIN_WORDS`` words that hold them, joined by their
-hashes.  The words in a window that has begun before go, a line with them if none is left.
+lines begin and end, so every line run is one too.  The units hashed are then overlapping
+runs of a little over half as many words; any ``MIN_WORDS`` words that two places share
+select the same fingerprints there, and neighbouring fingerprints overlap, so equal
+fingerprints at equal distances mean equal words between them:
+
+1. every fingerprint found more than once gets its earliest place, and later places are
+   joined to it;
+2. neighbours with the same earlier text and the same offset are chained into runs;
+3. where the words around a later fingerprint are not all in chained runs (the two ends of
+   a run, or an earliest place that shares less than another one), the match is extended
+   both ways: all runs of ``MIN_WORDS`` words around that fingerprint, at every place that
+   has it, are joined by their hashes.
+
+Rows are proportional to the fingerprints that repeat, plus the windows at run ends.  The
+result is exact: the words in a run that has begun before go, a line with them if none is
+left.  Fingerprints are looked up in bit filters of bounded size (they grow with the
+number of keys up to 32 MB); a full filter lets more rows through, never fewer.
 
 Texts stay in their tasks until the decisions are joined to them; only hashes are
 grouped, with partial minima first, so a passage held by a third of all rows is one
@@ -28,6 +40,7 @@ an empty table gives an empty result; other columns pass through.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,13 +51,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import bit_filter, materialize, probe, text_of
+from tabsense.llm.common import bit_filter, discard, materialize, probe, text_of
 
 MIN_WORDS = 50
+#: Filters of hashes have 2**(6 + FILTER_BITS) bits at most, 32 MB.
+FILTER_BITS = 22
 WORD = re.compile(r"[^\x20\t-\r]+")
 # Odd multipliers of the rolling hashes, with their inverses mod 2**64, and a random value a byte.
 BYTE_STEP, WORD_STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BYTE_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+KEPT_POWERS = 1 << 18
+_KEPT: dict[int, np.ndarray] = {}
 IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
@@ -121,10 +138,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _powers(step: int, n: int) -> np.ndarray:
-    """1, step, step**2, ... mod 2**64."""
-    out = np.full(n, step, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """1, step, step**2, ... mod 2**64; short ones are kept by the worker."""
+    def power(m: int) -> np.ndarray:
+        out = np.full(m, step, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    if n > KEPT_POWERS:
+        return power(n)
+    if step not in _KEPT:
+        _KEPT[step] = power(KEPT_POWERS)
+    return _KEPT[step][:n]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -154,70 +178,152 @@ def word_runs(words: np.ndarray, size: int) -> np.ndarray:
     return _rolling(words, WORD_STEP, at, at + size)
 
 
-def fingerprints(text: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the least half-length run in every run of ``min_words`` words."""
-    grams = word_runs(word_hashes(text), (min_words + 1) // 2)
-    width = min_words - (min_words + 1) // 2 + 1
+def _sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``op`` over every ``width`` neighbours, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        x, size = op(x[:-size], x[size:]), 2 * size
+    return op(x[:len(x) - (width - size)], x[width - size:]) if size < width else x
+
+
+def gram_words(min_words: int) -> int:
+    """Words of a hashed unit: the next fingerprint begins in it or right behind it."""
+    return min_words // 2 + 1
+
+
+def fingerprints(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the least units of every run of ``min_words`` words."""
+    grams = word_runs(words, gram_words(min_words))
+    width = min_words - gram_words(min_words) + 1
     if len(grams) < width:
         return grams[:0], np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
+    least = np.pad(_sliding(np.minimum, grams, width), width - 1)
+    at = np.flatnonzero(_sliding(np.maximum, least, width) == grams)
     return grams[at], at
 
 
-def _hash_table(docs: DataFrame, names: list[str], of, *more: str) -> DataFrame:
-    """(id, th, hash, position) rows that ``of(text, *more)`` gives; docs has (id, th, text, *more)."""
+def _hash_table(docs: DataFrame, names: list[str], of) -> DataFrame:
+    """(id, th, hash, position) rows that ``of(word hashes)`` gives; docs has (id, th, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [of(b.column(2)[i].as_py(), *(b.column(3 + n)[i].as_py() for n in range(len(more))))
-                   for i in range(b.num_rows)]
+            got = [of(word_hashes(text.as_py())) for text in b.column(2)]
             if got:
                 take = pa.array(np.repeat(np.arange(len(got)), [len(at) for _, at in got]))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take),
                      pa.array(np.concatenate([h for h, _ in got]).view(np.int64)),
-                     pa.array(np.concatenate([at for _, at in got]).astype(np.int64))], ["id", "th", *names])
+                     pa.array(np.concatenate([at for _, at in got]).astype(np.int32))], ["id", "th", *names])
 
-    return docs.select("id", "th", F.encode("text", "UTF-8").alias("text"), *more).mapInArrow(
-        run, f"id {kind}, th long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("id", "th", F.encode("text", "UTF-8").alias("text")).mapInArrow(
+        run, f"id {kind}, th long, {names[0]} long, {names[1]} int")
 
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, runs): the first words of the runs of ``min_words`` words that repeat earlier ones."""
-    width = min_words - (min_words + 1) // 2 + 1
+class HashFilter:
+    """Bounded approximate set of 64-bit hashes: false hits, never false misses."""
+
+    def __init__(self, hashes: DataFrame):
+        (name,) = hashes.columns
+        n = hashes.count()
+        self.bits = min(FILTER_BITS, max(10, math.ceil(math.log2(max(n, 1))) - 2))    # 16 bits a key and more
+        word = F.col(name).bitwiseAND(F.lit((1 << self.bits) - 1))
+        got = (hashes.select(word.alias("word"), F.shiftrightunsigned(name, 58).cast("int").alias("bit"))
+               .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")).toPandas())
+        self.masks = np.zeros(1 << self.bits, np.uint64)
+        self.masks[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        masks = self.masks[(h & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
+        return (masks >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
+
+
+def _later(table: DataFrame, key: str) -> DataFrame:
+    """Rows of (id, th, key, at) behind the first place of their key, which is ``first``."""
+    place = F.struct("id", "th", "at")
+    first = table.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return table.join(first, key).where(place > F.col("first"))
+
+
+def _chains(later: DataFrame, min_words: int) -> DataFrame:
+    """(id, th, lo, hi, fp): words [lo, hi) that stand in an earlier text, ``fp`` null; or a
+    fingerprint whose surroundings are open, ``lo`` and ``hi`` null."""
+    kind, gram = later.schema["id"].dataType.simpleString(), gram_words(min_words)
+    reach = min_words - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = b.column(2)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
+            at, text, offset, fp = (marks.flatten().field(n).to_numpy().astype(np.int64) for n in range(4))
+            order = np.lexsort((at, doc))
+            doc, at, text, offset, fp = (x[order] for x in (doc, at, text, offset, fp))
+            place = (doc << 31) + at                       # one line of places for all texts of the batch
+            cut = np.r_[True, (place[1:] - place[:-1] > gram) | (text[1:] != text[:-1]) | (offset[1:] != offset[:-1])]
+            begin = np.flatnonzero(cut)[:len(at)]
+            end = np.r_[begin[1:], len(at)] - 1
+            long = place[end] + gram - place[begin] >= min_words
+            lo, hi, owner = place[begin][long], place[end][long] + gram, doc[begin][long]
+            reached = np.maximum.accumulate(hi) if len(hi) else hi
+            new = np.flatnonzero(np.r_[True, lo[1:] > reached[:-1]])[:len(lo)]
+            low, high = lo[new], reached[np.r_[new[1:], len(lo)] - 1] if len(lo) else hi
+            left = np.maximum(doc << 31, place - reach)
+            inside = np.searchsorted(low, left, "right") - 1
+            open_ = (inside < 0) | (high[inside] < place + min_words) if len(low) else np.ones(len(at), bool)
+            runs = pa.array(np.r_[owner, doc[open_]])
+            none = [None] * int(open_.sum())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(runs), b.column(1).take(runs),
+                 pa.array([*(lo & (1 << 31) - 1).tolist(), *none], pa.int32()),
+                 pa.array([*(hi - (owner << 31)).tolist(), *none], pa.int32()),
+                 pa.array([*[None] * len(lo), *fp[open_].tolist()], pa.int64())], ["id", "th", "lo", "hi", "fp"])
 
-    def around(text: bytes, marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        runs = word_runs(word_hashes(text), min_words)
-        at = np.unique(np.array(marks)[:, None] - np.arange(width))
-        at = at[(at >= 0) & (at < len(runs))]
-        return runs[at], at
+    marks = F.collect_set(F.struct("at", F.xxhash64("first.id", "first.th").alias("text"),
+                                   (F.col("at") - F.col("first.at")).alias("offset"), "fp"))
+    return (later.groupBy("id", "th").agg(marks.alias("marks"))
+            .mapInArrow(run, f"id {kind}, th long, lo int, hi int, fp long"))
 
+
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, runs): the word ranges (lo, hi) that lie in runs of ``min_words`` repeated words."""
+    gram = gram_words(min_words)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th"),
                        text_of(text_col).alias("text"))
-    table = materialize(_hash_table(base, ["fp", "at"], lambda text: fingerprints(text, min_words)))
-    place = F.struct("id", "th", "at")
-    shared = (table.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-              .where("NOT a <=> b").select("fp"))
-    marks = materialize(probe(table, bit_filter(shared), ["fp"]).groupBy("id", "th")
-                        .agg(F.collect_set("at").alias("marks")))
-    some = probe(base, bit_filter(marks.select("id", "th")), ["id", "th"]).alias("d")
-    same = F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.th") == F.col("m.th"))
-    marked = some.join(marks.alias("m"), same).select("d.id", "d.th", "d.text", "m.marks")
-    live = materialize(_hash_table(marked, ["wh", "at"], around, "marks"))
-    earliest = materialize(live.groupBy("wh").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-                           .where("NOT a <=> b").select("wh", "a"))
-    later = live.join(earliest, "wh").where(place > F.col("a"))
-    return later.groupBy("id", "th").agg(F.collect_set("at").alias("runs"))
+    table = materialize(_hash_table(base, ["fp", "at"], lambda words: fingerprints(words, min_words)))
+    shared = materialize(table.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    marks = _in_filter(table, HashFilter(shared))
+    found = materialize(_chains(_later(marks, "fp"), min_words))
+    asked = HashFilter(found.where("fp IS NOT NULL").select("fp").distinct())
+
+    def around(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, at = fingerprints(words, min_words)
+        at = at[asked.hits(h)]
+        at = np.unique(at[:, None] - np.arange(min_words - gram + 1))
+        at = at[(at >= 0) & (at + min_words <= len(words))]
+        return _rolling(words, WORD_STEP, at, at + min_words), at
+
+    live = materialize(_hash_table(base, ["wh", "at"], around))
+    ends = _later(live, "wh").select("id", "th", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
+    runs = materialize(found.where("fp IS NULL").select("id", "th", "lo", "hi").unionByName(ends)
+                       .groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
+    discard(table, shared, found, live)
+    return runs
+
+
+def _in_filter(table: DataFrame, keys: HashFilter) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keys.hits(b.column("fp").to_numpy().view(np.uint64))))
+
+    return table.mapInArrow(run, table.schema)
 
 
-def _without_words(text: str, runs, size: int) -> str:
+def _without_words(text: str, runs) -> str:
     words, lines = [m.span() for m in WORD.finditer(text)], text.split("\n")
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, np.asarray(runs), 1)
-    np.add.at(edge, np.asarray(runs) + size, -1)
+    np.add.at(edge, np.array([r["lo"] for r in runs]), 1)
+    np.add.at(edge, np.array([r["hi"] for r in runs]), -1)
     goes = np.cumsum(edge) > 0
     out, at, w, gone = [], 0, 0, False
     for line in lines:
@@ -258,31 +364,39 @@ def _without(text: str, runs) -> str:
     return "\n".join(out)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
-    """``docs`` with the later copies of repeated runs deleted from the texts."""
+def _with_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int, inside_lines: bool) -> DataFrame:
+    """(_row, _text): every row of ``docs`` and the text that stays of it.  Only rows that may
+    have runs (a bounded bit filter of their keys) are shuffled to them."""
     @F.pandas_udf("string")
     def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
-        less = (lambda t, r: _without_words(t, r, min_words)) if inside_lines else _without
+        less = _without_words if inside_lines else _without
         return pd.Series([t if r is None else less(t, r) for t, r in zip(text, runs)], dtype=object)
 
     find = repeated_words if inside_lines else repeated_lines
     runs = materialize(find(docs, id_col, text_col, min_words))
+    keys = bit_filter(runs.select("id", "th"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"),
                        F.xxhash64(text_of(text_col)).alias("_th"))
     hit = (F.col("_id").eqNullSafe(F.col("id"))) & (F.col("_th") == F.col("th"))
     text = F.col(f"_row.`{text_col}`").cast("string")
-    joined = rows.join(runs, hit, "left").select("_row", cut(text, F.col("runs")).alias("_text"))
-    return joined.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`")
-                           for c in docs.columns])
+    joined = probe(rows, keys, ["_id", "_th"]).join(runs, hit, "left").select("_row", cut(text, F.col("runs")).alias("_text"))
+    return joined.unionByName(probe(rows, keys, ["_id", "_th"], hit=False).select("_row", text.alias("_text")))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
+    """``docs`` with the later copies of repeated runs deleted from the texts."""
+    out = _with_runs(docs, id_col, text_col, min_words, inside_lines)
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`")
+                        for c in docs.columns])
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_words: int = MIN_WORDS, inside_lines: bool = False) -> DataFrame:
     """One row per input row: id, n_lines, kept_lines, kept_sha256 (of the text that stays)."""
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
-                        F.col(f"`{text_col}`").alias("old"))
-    out = line_dedup(named, "id", "text", min_words, inside_lines)
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = _with_runs(named, "id", "text", min_words, inside_lines).select(
+        "_row.id", F.col("_row.text").alias("old"), F.col("_text").alias("text"))
     n_lines = lambda c: (F.length(text_of(c)) - F.length(F.replace(text_of(c), F.lit("\n"))) + 1)
     return out.select(F.col("id").alias(id_col), n_lines("old").cast("long").alias("n_lines"),
                       F.when(F.col("text") == F.col("old"), n_lines("old"))
