@@ -5,13 +5,15 @@ its own words; what is cut is dealt out again by weight.  Every document then wa
 target / source_size copies.  The whole part is taken as it is; the fractional parts
 are rounded dependently: two documents meet, mass (copies times words) moves at
 random from one to the other until one of them is integral, the other carries on.
-The moves keep every document's expectation and the source's words exactly.
+The moves keep every document's expectation and the source's words exactly.  A document that
+all lighter ones of its group can balance meets them all at once and is settled, heaviest
+first, so that a light document carries the fraction on.
 
 Documents meet in leaves of about ``LEAF_ROWS`` rows of one source (hash of the id,
 so a source with a third of all rows is many leaves), larger ones first; each leaf
 leaves at most one fractional document, and these residuals meet in a reduction
-tree of fan-in ``FAN_IN``.  The last residual of a source is rounded to the nearest
-copy.  All randomness comes from hashes of the leaf, so reruns agree.
+tree of fan-in ``FAN_IN``.  The last residual of a source is rounded either way and
+balanced by the documents of its group that fit, larger ones first, whichever comes nearer.  All randomness comes from hashes of the leaf, so reruns agree.
 
 Defined results: null or wordless text has size 0 and is taken 0 times; a null
 source is the last source; rows that repeat id, source and size are one unit and
@@ -67,34 +69,74 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int =
                       F.when(F.col("full"), F.col("limit")).otherwise(rate * F.col("weight")).alias("target"))
 
 
+def _whole(p):
+    return np.where(np.abs(p - np.round(p)) < 1e-9, np.round(p), p)
+
+
+def _against_all(mass: np.ndarray, part: np.ndarray, i: int, lighter: int, draw: float) -> bool:
+    """Make ``part[i]`` integral at once: its mass goes to, or comes from, all documents from
+    ``lighter`` on, in proportion to how far each can move either way, so that every
+    expectation stays.  False if they cannot take it."""
+    room = np.minimum(part[lighter:], 1 - part[lighter:])
+    able = room @ mass[lighter:]
+    if max(part[i], 1 - part[i]) * mass[i] > able:
+        return False
+    up = draw < part[i]
+    part[lighter:] = _whole(part[lighter:] + room * ((part[i] - up) * mass[i] / able))
+    part[i] = up
+    return True
+
+
 def settle(mass: np.ndarray, part: np.ndarray, seed: int) -> np.ndarray:
-    """Pivotal rounding of ``part`` in the given order; at most one value stays fractional."""
-    part = part.copy()
-    draw = np.random.default_rng(seed).random(len(part))
+    """Pivotal rounding of ``part`` in the given order (heaviest first); at most one value
+    stays fractional.  A document that all lighter ones together can balance is settled
+    against them, so that it is a light one that stays; others meet in pairs."""
+    part = part.astype(float).copy()
+    draw, again = np.random.default_rng(seed).random((2, len(part)))
     carry = -1
-    for i in np.flatnonzero((part > 0) & (part < 1)).tolist():
-        if carry < 0:
-            carry = i
+    for i in range(len(part)):
+        if not 0 < part[i] < 1:
             continue
-        mc, mi = mass[carry], mass[i]
-        pc, pi = part[carry], part[i]
-        up = min((1 - pc) * mc, pi * mi)          # mass that can move from i to the carried one
-        down = min(pc * mc, (1 - pi) * mi)
-        move = up if draw[i] * (up + down) < down else -down
-        pc, pi = pc + move / mc, pi - move / mi
-        pc, pi = (round(p) if abs(p - round(p)) < 1e-9 else p for p in (pc, pi))
-        part[carry], part[i] = pc, pi
-        if pc in (0, 1):
-            carry = i if 0 < pi < 1 else -1
+        if carry >= 0:
+            mc, mi, pc, pi = mass[carry], mass[i], part[carry], part[i]
+            up = min((1 - pc) * mc, pi * mi)      # mass that can move from i to the carried one
+            down = min(pc * mc, (1 - pi) * mi)
+            move = up if draw[i] * (up + down) < down else -down
+            part[carry], part[i] = _whole(np.array([pc + move / mc, pi - move / mi]))
+        now = next((k for k in (carry, i) if k >= 0 and 0 < part[k] < 1), -1)
+        carry = now if now < 0 or not _against_all(mass, part, now, i + 1, again[i]) else -1
     return part
 
 
+def finish(mass: np.ndarray, wanted: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Round the last fractional value of a source, either way, and make up for what that
+    adds or leaves out with the documents that fit, larger ones first; the nearer result."""
+    left = np.flatnonzero((part > 0) & (part < 1))
+    if not len(left):
+        return part
+    tries = []
+    for end in (0.0, 1.0):
+        now = part.copy()
+        short = (part[left] - end) @ mass[left]          # words still to take (or, below 0, to give back)
+        now[left] = end
+        movable = (wanted > 0) & (wanted < 1) & (now == (0 if short > 0 else 1))
+        movable[left] = False
+        for i in np.flatnonzero(movable):                # heaviest first
+            if mass[i] <= abs(short):
+                now[i] = 1 - now[i]
+                short -= np.sign(short) * mass[i]
+        tries.append((abs(short), end, now))
+    return min(tries, key=lambda t: t[:2])[2]
+
+
 def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mass", "id", "size"], ascending=[False, True, True], kind="stable",
                               na_position="last")
         key = [seed, level, int(pdf["rank"].iloc[0]), int(pdf["leaf"].iloc[0])]
-        return pdf.assign(part=settle(pdf["mass"].to_numpy(float), pdf["part"].to_numpy(float), key))
+        mass, wanted = pdf["mass"].to_numpy(float), pdf["part"].to_numpy(float)
+        part = settle(mass, wanted, key)
+        return pdf.assign(part=finish(mass, wanted, part) if pdf["leaves"].iloc[0] == 1 else part)
 
     return materialize(rows.groupBy("rank", "leaf").applyInPandas(leaf, rows.schema))
 
@@ -113,15 +155,16 @@ def copies(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REP
                     (F.col("m") * F.col("size")).cast("double").alias("mass"),
                     F.floor("ratio").cast("long").alias("whole"),
                     F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0).alias("part"),
-                    F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.col("leaves")).alias("leaf")))
+                    F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.col("leaves")).alias("leaf"), "leaves"))
     most = t.agg(F.max("leaves")).first()[0] or 0
     done, level, cur = [], 0, _level(rows, 0, seed)
     fractional = (F.col("part") > 0) & (F.col("part") < 1)
     while most > 1:
         done.append(cur.where(~fractional))
         most, level = -(-most // FAN_IN), level + 1
-        cur = _level(cur.where(fractional).withColumn("leaf", F.floor(F.col("leaf") / FAN_IN)), level, seed)
-    done.append(cur.withColumn("part", F.round("part")))
+        cur = _level(cur.where(fractional).withColumns({"leaf": F.floor(F.col("leaf") / FAN_IN),
+                                                        "leaves": F.ceil(F.col("leaves") / FAN_IN)}), level, seed)
+    done.append(cur)
     out = done[0]
     for more in done[1:]:
         out = out.union(more)

@@ -52,10 +52,12 @@ def check(df, rows, slack):
 def test_targets_and_words_taken(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
-    largest = defaultdict(int)
+    sizes = defaultdict(list)
     for _, t, s in rows:
-        largest[s] = max(largest[s], words(t))
-    out = check(docs, rows, lambda s: largest[s] / 2 + 1)
+        sizes[s].append(words(t))
+    want = brute_targets({s: sum(n) for s, n in sizes.items()})
+    assert min(map(len, sizes.values())) >= 20
+    out = check(docs, rows, lambda s: max(0.01 * want[s], np.median(sizes[s]) / 2))
     again = M.mix(docs.repartition(5)).collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
 
@@ -68,6 +70,23 @@ def test_several_leaves_and_levels(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows, lambda s: 30)
 
 
+def test_one_heavy_document_among_light_ones(spark):
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        rows = [(0, "w " * 3000, "a")] + [(i, "w " * int(n), "a") for i, n in enumerate(rng.integers(1, 200, 60), 1)]
+        rows += [(100 + i, "w " * int(n), "b") for i, n in enumerate(rng.integers(1, 900, 40))]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        check(df, rows, lambda s: 100)
+
+
+def test_last_residual_is_balanced():
+    mass, wanted = np.array([100.0, 40, 30, 20, 9, 2]), np.full(6, 0.5)
+    part = np.array([0.45, 0, 1, 1, 0, 0])
+    got = M.finish(mass, wanted, part)
+    assert set(got) <= {0, 1} and abs(got @ mass - part @ mass) <= 4
+    assert (M.finish(mass, wanted, np.zeros(6)) == 0).all()
+
+
 def test_edges(spark):
     rows = [(1, None, "a"), (2, "x y", None), (3, " \t", "a"), (4, "a b c d", "b"), (5, "q " * 5000, "c")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows],
