@@ -11,7 +11,8 @@ sequences whose lengths are powers of two, which need no padding.
 
 Tokens come from a fixed vocabulary file.  Its pre-tokenizer drops white space and
 never joins words, so a text's ids are those of its words, looked up in a bounded
-cache.  Nothing is shuffled; a retried task gives the same pieces.
+cache; a text that spells out one of the vocabulary's added tokens goes whole through
+the tokenizer.  Nothing is shuffled; a retried task gives the same pieces.
 
 Defined results: null text equals empty text, which is the end id alone; null and
 repeated ids are ordinary documents; an empty table gives an empty result; other
@@ -55,8 +56,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.literal = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
         vocab = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocab.values()) + 1, bool)
         self.closes = np.zeros(len(self.stops), bool)
@@ -64,6 +66,9 @@ class WordIds:
         self.stops[[i for w, i in vocab.items() if w.removesuffix("</w>").endswith(STOPS)]] = True
 
     def __call__(self, text: bytes) -> bytes:
+        if self.literal.search(decoded := text.decode()):     # one id of its own, across words too
+            ids = self.tokenizer.encode(decoded, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
         words = text.split()
         parts = list(map(self.known.get, words))
         if None in parts:

@@ -14,7 +14,6 @@ PATH = packing_vocabulary()
 
 def whole_ids(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, P.END_ID], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -63,7 +62,7 @@ def test_documents(spark):
 
 
 def test_edges(spark, monkeypatch):
-    texts = [None, "", " \t\n", "<|endoftext|> a<|startoftext|>", "É́ é\x1cx y z don't 'S x'll", "W" * 9000,
+    texts = [None, "", " \t\n", "<|endoftext|> a<|startoftext|>", "x<|endoftext|>y <|ENDOFTEXT|> <|end oftext|>b", "É́ é\x1cx y z don't 'S x'll", "W" * 9000,
              "nostop " * 20000, "One. Two! Three? " * 3000, "日本。語！" * 500, "a" * 3 + "\x0b" + "b\x0cc\x85d"]
     rows = list(enumerate(texts)) + [(None, "null id"), (3, texts[3])]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, length int").coalesce(1)
