@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import materialize, text_of
+from tabsense.llm.common import bit_filter, materialize, probe, text_of
 from tabsense.llm.components import connected_components
 
 BITS = 64
@@ -237,12 +237,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` without near duplicates: of each component the row with the smallest id
-    stays, with all its columns; of rows repeating that id, those repeat as they are."""
-    found = simhash_components(docs.select(F.col(f"`{id_col}`").alias("doc_id"),
-                                           F.col(f"`{text_col}`").alias("text")),
-                               shingle=shingle, max_bits=max_bits)
-    stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                       .select(F.col("doc_id").alias("_stay")).distinct())
-    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"))
-    return rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi").select("_row.*")
+    """``docs`` without near duplicates: of each component exactly one row stays, with all
+    its columns: the one with the smallest id (null first), then text hash; of rows that
+    repeat both, the one whose columns have the smallest hash."""
+    text = text_of(text_col)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_th"),
+                       F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("_all"))
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"))
+    found = simhash_components(docs.select(key.alias("doc_id"), text.alias("text")), shingle=shingle, max_bits=max_bits)
+    stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id")
+                       .agg(F.count("*").alias("n")).select(F.col("component_id.id").alias("_i"), F.col("component_id.th").alias("_t"), "n"))
+    hit = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))
+    single = rows.join(stay.where("n = 1"), hit, "left_semi").select("_row.*")
+    several = stay.where("n > 1")
+    picked = (probe(rows, bit_filter(several.select("_i", "_t")), ["_id", "_th"]).join(several, hit)
+              .groupBy("_i", "_t").agg(F.min_by("_row", "_all").alias("_row")))
+    return single.unionByName(picked.select("_row.*"))

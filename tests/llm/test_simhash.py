@@ -84,3 +84,15 @@ def test_links_match_brute_force(spark, monkeypatch, root):
 def test_spark_hash_is_the_contracts(spark):
     row = spark.sql("select xxhash64('ab cd ef') h").first()
     assert row.h & (2**64 - 1) == xxhash.xxh64_intdigest(b"ab cd ef", 42)
+
+
+def test_one_row_of_each_component_stays(spark):
+    t, u = "one two three four five", "other words that share nothing at all here"
+    rows = [(1, t, "a"), (1, t, "a"), (2, t, "b"), (None, u, "c"), (None, u, "d"), (None, u, "d"), (7, u, "e"),
+            (8, None, "f"), (9, "", "g"), (3, t + " six seven", "h"), (3, t + " six seven", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars string")
+    out = S.keep_one_per_component(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, t), (None, u), (8, None), (3, t + " six seven")], key=str)
+    assert S.keep_one_per_component(df.limit(0)).count() == 0
