@@ -9,10 +9,9 @@ beta prior fitted to all hosts by the method of moments, and a host is rejected
 when its shrunk rate exceeds ``HostRules.reject_rate``.  Host verdicts are joined
 back to the documents.
 
-``keep_documents`` also lets the host rate decide how strictly a document's own
-failures count: one that fails any rule but the base ones stays only on a trusted
-host, whose shrunk rate is ``HostRules.trust_rate`` at most.  ``host_quality`` gives
-``kept`` by the base rules and the host's rejection, as its SQL defines it.
+The host rate also decides how strictly a document's own failures count: one that
+fails any rule but the base ones stays only on a trusted host, whose shrunk rate is
+``HostRules.trust_rate`` at most.  The base rules always reject.
 
 Defined results: null or wordless text has no words and fails; a null host is a
 host of its own; an empty table gives an empty result; repeated rows are measured
@@ -127,6 +126,11 @@ def host_table(measured: DataFrame, host: str, rules: HostRules = HostRules()) -
     return hosts.withColumn("rate", shrunk).withColumn("rejected", shrunk > rules.reject_rate)
 
 
+def stays(base_failed: Column, failed: Column, rejected: Column, trusted: Column) -> Column:
+    """Whether a document passes, given its own failures and its host's verdict."""
+    return ~base_failed & F.coalesce(F.when(failed, trusted).otherwise(~F.coalesce(rejected, F.lit(False))), F.lit(False))
+
+
 def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  host_col: str = "source", doc_rules: DocRules = DocRules(),
                  host_rules: HostRules = HostRules()) -> DataFrame:
@@ -138,7 +142,8 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return (rows.join(hosts, F.col("_host").eqNullSafe(F.col("host")), "left")
             .select(F.col("_id").alias(id_col), *MEASURES, "base_failed",
                     F.col("rate").alias("host_rate"),
-                    (~F.col("base_failed") & ~F.col("rejected")).alias("kept")))
+                    stays(F.col("base_failed"), F.col("failed"), F.col("rejected"),
+                          F.col("rate") <= host_rules.trust_rate).alias("kept")))
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source",
@@ -154,6 +159,6 @@ def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     hosts = host_table(measured.select("_host", F.col("_m.failed").alias("failed")), "_host", host_rules)
     hosts = (hosts.withColumn("_trusted", F.col("rate") <= host_rules.trust_rate).where("rejected OR _trusted")
              .select(F.col("host").alias("_named"), F.col("rejected").alias("_rejected"), "_trusted"))
-    stays = F.when(F.col("_m.failed"), F.col("_trusted")).otherwise(~F.coalesce("_rejected", F.lit(False)))
+    passes = stays(F.col("_m.base_failed"), F.col("_m.failed"), F.col("_rejected"), F.col("_trusted"))
     return (measured.where(~F.col("_m.base_failed"))
-            .join(hosts, F.col("_host").eqNullSafe(F.col("_named")), "left").where(stays).select("_row.*"))
+            .join(hosts, F.col("_host").eqNullSafe(F.col("_named")), "left").where(passes).select("_row.*"))

@@ -62,7 +62,8 @@ s AS (
 r AS (
   SELECT source, (k + mu * st) / (n + st) AS rate FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       round(rate, 6) AS host_rate, NOT base_failed AND NOT rate > 0.9 AS kept
+       round(rate, 6) AS host_rate,
+       NOT base_failed AND CASE WHEN more_failed THEN rate <= 0.05 ELSE NOT rate > 0.9 END AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""")
 def q_host_quality(spark, sf):
     return host_quality(documents(spark, sf)).withColumn("host_rate", F.round("host_rate", 6))

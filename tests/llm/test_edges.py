@@ -118,3 +118,4 @@ def test_extra_rules_count_unless_the_host_is_trusted(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     kept = Counter(r.doc_id for r in H.keep_documents(df).collect())
     assert kept == Counter([i for i in range(200) if i % 5] + list(range(1000, 1400)))
+    assert Counter(r.doc_id for r in H.host_quality(df).where("kept").collect()) == kept
