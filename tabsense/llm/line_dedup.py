@@ -54,6 +54,8 @@ from pyspark.sql import functions as F
 from tabsense.llm.common import bit_filter, discard, materialize, probe, text_of
 
 MIN_WORDS = 50
+#: Texts are hashed together up to so many bytes (or one text).
+GROUP_BYTES = 1 << 20
 #: Filters of hashes have 2**(6 + FILTER_BITS) bits at most, 32 MB.
 FILTER_BITS = 22
 WORD = re.compile(r"[^\x20\t-\r]+")
@@ -164,12 +166,21 @@ def _rolling(values: np.ndarray, step: int, lo: np.ndarray, hi: np.ndarray) -> n
     return _mixed((sums[hi] - sums[lo]) * _powers(pow(step, -1, 1 << 64), len(values))[lo])
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~IS_SPACE[data]
-    edge = np.diff(inside)
-    return _rolling(BYTE_VALUES[data], BYTE_STEP, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of neighbouring texts, text k being data[cuts[k]:cuts[k + 1]], and the
+    place of every text's first word (and the end)."""
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = ~IS_SPACE[data]
+    begins = inside[:-1].copy()
+    begins[1:] &= ~inside[:-2]
+    first = cuts[:-1][cuts[:-1] < len(data)]
+    begins[first] = inside[first]                          # a text's end ends a word
+    ends = inside[:-1].copy()
+    ends[:-1] &= ~inside[1:-1]
+    last = cuts[1:][cuts[1:] > 0] - 1
+    ends[last] = inside[last]
+    lo, hi = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return _rolling(BYTE_VALUES[data], BYTE_STEP, lo, hi), np.searchsorted(lo, cuts)
 
 
 def word_runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -191,30 +202,46 @@ def gram_words(min_words: int) -> int:
     return min_words // 2 + 1
 
 
-def fingerprints(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the least units of every run of ``min_words`` words."""
-    grams = word_runs(words, gram_words(min_words))
-    width = min_words - gram_words(min_words) + 1
-    if len(grams) < width:
+def fingerprints(words: np.ndarray, cuts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the least units of every run of ``min_words`` words inside a
+    text; ``cuts`` are the texts' first words and the end."""
+    gram = gram_words(min_words)
+    grams, width = word_runs(words, gram), min_words - gram + 1
+    if len(words) < min_words:
         return grams[:0], np.zeros(0, np.int64)
-    least = np.pad(_sliding(np.minimum, grams, width), width - 1)
-    at = np.flatnonzero(_sliding(np.maximum, least, width) == grams)
+    least = _sliding(np.minimum, grams, width)
+    text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    least[text[:len(least)] != text[min_words - 1:]] = 0   # runs over two texts select nothing
+    at = np.flatnonzero(_sliding(np.maximum, np.pad(least, width - 1), width) == grams)
     return grams[at], at
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, cuts) of neighbouring texts, GROUP_BYTES and one text at most."""
+    offsets = texts.offsets.to_numpy() if hasattr(texts, "offsets") else np.frombuffer(
+        texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + GROUP_BYTES, "right")) - 1)
+        yield row, data[offsets[row]:offsets[end]], offsets[row:end + 1].astype(np.int64) - offsets[row]
+        row = end
+
+
 def _hash_table(docs: DataFrame, names: list[str], of) -> DataFrame:
-    """(id, th, hash, position) rows that ``of(word hashes)`` gives; docs has (id, th, text)."""
+    """(id, th, hash, position) rows that ``of(word hashes, cuts)`` gives; docs has (id, th, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [of(word_hashes(text.as_py())) for text in b.column(2)]
-            if got:
-                take = pa.array(np.repeat(np.arange(len(got)), [len(at) for _, at in got]))
+            for row, data, ends in _groups(b.column(2).cast(pa.binary())):
+                words, cuts = word_hashes(data, ends)
+                h, at = of(words, cuts)
+                text = np.searchsorted(cuts, at, "right") - 1
+                take = pa.array(row + text)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take),
-                     pa.array(np.concatenate([h for h, _ in got]).view(np.int64)),
-                     pa.array(np.concatenate([at for _, at in got]).astype(np.int32))], ["id", "th", *names])
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64)),
+                     pa.array((at - cuts[text]).astype(np.int32))], ["id", "th", *names])
 
     return docs.select("id", "th", F.encode("text", "UTF-8").alias("text")).mapInArrow(
         run, f"id {kind}, th long, {names[0]} long, {names[1]} int")
@@ -248,7 +275,9 @@ def _later(table: DataFrame, key: str) -> DataFrame:
 
 def _chains(later: DataFrame, min_words: int) -> DataFrame:
     """(id, th, lo, hi, fp): words [lo, hi) that stand in an earlier text, ``fp`` null; or a
-    fingerprint whose surroundings are open, ``lo`` and ``hi`` null."""
+    chain's first fingerprint (``lo`` = -1) whose words before are open, or its last
+    (``lo`` = 1) whose words behind are; every other run of ``min_words`` words that holds
+    one of its fingerprints lies in the chain or holds its first or last one so."""
     kind, gram = later.schema["id"].dataType.simpleString(), gram_words(min_words)
     reach = min_words - gram
 
@@ -268,16 +297,20 @@ def _chains(later: DataFrame, min_words: int) -> DataFrame:
             reached = np.maximum.accumulate(hi) if len(hi) else hi
             new = np.flatnonzero(np.r_[True, lo[1:] > reached[:-1]])[:len(lo)]
             low, high = lo[new], reached[np.r_[new[1:], len(lo)] - 1] if len(lo) else hi
-            left = np.maximum(doc << 31, place - reach)
-            inside = np.searchsorted(low, left, "right") - 1
-            open_ = (inside < 0) | (high[inside] < place + min_words) if len(low) else np.ones(len(at), bool)
-            runs = pa.array(np.r_[owner, doc[open_]])
-            none = [None] * int(open_.sum())
+            before, behind = place[begin], place[end]
+            edges = np.r_[before, behind]
+            start = np.r_[np.maximum(doc[begin] << 31, before - reach), np.maximum(doc[end] << 31, behind - reach + 1)]
+            stop = np.r_[before - 1, behind] + min_words
+            inside = np.searchsorted(low, start, "right") - 1
+            open_ = (inside < 0) | (high[inside] < stop) if len(low) else np.ones(len(edges), bool)
+            side = np.r_[np.full(len(before), -1), np.full(len(behind), 1)][open_]
+            holder, asked = np.r_[doc[begin], doc[end]][open_], np.r_[fp[begin], fp[end]][open_]
+            runs = pa.array(np.r_[owner, holder])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(runs), b.column(1).take(runs),
-                 pa.array([*(lo & (1 << 31) - 1).tolist(), *none], pa.int32()),
-                 pa.array([*(hi - (owner << 31)).tolist(), *none], pa.int32()),
-                 pa.array([*[None] * len(lo), *fp[open_].tolist()], pa.int64())], ["id", "th", "lo", "hi", "fp"])
+                 pa.array(np.r_[lo & (1 << 31) - 1, side].astype(np.int32)),
+                 pa.array([*(hi - (owner << 31)).tolist(), *[None] * len(side)], pa.int32()),
+                 pa.array([*[None] * len(lo), *asked.tolist()], pa.int64())], ["id", "th", "lo", "hi", "fp"])
 
     marks = F.collect_set(F.struct("at", F.xxhash64("first.id", "first.th").alias("text"),
                                    (F.col("at") - F.col("first.at")).alias("offset"), "fp"))
@@ -288,20 +321,23 @@ def _chains(later: DataFrame, min_words: int) -> DataFrame:
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, runs): the word ranges (lo, hi) that lie in runs of ``min_words`` repeated words."""
-    gram = gram_words(min_words)
+    reach = min_words - gram_words(min_words)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th"),
                        text_of(text_col).alias("text"))
-    table = materialize(_hash_table(base, ["fp", "at"], lambda words: fingerprints(words, min_words)))
+    table = materialize(_hash_table(base, ["fp", "at"], lambda words, cuts: fingerprints(words, cuts, min_words)))
     shared = materialize(table.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
     marks = _in_filter(table, HashFilter(shared))
     found = materialize(_chains(_later(marks, "fp"), min_words))
-    asked = HashFilter(found.where("fp IS NOT NULL").select("fp").distinct())
+    asked = found.where("fp IS NOT NULL")
+    first, last = (HashFilter(asked.where(F.col("lo") == side).select("fp").distinct()) for side in (-1, 1))
 
-    def around(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h, at = fingerprints(words, min_words)
-        at = at[asked.hits(h)]
-        at = np.unique(at[:, None] - np.arange(min_words - gram + 1))
+    def around(words: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, at = fingerprints(words, cuts, min_words)
+        starts = [(at[keys.hits(h)][:, None] - np.arange(reach) - away).ravel() for keys, away in ((first, 1), (last, 0))]
+        at = np.unique(np.concatenate(starts))
         at = at[(at >= 0) & (at + min_words <= len(words))]
+        text = np.searchsorted(cuts, at, "right") - 1
+        at = at[at + min_words <= cuts[text + 1]]
         return _rolling(words, WORD_STEP, at, at + min_words), at
 
     live = materialize(_hash_table(base, ["wh", "at"], around))
