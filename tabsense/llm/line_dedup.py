@@ -248,22 +248,25 @@ def _hash_table(docs: DataFrame, names: list[str], of) -> DataFrame:
 
 
 class HashFilter:
-    """Bounded approximate set of 64-bit hashes: false hits, never false misses.  The top
-    bits are left alone: fingerprints are minima, so those are mostly zero."""
+    """Bounded approximate set of 64-bit hashes: false hits, never false misses.  A hash
+    sets two bits of one word; the top bits are left alone: fingerprints are minima, so
+    those are mostly zero."""
 
     def __init__(self, hashes: DataFrame):
         (name,) = hashes.columns
         n = hashes.count()
-        self.bits = min(FILTER_BITS, max(10, math.ceil(math.log2(max(n, 1))) - 2))    # 16 bits a key and more
+        self.bits = min(FILTER_BITS, max(10, math.ceil(math.log2(max(n, 1))) + 2))    # 4 words a key and more
         word = F.col(name).bitwiseAND(F.lit((1 << self.bits) - 1))
-        got = (hashes.select(word.alias("word"), F.shiftright(name, 40).bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-               .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")).toPandas())
+        mask = F.expr(f"bit_or(shiftleft(1L, CAST(shiftright({name}, 40) & 63 AS INT)) "
+                      f"| shiftleft(1L, CAST(shiftright({name}, 46) & 63 AS INT)))")
+        got = hashes.groupBy(word.alias("word")).agg(mask.alias("mask")).toPandas()
         self.masks = np.zeros(1 << self.bits, np.uint64)
         self.masks[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
 
     def hits(self, h: np.ndarray) -> np.ndarray:
-        masks = self.masks[(h & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
-        return (masks >> (h >> np.uint64(40) & np.uint64(63)) & np.uint64(1)).astype(bool)
+        one, low = np.uint64(1), np.uint64(63)
+        both = one << (h >> np.uint64(40) & low) | one << (h >> np.uint64(46) & low)
+        return self.masks[(h & np.uint64((1 << self.bits) - 1)).astype(np.int64)] & both == both
 
 
 def _later(table: DataFrame, key: str) -> DataFrame:
