@@ -28,7 +28,7 @@ fingerprints at equal distances mean equal words between them:
 Rows are proportional to the fingerprints that repeat, plus the windows at run ends.  The
 result is exact: the words in a run that has begun before go, a line with them if none is
 left.  Fingerprints are looked up in bit filters of bounded size (they grow with the
-number of keys up to 32 MB); a full filter lets more rows through, never fewer.
+number of keys up to 16 MB); a full filter lets more rows through, never fewer.
 
 Texts stay in their tasks until the decisions are joined to them; only hashes are
 grouped, with partial minima first, so a passage held by a third of all rows is one
@@ -56,8 +56,8 @@ from tabsense.llm.common import bit_filter, discard, materialize, probe, text_of
 MIN_WORDS = 50
 #: Texts are hashed together up to so many bytes (or one text).
 GROUP_BYTES = 1 << 20
-#: Filters of hashes have 2**(6 + FILTER_BITS) bits at most, 32 MB.
-FILTER_BITS = 22
+#: Filters of hashes have 2**(6 + FILTER_BITS) bits at most, 16 MB.
+FILTER_BITS = 21
 WORD = re.compile(r"[^\x20\t-\r]+")
 # Odd multipliers of the rolling hashes, with their inverses mod 2**64, and a random value a byte.
 BYTE_STEP, WORD_STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -364,27 +364,23 @@ def _without_words(text: str, runs) -> str:
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, np.array([r["lo"] for r in runs]), 1)
     np.add.at(edge, np.array([r["hi"] for r in runs]), -1)
-    goes = np.cumsum(edge) > 0
-    out, at, w, gone = [], 0, 0, False
-    for line in lines:
-        first = w
-        while w < len(words) and words[w][0] < at + len(line):
-            w += 1
-        stay = [i for i in range(first, w) if not goes[i]]
+    goes = np.cumsum(edge)[:-1] > 0
+    gone_before = np.concatenate([[0], np.cumsum(goes)])
+    at = np.cumsum([0] + [len(line) + 1 for line in lines])
+    upto = np.searchsorted([a for a, _ in words], at)      # words that begin before each line
+    lost = gone_before[upto[1:]] - gone_before[upto[:-1]]
+    out, gone = [], False
+    for line, begin, first, w, less in zip(lines, at.tolist(), upto.tolist(), upto[1:].tolist(), lost.tolist()):
         if w > first:                                      # blank lines follow the line before
-            gone = not stay
-        if stay and len(stay) < w - first:
-            parts = []
-            for i in stay:
-                begin = at if i == first else words[i][0]
-                end = at + len(line) if i == w - 1 else words[i][1]
-                if parts and parts[-1][2] == i - 1:
-                    begin = parts.pop()[0]
-                parts.append((begin, end, i))
-            out.append(" ".join(text[a:b] for a, b, _ in parts))
-        elif not gone:
+            gone = less == w - first
+        if not less and not gone:
             out.append(line)
-        at += len(line) + 1
+        elif not gone:
+            stay, parts = np.flatnonzero(~goes[first:w]) + first, []
+            for run in np.split(stay, np.flatnonzero(np.diff(stay) > 1) + 1):
+                parts.append(text[begin if run[0] == first else words[run[0]][0]:
+                                  begin + len(line) if run[-1] == w - 1 else words[run[-1]][1]])
+            out.append(" ".join(parts))
     return "\n".join(out)
 
 
