@@ -1,18 +1,19 @@
-"""Exact and approximate grouped quantiles that never put a whole group in one task.
-
-Spark's exact ``percentile`` aggregate keeps a value->count map per group; grouped
-by column name, the final merge of one column holds every distinct value of that
-column in a single task.  ``exact_quantiles`` instead:
-
-1. counts rows per distinct ``(keys, value)`` (map-side combine, so a value that
-   holds a third of the rows becomes one row),
-2. splits every group into deterministic range buckets (approximate quantile
-   bounds, checkpointed once: ``functions/buckets.py``), so a high-cardinality
-   group is spread over many tasks,
-3. takes a running count inside each ``(group, bucket)`` and adds the total of the
-   group's earlier buckets (a frame of at most groups x buckets rows),
-4. keeps only the distinct values whose rank interval covers a wanted rank and
-   interpolates linearly between the two neighbours (pandas / ``quantile_cont``).
+"""Exact grouped quantiles by rank-directed selection, and one-pass approximate ones.
+
+Neither a whole group nor all its values ever meet in one task or cross the network:
+
+1. one scan counts the rows of fixed buckets (64 a power of two of the value's size), with
+   partial counts in the tasks; a bucket also keeps its least and largest value;
+2. running counts over a group's buckets (a few thousand rows at most) tell which bucket
+   holds each wanted rank; a bucket of one value, or whose first or last row is wanted,
+   is settled at once;
+3. the other wanted buckets are ranges of values.  A range of more than ``GATHER_ROWS``
+   rows is counted again in ``SPLITS`` even parts, until all are shorter; a last scan then
+   counts the distinct values inside the wanted ranges only.
+
+The ranges are one row per group, probability and side; they are collected and broadcast
+when that is under the session's broadcast threshold, otherwise written to the shared
+checkpoint folder and joined by key.  Interpolation is linear (pandas / ``quantile_cont``).
 """
 from __future__ import annotations
 
@@ -21,78 +22,139 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.functions.buckets import (BUCKET, group_bounds, ranged_offsets,
-                                        shuffle_partitions, with_buckets)
+from tabsense.functions.buckets import local_if_small
+from tabsense.session import cut_lineage
+
+#: Buckets a power of two, and parts of a range that is counted again.
+PER_POWER, SPLITS = 64, 1024
+#: A wanted range of more rows is split before its values are counted.
+GATHER_ROWS = 1 << 20
+FLOOR, CEIL = 0, 1
+
+
+def size_bucket(value: Column) -> Column:
+    """A whole number that never falls as ``value`` rises (any numeric type, infinities too)."""
+    v = value.cast("double")
+    power = F.least(F.greatest(F.log2(F.abs(v)), F.lit(-1100.0)), F.lit(1100.0))
+    away = F.floor((power + 1101) * PER_POWER) + 1
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, away).otherwise(-away)
+
+
+def _ranked(parts: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Buckets (n, lo, hi) with the rows before them and in all, inside ``within``."""
+    group = Window.partitionBy(*within)
+    before = group.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(group)})
+
+
+def _wanted(parts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """keys, total, prob, side, rank (inside the bucket), n, lo, hi: a bucket per wanted rank."""
+    ranks = []
+    for i, p in enumerate(probs):
+        at = (F.col("all") - 1) * F.lit(float(p))
+        for side, rank in ((FLOOR, F.floor(at)), (CEIL, F.ceil(at))):
+            ranks.append(F.struct(F.lit(i).alias("prob"), F.lit(side).alias("side"), (rank - F.col("before")).alias("rank")))
+    inside = F.filter(F.array(*ranks), lambda r: (r["rank"] >= 0) & (r["rank"] < F.col("n")))
+    return (_ranked(parts, keys).withColumn("w", F.explode(inside))
+            .select(*keys, F.col("all").alias("total"), "w.prob", "w.side", "w.rank", "n", "lo", "hi"))
+
+
+SETTLED = "(lo = hi OR rank = 0 OR rank = n - 1)"
+
+
+def _fixed(wanted: DataFrame) -> tuple[DataFrame, bool]:
+    """The wanted ranges, computed once, and whether they are small enough to broadcast."""
+    local = local_if_small(wanted, 128)
+    return (cut_lineage(wanted), False) if local is None else (local, True)
+
+
+def _inside(present: DataFrame, keys: Sequence[str], value: str, wanted: DataFrame, small: bool,
+            part: Column) -> DataFrame:
+    """Wanted ranks moved from their range into its parts (``part`` of value, _lo, _hi)."""
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    ranges = wanted.select(*named, F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
+    same = F.col(value).between(F.col("_lo"), F.col("_hi"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    rows = present.join(F.broadcast(ranges) if small else ranges, same)
+    parts = (rows.groupBy(*[f"_{k}" for k in keys], "_lo", part.alias("_part"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")))
+    parts = _ranked(parts, [*[f"_{k}" for k in keys], "_lo"]).drop("all", "_part")
+    hit = (F.col("w.lo") == F.col("p._lo")) & (F.col("w.rank") >= F.col("p.before")) & (
+        F.col("w.rank") < F.col("p.before") + F.col("p.n"))
+    for k in keys:
+        hit = hit & (F.col(f"w.{k}") == F.col(f"p._{k}"))
+    asked = F.broadcast(wanted.alias("w")) if small else wanted.alias("w")
+    return parts.alias("p").join(asked, hit).select(
+        *[F.col(f"w.{k}").alias(k) for k in keys], "w.total", "w.prob", "w.side",
+        (F.col("w.rank") - F.col("p.before")).alias("rank"), "p.n", "p.lo", "p.hi")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Sequence[float], names: Sequence[str] | None = None,
-                    partitions: int | None = None) -> DataFrame:
+                    probs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys`` group.
 
     Returns ``keys + names`` (one double column per probability) plus ``_n``,
-    the non-null count.  NULL values are ignored; groups without values are absent.
+    the non-null count.  NULL values are ignored; groups without values, or with a
+    NULL key, are absent.
     """
-    return exact_quantiles_sized(df, keys, value, probs, names, partitions)[0]
+    return exact_quantiles_sized(df, keys, value, probs, names)[0]
 
 
 def exact_quantiles_sized(df: DataFrame, keys: Sequence[str], value: str,
                           probs: Sequence[float], names: Sequence[str] | None = None,
-                          partitions: int | None = None,
                           stats: dict[str, Column] | None = None) -> tuple[DataFrame, bool]:
     """``exact_quantiles`` plus whether its one-row-per-group result is proven
-    small enough to broadcast (the bucket bounds, which hold more per group,
-    passed the session's broadcast threshold).
+    small enough to broadcast (the wanted ranges, several rows a group, were).
 
-    With ``stats`` (name -> aggregate over all rows of a group, computed in the
-    bounds scan) the result has one row per group of ``df``, including groups
-    whose values are all NULL (their quantiles are NULL), with those columns added.
+    With ``stats`` (name -> aggregate over all rows of a group) the result has one row
+    per group of ``df``, including groups whose values are all NULL (their quantiles
+    are NULL), with those columns added.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    keys = list(keys)
-    parts = partitions or shuffle_partitions(df)
-    v = F.col(value)
-
-    present = df.where(v.isNotNull())
-    bounds, small = group_bounds(df if stats else present, keys, value, parts, stats)
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    counts = with_buckets(counts, keys, value, bounds, small, parts)
-    in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = counts.withColumn("_local", F.sum("_cnt").over(in_bucket))
-    offsets = ranged_offsets(counts, keys, "_cnt", small)
-    ranked = local.join(offsets, on=[*keys, BUCKET])
-
-    hi = F.col("_off") + F.col("_local")          # exclusive end rank (0-based)
-    lo = hi - F.col("_cnt")                        # first rank held by this value
-    pos = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
-    covers = []
-    for i, h in enumerate(pos):
-        f_rank, c_rank = F.floor(h), F.ceil(h)
-        covers.append(((lo <= f_rank) & (f_rank < hi)).alias(f"_f{i}"))
-        covers.append(((lo <= c_rank) & (c_rank < hi)).alias(f"_c{i}"))
-    flagged = ranked.select(*keys, value, "_n", *covers)
-    any_cover = F.lit(False)
-    for i in range(len(probs)):
-        any_cover = any_cover | F.col(f"_f{i}") | F.col(f"_c{i}")
-    hits = flagged.where(any_cover)
-
-    aggs = [F.first("_n").alias("_n")]
-    for i in range(len(probs)):
-        aggs.append(F.max(F.when(F.col(f"_f{i}"), v)).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col(f"_c{i}"), v)).alias(f"_hi{i}"))
-    picked = hits.groupBy(*keys).agg(*aggs)
-    out = [F.col(k) for k in keys] + [F.col("_n")]
-    for i, p in enumerate(probs):
+    keys, v = list(keys), F.col(value)
+    present = df.select(*keys, value).where(v.isNotNull())
+    for k in keys:
+        present = present.where(F.col(k).isNotNull())
+    parts = (present.groupBy(*keys, size_bucket(v).alias("_bucket"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).drop("_bucket"))
+    wanted, small = _fixed(_wanted(parts, keys, probs))
+    longest, unsettled = None, wanted.where(f"NOT {SETTLED}")
+    done = [wanted.where(SETTLED)]
+    while (now := unsettled.agg(F.max("n")).first()[0] or 0) > GATHER_ROWS and now != longest:
+        longest = now
+        width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+        share = (v.cast("double") - F.col("_lo").cast("double")) / F.nullif(width, F.lit(0.0))
+        wanted, small = _fixed(_inside(present, keys, value, unsettled, small,
+                                       F.least(F.floor(share * SPLITS), F.lit(SPLITS))))
+        done.append(wanted.where(SETTLED))
+        unsettled = wanted.where(f"NOT {SETTLED}")
+    if longest is not None or now:
+        done.append(_inside(present, keys, value, unsettled, small, v))
+
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    at = F.when(F.col("rank") == 0, F.col("lo")).otherwise(F.col("hi"))
+    pick = [F.max(F.when((F.col("prob") == i) & (F.col("side") == side), at)).alias(f"_{i}_{side}")
+            for i in range(len(probs)) for side in (FLOOR, CEIL)]
+    picked = found.groupBy(*keys).agg(F.first("total").alias("_n"), *pick)
+    out = []
+    for i, (p, name) in enumerate(zip(probs, names)):
         h = (F.col("_n") - 1) * F.lit(float(p))
-        frac = h - F.floor(h)
-        lo_v, hi_v = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo_v + (hi_v - lo_v) * frac).alias(names[i]))
-    result = picked.select(*out)
+        low, high = F.col(f"_{i}_{FLOOR}"), F.col(f"_{i}_{CEIL}")
+        out.append((low + (high - low) * (h - F.floor(h))).alias(name))
+    result = picked.select(*keys, "_n", *out)
+    if not keys:
+        result = result.where(F.col("_n").isNotNull())
     if stats:
-        st = bounds.select(*keys, *stats.keys())
-        result = (F.broadcast(st) if small else st).join(result, on=keys, how="left") if keys \
-            else st.crossJoin(result)
+        base = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(f"b.{k}") == F.col(f"q.{k}"))
+        answers = F.broadcast(result) if small else result
+        result = (base.alias("b").join(answers.alias("q"), same, "left")
+                  .select(*[F.col(f"b.{k}") for k in keys], *stats, "_n", *names))
     return result, small
 
 

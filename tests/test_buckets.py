@@ -33,7 +33,7 @@ def test_buckets_split_hot_group_and_are_monotone(spark):
 def test_exact_quantiles_many_buckets_vs_numpy(spark):
     pdf, df = _skewed(spark)
     probs = (0.0, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0)
-    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, partitions=32).collect()}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
     for k, g in pdf.groupby("k"):
         exp = np.quantile(g["v"].values, probs)
         assert got[k]["_n"] == len(g)
@@ -65,7 +65,7 @@ def test_exact_quantiles_without_broadcast(spark):
         bounds, small = group_bounds(df, ["k"], "v", 16)
         assert not small
         probs = (0.1, 0.5, 0.9)
-        got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, partitions=16).collect()}
+        got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
         opdf = pdf.assign(o=np.arange(len(pdf), dtype="float64"))
         pre = exclusive_prefix(spark.createDataFrame(opdf), ["k"], "o", "v", "before", 16).toPandas()
     finally:
