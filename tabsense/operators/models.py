@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tabsense.functions import kinds as K
 from tabsense.operators import metrics as M
 from tabsense.operators import prep as P
+from tabsense.operators.linear_cv import linear_cv_scores
 from tabsense.session import cut_lineage
 
 SEED = 42
@@ -149,6 +150,7 @@ class TrainResult:
     model: Any = None
     predictions: DataFrame | None = None
     feature_names: list[str] = field(default_factory=list)
+    cv_error: str | None = None
 
 
 def _rff_stage(train_feats: DataFrame, dim: int) -> RandomFourierFeatures:
@@ -173,6 +175,12 @@ def _numbered(distinct_rows: DataFrame, name: str) -> DataFrame:
     return cut_lineage(distinct_rows.withColumn(name, F.monotonically_increasing_id()))
 
 
+def _by_normal_equations(est, scaling: str) -> bool:
+    """Least squares with at most a squared penalty on unscaled coefficients."""
+    return (isinstance(est, LinearRegression) and est.getLoss() == "squaredError" and scaling == "standard"
+            and (est.getRegParam() == 0 or (est.getElasticNetParam() == 0 and not est.getStandardization())))
+
+
 def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
              num: Sequence[str], cat: Sequence[str], scaling: str,
              rff: bool = False) -> float | None:
@@ -180,6 +188,8 @@ def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
 
     As in a cross-validated pipeline, every fold fits its own preprocessor (and
     random-feature map) on its training rows before refitting a copy of ``est``.
+    Linear and ridge regression on standard scaling get the same scores from one pass
+    (``linear_cv``).
     The input is persisted once with its fold id; the k fold fits are independent
     Spark jobs submitted concurrently, so on a cluster they share the executors
     instead of queueing one after another.
@@ -188,6 +198,10 @@ def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
 
     from pyspark import inheritable_thread_target
 
+    if _by_normal_equations(est, scaling):
+        scores = linear_cv_scores(data, keys, k, num, cat, est.getRegParam(), SEED)
+        if scores is not None:
+            return float(np.mean(scores)) if scores else None
     folds = P.with_folds(data, keys, k, SEED).persist()
     fold_med = P.fold_medians(folds, num, k)       # every fold's medians in one job
     metric = "r2" if task == "regression" else "accuracy"
@@ -277,6 +291,7 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
                 auc = M.roc_auc_macro(M.roc_auc_ovr(wide, "label", cols)).first()[0]
             if auc is not None:
                 mrow["roc_auc"] = auc
+    cv_error = None
     if cv_folds and est is not None:
         try:
             best = est
@@ -286,12 +301,12 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
             score = cv_score(best, data, keys, cv_folds, task, num, cat, scaling, bool(extra))
             if score is not None:
                 mrow["cv_mean_score"] = score
-        except Exception:  # noqa: BLE001  (the reference ignores CV failures)
-            pass
+        except Exception as e:  # noqa: BLE001  (a failed CV leaves the trained model usable)
+            cv_error = f"{type(e).__name__}: {e}"
     train.unpersist()
     metrics = {k: float(v) for k, v in mrow.items() if v is not None}
     return TrainResult(str(uuid.uuid4()), task, normalise_algorithm(algorithm), used, target, feats,
-                       metrics, classes, [], prep, model, pred, prep.feature_names)
+                       metrics, classes, [], prep, model, pred, prep.feature_names, cv_error)
 
 
 def train_clustering(df: DataFrame, features: Sequence[str] | None = None,
