@@ -12,10 +12,12 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
+import pandas as pd
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, NaiveBayes, OneVsRest,
@@ -23,9 +25,12 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +56,36 @@ def normalise_algorithm(name: str | None) -> str:
     return str(name or "random_forest").lower().replace(" ", "_")
 
 
-class RandomFourierFeatures(Transformer):
+class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """RBF-kernel approximation (Rahimi & Recht 2007): z = sqrt(2/D) cos(Wx + b),
-    W ~ N(0, 2 gamma).  Parameters are fixed at construction, so this is a plain
-    column expression over the feature vector."""
+    W ~ N(0, 2 gamma).  The parameters (sizes, gamma, seed) determine W and b, so the stage
+    is saved and loaded like any other; a batch is one matrix product."""
 
-    def __init__(self, dim_in: int, gamma: float, n_components: int = 100,
-                 input_col: str = "features", output_col: str = "rff", seed: int = SEED):
+    size = Param(Params._dummy(), "size", "length of the input vectors", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
+    components = Param(Params._dummy(), "components", "random features", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the random features", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, size: int = 1, gamma: float = 1.0, components: int = 100,
+                 inputCol: str = "features", outputCol: str = "rff", seed: int = SEED):
         super().__init__()
-        rng = np.random.default_rng(seed)
-        self.w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_components, dim_in)).tolist()
-        self.b = rng.uniform(0.0, 2.0 * math.pi, size=n_components).tolist()
-        self.input_col, self.output_col = input_col, output_col
+        self._setDefault(size=1, gamma=1.0, components=100, inputCol="features", outputCol="rff", seed=SEED)
+        self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        x = vector_to_array(F.col(self.input_col))
-        scale = math.sqrt(2.0 / len(self.b))
-        feats = [F.cos(F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in row]), lambda a, c: a * c),
-                                   F.lit(0.0), lambda acc, t: acc + t) + F.lit(bias)) * scale
-                 for row, bias in zip(self.w, self.b)]
-        return df.withColumn(self.output_col, array_to_vector(F.array(*feats)))
+        size, n = self.getOrDefault(self.size), self.getOrDefault(self.components)
+        rng = np.random.default_rng(self.getOrDefault(self.seed))
+        w = rng.normal(0.0, math.sqrt(2.0 * self.getOrDefault(self.gamma)), size=(n, size))
+        shift = rng.uniform(0.0, 2.0 * math.pi, size=n)
+
+        @F.pandas_udf("array<double>")
+        def turned(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return x
+            return pd.Series(list(math.sqrt(2.0 / n) * np.cos(np.stack(x.to_numpy()) @ w.T + shift)))
+
+        return df.withColumn(self.getOutputCol(), array_to_vector(turned(vector_to_array(F.col(self.getInputCol())))))
 
 
 def make_estimator(task: str, algorithm: str, n_train: int, y_std: float = 1.0,
@@ -157,7 +172,7 @@ def _rff_stage(train_feats: DataFrame, dim: int) -> RandomFourierFeatures:
     """gamma = 1 / (n_features * variance of all feature values) (sklearn 'scale')."""
     arr = vector_to_array(F.col("features"))
     var = (train_feats.select(F.explode(arr).alias("v")).agg(F.var_pop("v")).first()[0]) or 1.0
-    return RandomFourierFeatures(dim, 1.0 / (dim * var if var > 0 else dim))
+    return RandomFourierFeatures(size=dim, gamma=1.0 / (dim * var if var > 0 else dim))
 
 
 def _knn_fit_predict(train: DataFrame, test: DataFrame, task: str, k: int = 5) -> DataFrame:
@@ -257,10 +272,10 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
     n_train = tr.count()
     y_std = tr.agg(F.stddev_pop("label")).first()[0] or 1.0
     est, used = make_estimator(task, algorithm, n_train, y_std, max(2, len(classes)))
-    extra: list = []
-    if used == "svm_rff":
-        extra = [_rff_stage(tr, len(prep.feature_names))]
-        tr, te = extra[0].transform(tr), extra[0].transform(te)
+    if used == "svm_rff":                # the map is part of what prepares a row, saved with it
+        stage = _rff_stage(tr, len(prep.feature_names))
+        prep = replace(prep, model=PipelineModel(stages=[*prep.model.stages, stage]))
+        tr, te = stage.transform(tr), stage.transform(te)
     metric_name = "r2" if task == "regression" else "accuracy"
     if est is None:
         model = None
@@ -298,7 +313,7 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
             if tuning:
                 best = est.copy({est.getParam(p.name): v for p, v in model.extractParamMap().items()
                                  if est.hasParam(p.name)})
-            score = cv_score(best, data, keys, cv_folds, task, num, cat, scaling, bool(extra))
+            score = cv_score(best, data, keys, cv_folds, task, num, cat, scaling, used == "svm_rff")
             if score is not None:
                 mrow["cv_mean_score"] = score
         except Exception as e:  # noqa: BLE001  (a failed CV leaves the trained model usable)
@@ -354,6 +369,11 @@ def save_model(res: TrainResult, path: str) -> str:
     return path
 
 
-__all__ = ["train_supervised", "train_clustering", "cv_score", "make_estimator", "param_grid", "save_model",
+def load_model(path: str) -> PipelineModel:
+    """A saved pipeline; ``transform`` takes raw rows."""
+    return PipelineModel.load(path)
+
+
+__all__ = ["load_model", "train_supervised", "train_clustering", "cv_score", "make_estimator", "param_grid", "save_model",
            "TrainResult", "RandomFourierFeatures", "REGRESSORS", "CLASSIFIERS", "CLUSTERERS",
            "Estimator", "Pipeline"]
