@@ -33,6 +33,26 @@ def q_csv_roundtrip(spark, sf):
     return S.read_csv(spark, out)
 
 
+@register("csv_folder", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 <> 1 THEN c_name END AS c_name, c_acctbal,
+       CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS c_mktsegment FROM customer""")
+def q_csv_folder(spark, sf):
+    """One folder of files with three headers: two column orders, some columns missing."""
+    out, c = _scratch(spark, "csv"), table(spark, sf, "customer")
+    kinds = [["c_custkey", "c_name", "c_acctbal"], ["c_acctbal", "c_custkey"], ["c_mktsegment", "c_acctbal", "c_name", "c_custkey"]]
+    for k, cols in enumerate(kinds):
+        c.where(F.col("c_custkey") % 3 == k).select(*cols).write.mode("append").option("header", True).csv(out)
+    return S.read_csv(spark, out).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+@register("tsv_roundtrip", """
+SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier""")
+def q_tsv_roundtrip(spark, sf):
+    out = _scratch(spark, "tsv")
+    table(spark, sf, "supplier").write.option("header", True).option("sep", "\t").csv(out)
+    return S.read_csv(spark, out, sep="\t")
+
+
 @register("json_roundtrip", """
 SELECT event_id, user_id, event_type, value FROM events""")
 def q_json_roundtrip(spark, sf):
