@@ -259,7 +259,7 @@ class HashFilter:
         word = F.col(name).bitwiseAND(F.lit((1 << self.bits) - 1))
         mask = F.expr(f"bit_or(shiftleft(1L, CAST(shiftright({name}, 40) & 63 AS INT)) "
                       f"| shiftleft(1L, CAST(shiftright({name}, 46) & 63 AS INT)))")
-        got = hashes.groupBy(word.alias("word")).agg(mask.alias("mask")).toPandas()
+        got = hashes.groupBy(word.alias("word")).agg(mask.alias("mask")).toArrow()    # 16 bytes a word, no row objects
         self.masks = np.zeros(1 << self.bits, np.uint64)
         self.masks[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
 
