@@ -25,8 +25,8 @@ fingerprints at equal distances mean equal words between them:
    both ways: all runs of ``MIN_WORDS`` words around that fingerprint, at every place that
    has it, are joined by their hashes.
 
-Rows are proportional to the fingerprints that repeat, plus the windows at run ends.  The
-result is exact: the words in a run that has begun before go, a line with them if none is
+Rows are proportional to the fingerprints that repeat, plus the windows at run ends; the
+texts hashed for those windows are the ones that hold an asked fingerprint.  The result is exact: the words in a run that has begun before go, a line with them if none is
 left.  Fingerprints are looked up in bit filters of bounded size (they grow with the
 number of keys up to 16 MB); a full filter lets more rows through, never fewer.
 
@@ -261,7 +261,7 @@ class HashFilter:
                       f"| shiftleft(1L, CAST(shiftright({name}, 46) & 63 AS INT)))")
         got = hashes.groupBy(word.alias("word")).agg(mask.alias("mask")).toArrow()    # 16 bytes a word, no row objects
         self.masks = np.zeros(1 << self.bits, np.uint64)
-        self.masks[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+        self.masks[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         one, low = np.uint64(1), np.uint64(63)
@@ -343,7 +343,9 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at = at[at + min_words <= cuts[text + 1]]
         return _rolling(words, WORD_STEP, at, at + min_words), at
 
-    live = materialize(_hash_table(base, ["wh", "at"], around))
+    # Only texts that hold an asked fingerprint (or a false hit) are hashed again.
+    holders = probe(table.select("fp", "th"), bit_filter(asked.select("fp").distinct()), ["fp"]).select("th").distinct()
+    live = materialize(_hash_table(probe(base, bit_filter(holders), ["th"]), ["wh", "at"], around))
     ends = _later(live, "wh").select("id", "th", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
     runs = materialize(found.where("fp IS NULL").select("id", "th", "lo", "hi").unionByName(ends)
                        .groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
