@@ -41,7 +41,6 @@ an empty table gives an empty result; other columns pass through.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +57,6 @@ MIN_WORDS = 50
 GROUP_BYTES = 1 << 20
 #: Filters of hashes have 2**(6 + FILTER_BITS) bits at most, 16 MB.
 FILTER_BITS = 21
-WORD = re.compile(r"[^\x20\t-\r]+")
 # Odd multipliers of the rolling hashes, with their inverses mod 2**64, and a random value a byte.
 BYTE_STEP, WORD_STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BYTE_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -361,37 +359,40 @@ def _in_filter(table: DataFrame, keys: HashFilter) -> DataFrame:
     return table.mapInArrow(run, table.schema)
 
 
-def _without_words(text: str, runs) -> str:
-    words, lines = [m.span() for m in WORD.finditer(text)], text.split("\n")
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, np.array([r["lo"] for r in runs]), 1)
-    np.add.at(edge, np.array([r["hi"] for r in runs]), -1)
+def _without_words(text: str, lo: np.ndarray, hi: np.ndarray) -> str:
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    turns = np.flatnonzero(np.diff(~IS_SPACE[data], prepend=False, append=False))
+    begins, ends = turns[::2], turns[1::2]
+    edge = np.zeros(len(begins) + 1, np.int64)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi, -1)
     goes = np.cumsum(edge)[:-1] > 0
     gone_before = np.concatenate([[0], np.cumsum(goes)])
-    at = np.cumsum([0] + [len(line) + 1 for line in lines])
-    upto = np.searchsorted([a for a, _ in words], at)      # words that begin before each line
+    at = np.r_[0, np.flatnonzero(data == 10) + 1, len(data) + 1]
+    upto = np.searchsorted(begins, at)                     # words that begin before each line
     lost = gone_before[upto[1:]] - gone_before[upto[:-1]]
     out, gone = [], False
-    for line, begin, first, w, less in zip(lines, at.tolist(), upto.tolist(), upto[1:].tolist(), lost.tolist()):
+    for begin, end, first, w, less in zip(at.tolist(), (at[1:] - 1).tolist(), upto.tolist(), upto[1:].tolist(),
+                                          lost.tolist()):
         if w > first:                                      # blank lines follow the line before
             gone = less == w - first
         if not less and not gone:
-            out.append(line)
+            out.append(raw[begin:end])
         elif not gone:
             stay, parts = np.flatnonzero(~goes[first:w]) + first, []
             for run in np.split(stay, np.flatnonzero(np.diff(stay) > 1) + 1):
-                parts.append(text[begin if run[0] == first else words[run[0]][0]:
-                                  begin + len(line) if run[-1] == w - 1 else words[run[-1]][1]])
-            out.append(" ".join(parts))
-    return "\n".join(out)
+                parts.append(raw[begin if run[0] == first else begins[run[0]]:end if run[-1] == w - 1 else ends[run[-1]]])
+            out.append(b" ".join(parts))
+    return b"\n".join(out).decode()
 
 
-def _without(text: str, runs) -> str:
+def _without(text: str, first: np.ndarray, last: np.ndarray) -> str:
     lines = text.split("\n")
     edge = [0] * (len(lines) + 1)
-    for r in runs:
-        edge[r["first"]] += 1
-        edge[r["last"] + 1] -= 1
+    for a, b in zip(first, last):
+        edge[a] += 1
+        edge[b + 1] -= 1
     out, depth, gone = [], 0, False
     for line, step in zip(lines, edge):
         depth += step
@@ -405,19 +406,21 @@ def _without(text: str, runs) -> str:
 def _with_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int, inside_lines: bool) -> DataFrame:
     """(_row, _text): every row of ``docs`` and the text that stays of it.  Only rows that may
     have runs (a bounded bit filter of their keys) are shuffled to them."""
+    find, less, begin, end = ((repeated_words, _without_words, "lo", "hi") if inside_lines
+                              else (repeated_lines, _without, "first", "last"))
+
     @F.pandas_udf("string")
-    def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
-        less = _without_words if inside_lines else _without
-        return pd.Series([t if r is None else less(t, r) for t, r in zip(text, runs)], dtype=object)
+    def cut(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None else less(t, a, b) for t, a, b in zip(text, begins, ends)], dtype=object)
 
-    find = repeated_words if inside_lines else repeated_lines
     runs = materialize(find(docs, id_col, text_col, min_words))
     keys = bit_filter(runs.select("id", "th"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"),
                        F.xxhash64(text_of(text_col)).alias("_th"))
     hit = (F.col("_id").eqNullSafe(F.col("id"))) & (F.col("_th") == F.col("th"))
     text = F.col(f"_row.`{text_col}`").cast("string")
-    joined = probe(rows, keys, ["_id", "_th"]).join(runs, hit, "left").select("_row", cut(text, F.col("runs")).alias("_text"))
+    joined = probe(rows, keys, ["_id", "_th"]).join(runs, hit, "left").select(
+        "_row", cut(text, F.col(f"runs.{begin}"), F.col(f"runs.{end}")).alias("_text"))
     return joined.unionByName(probe(rows, keys, ["_id", "_th"], hit=False).select("_row", text.alias("_text")))
 
 
