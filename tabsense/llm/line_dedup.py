@@ -344,7 +344,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Only texts that hold an asked fingerprint (or a false hit) are hashed again.
     holders = probe(table.select("fp", "th"), bit_filter(asked.select("fp").distinct()), ["fp"]).select("th").distinct()
     live = materialize(_hash_table(probe(base, bit_filter(holders), ["th"]), ["wh", "at"], around))
-    ends = _later(live, "wh").select("id", "th", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
+    twice = live.groupBy("wh").agg(F.count("*").alias("n")).where("n > 1").select("wh")    # hashed, not sorted
+    ends = _later(probe(live, bit_filter(twice), ["wh"]), "wh").select("id", "th", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
     runs = materialize(found.where("fp IS NULL").select("id", "th", "lo", "hi").unionByName(ends)
                        .groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
     discard(table, shared, found, live)
