@@ -22,11 +22,12 @@ fingerprints at equal distances mean equal words between them:
 2. neighbours with the same earlier text and the same offset are chained into runs;
 3. where the words around a later fingerprint are not all in chained runs (the two ends of
    a run, or an earliest place that shares less than another one), the match is extended
-   both ways: all runs of ``MIN_WORDS`` words around that fingerprint, at every place that
-   has it, are joined by their hashes.
+   both ways: all runs of ``MIN_WORDS`` words around that fingerprint are joined by their
+   hashes, at every place that has it but those whose surroundings one chained run holds
+   (their runs all stand in an earlier text, which is asked instead).
 
 Rows are proportional to the fingerprints that repeat, plus the windows at run ends; the
-texts hashed for those windows are the ones that hold an asked fingerprint.  The result is exact: the words in a run that has begun before go, a line with them if none is
+texts hashed for those windows are the ones that hold such places.  The result is exact: the words in a run that has begun before go, a line with them if none is
 left.  Fingerprints are looked up in bit filters of bounded size (they grow with the
 number of keys up to 16 MB); a full filter lets more rows through, never fewer.
 
@@ -227,21 +228,23 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _hash_table(docs: DataFrame, names: list[str], of) -> DataFrame:
-    """(id, th, hash, position) rows that ``of(word hashes, cuts)`` gives; docs has (id, th, text)."""
+    """(id, th, hash, position) rows that ``of(word hashes, cuts, keys of texts)`` gives; docs
+    has (id, th, own, text), ``own`` being a text's key."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, data, ends in _groups(b.column(2).cast(pa.binary())):
+            own = b.column(2).to_numpy()
+            for row, data, ends in _groups(b.column(3).cast(pa.binary())):
                 words, cuts = word_hashes(data, ends)
-                h, at = of(words, cuts)
+                h, at = of(words, cuts, own[row:row + len(ends) - 1])
                 text = np.searchsorted(cuts, at, "right") - 1
                 take = pa.array(row + text)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64)),
                      pa.array((at - cuts[text]).astype(np.int32))], ["id", "th", *names])
 
-    return docs.select("id", "th", F.encode("text", "UTF-8").alias("text")).mapInArrow(
+    return docs.select("id", "th", "own", F.encode("text", "UTF-8").alias("text")).mapInArrow(
         run, f"id {kind}, th long, {names[0]} long, {names[1]} int")
 
 
@@ -274,11 +277,21 @@ def _later(table: DataFrame, key: str) -> DataFrame:
     return table.join(first, key).where(place > F.col("first"))
 
 
+def _places(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the words ``at`` in the texts of these keys."""
+    return keys.view(np.uint64) + at.astype(np.uint64) * np.uint64(WORD_STEP)
+
+
 def _chains(later: DataFrame, min_words: int) -> DataFrame:
-    """(id, th, lo, hi, fp): words [lo, hi) that stand in an earlier text, ``fp`` null; or a
-    chain's first fingerprint (``lo`` = -1) whose words before are open, or its last
-    (``lo`` = 1) whose words behind are; every other run of ``min_words`` words that holds
-    one of its fingerprints lies in the chain or holds its first or last one so."""
+    """(id, th, lo, hi, fp, place, holder), three kinds of rows:
+
+    * words [lo, hi) that stand in an earlier text;
+    * a chain's first fingerprint ``fp`` (``lo`` = -1) whose words before are open, or its
+      last (``lo`` = 1) whose words behind are, with the fingerprint's earliest place; every
+      other run of ``min_words`` words that holds one of its fingerprints lies in the chain
+      or holds its first or last one so;
+    * a later place some run around which lies in no single chain.  Where all runs around
+      lie in one chain they stand in an earlier text too, so none of them is the first."""
     kind, gram = later.schema["id"].dataType.simpleString(), gram_words(min_words)
     reach = min_words - gram
 
@@ -305,18 +318,27 @@ def _chains(later: DataFrame, min_words: int) -> DataFrame:
             inside = np.searchsorted(low, start, "right") - 1
             open_ = (inside < 0) | (high[inside] < stop) if len(low) else np.ones(len(edges), bool)
             side = np.r_[np.full(len(before), -1), np.full(len(behind), 1)][open_]
-            holder, asked = np.r_[doc[begin], doc[end]][open_], np.r_[fp[begin], fp[end]][open_]
-            runs = pa.array(np.r_[owner, holder])
+            asked = np.r_[begin, end][open_]
+            chain = np.searchsorted(lo, np.maximum(doc << 31, place - reach), "right") - 1
+            apart = np.flatnonzero((chain < 0) | (reached[chain] < place + min_words) if len(lo) else np.ones(len(at), bool))
+            keys = b.column(3).to_numpy()[doc[apart]]
+            runs = pa.array(np.r_[owner, doc[asked], doc[apart]])
+            no = lambda n: pa.nulls(n, pa.int64())
+            columns = [
+                [lo & (1 << 31) - 1, side, np.zeros(len(apart), np.int64)],
+                [hi - (owner << 31), no(len(asked) + len(apart))],
+                [no(len(lo)), fp[asked], no(len(apart))],
+                [no(len(lo)), _places(text[asked], (at - offset)[asked]).view(np.int64), _places(keys, at[apart]).view(np.int64)],
+                [no(len(lo)), text[asked], keys]]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(runs), b.column(1).take(runs),
-                 pa.array(np.r_[lo & (1 << 31) - 1, side].astype(np.int32)),
-                 pa.array([*(hi - (owner << 31)).tolist(), *[None] * len(side)], pa.int32()),
-                 pa.array([*[None] * len(lo), *asked.tolist()], pa.int64())], ["id", "th", "lo", "hi", "fp"])
+                 *(pa.concat_arrays([pa.array(x, pa.int64()) for x in c]) for c in columns)],
+                ["id", "th", "lo", "hi", "fp", "place", "holder"])
 
     marks = F.collect_set(F.struct("at", F.xxhash64("first.id", "first.th").alias("text"),
                                    (F.col("at") - F.col("first.at")).alias("offset"), "fp"))
-    return (later.groupBy("id", "th").agg(marks.alias("marks"))
-            .mapInArrow(run, f"id {kind}, th long, lo int, hi int, fp long"))
+    return (later.groupBy("id", "th").agg(marks.alias("marks")).withColumn("own", F.xxhash64("id", "th"))
+            .mapInArrow(run, f"id {kind}, th long, lo long, hi long, fp long, place long, holder long"))
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -324,16 +346,21 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, runs): the word ranges (lo, hi) that lie in runs of ``min_words`` repeated words."""
     reach = min_words - gram_words(min_words)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th"),
-                       text_of(text_col).alias("text"))
-    table = materialize(_hash_table(base, ["fp", "at"], lambda words, cuts: fingerprints(words, cuts, min_words)))
+                       text_of(text_col).alias("text")).withColumn("own", F.xxhash64("id", "th"))
+    table = materialize(_hash_table(base, ["fp", "at"], lambda words, cuts, _: fingerprints(words, cuts, min_words)))
     shared = materialize(table.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
     marks = _in_filter(table, HashFilter(shared))
     found = materialize(_chains(_later(marks, "fp"), min_words))
     asked = found.where("fp IS NOT NULL")
     first, last = (HashFilter(asked.where(F.col("lo") == side).select("fp").distinct()) for side in (-1, 1))
+    placed = found.where("place IS NOT NULL")
+    places = HashFilter(placed.select("place").distinct())
 
-    def around(words: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def around(words: np.ndarray, cuts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h, at = fingerprints(words, cuts, min_words)
+        text = np.searchsorted(cuts, at, "right") - 1
+        here = places.hits(_places(own[text], at - cuts[text]))
+        h, at = h[here], at[here]
         starts = [(at[keys.hits(h)][:, None] - np.arange(reach) - away).ravel() for keys, away in ((first, 1), (last, 0))]
         at = np.unique(np.concatenate(starts))
         at = at[(at >= 0) & (at + min_words <= len(words))]
@@ -341,12 +368,13 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at = at[at + min_words <= cuts[text + 1]]
         return _rolling(words, WORD_STEP, at, at + min_words), at
 
-    # Only texts that hold an asked fingerprint (or a false hit) are hashed again.
-    holders = probe(table.select("fp", "th"), bit_filter(asked.select("fp").distinct()), ["fp"]).select("th").distinct()
-    live = materialize(_hash_table(probe(base, bit_filter(holders), ["th"]), ["wh", "at"], around))
+    # Only texts with such places (or a false hit) are hashed again.
+    holders = bit_filter(placed.select(F.col("holder").alias("own")).distinct())
+    live = materialize(_hash_table(probe(base, holders, ["own"]), ["wh", "at"], around))
     twice = live.groupBy("wh").agg(F.count("*").alias("n")).where("n > 1").select("wh")    # hashed, not sorted
     ends = _later(probe(live, bit_filter(twice), ["wh"]), "wh").select("id", "th", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
-    runs = materialize(found.where("fp IS NULL").select("id", "th", "lo", "hi").unionByName(ends)
+    runs = materialize(found.where("hi IS NOT NULL").select(
+        "id", "th", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi")).unionByName(ends)
                        .groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
     discard(table, shared, found, live)
     return runs
