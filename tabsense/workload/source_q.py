@@ -84,3 +84,22 @@ def q_ingest_catalog(spark, sf):
     cat = ingest_folder(spark, landing, _scratch(spark, "catalog"), "s1")
     return cat.select(F.regexp_extract("filename", r"(\.[a-z]+)$", 1).alias("ext"), "status", "reason",
                       "row_count", "column_count")
+
+
+@register("ingest_schemas", """
+WITH c AS (SELECT count(*) AS n FROM customer), o AS (SELECT count(*) AS n FROM orders)
+SELECT 'csv' AS file_type, k AS key, t AS type, CAST(n AS BIGINT) AS row_count FROM c, (VALUES
+  ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) v(k, t)
+UNION ALL
+SELECT 'json', k, t, CAST(n AS BIGINT) FROM o, (VALUES
+  ('o_orderkey', 'bigint'), ('o_totalprice', 'double'), ('o_orderstatus', 'string')) v(k, t)""")
+def q_ingest_schemas(spark, sf):
+    """Columns and types of many files of two types, read together and told apart by file."""
+    landing = _scratch(spark, "landing")
+    (table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").repartition(4)
+     .write.option("header", True).csv(f"{landing}/a"))
+    (table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").repartition(4)
+     .write.json(f"{landing}/b"))
+    cat = ingest_folder(spark, landing, _scratch(spark, "catalog"), "s1").where("status = 'registered'")
+    return (cat.select("file_type", "row_count", F.explode("schema_json").alias("key", "type"))
+            .groupBy("file_type", "key", "type").agg(F.sum("row_count").alias("row_count")))
