@@ -1,10 +1,10 @@
 """Model explanation: native importances and permutation importance.
 
-Permutation importance is not a loop of jobs per feature: the numbered rows are
-replicated once per (feature, repeat) with ``explode``, each copy takes the
-feature's value from another row through a join on a bijection of row numbers
-computed per row, the whole frame goes through the fitted pipeline in one
-``transform``, and the score is a grouped aggregation.
+Permutation importance is not a loop of jobs per feature: every row sends its value
+of each feature to another row, once per repeat, by a bijection of row numbers
+computed per row; a row is then replicated with ``explode``, one copy per value it
+received, the whole frame goes through the fitted pipeline in one pass, and the
+score is a grouped aggregation.  Any trained model is explained this way, kNN too.
 """
 from __future__ import annotations
 
@@ -97,22 +97,24 @@ def permutation_importance(res: TrainResult, df: DataFrame, sample_size: int | N
         base = base.orderBy("_h").limit(sample_size)
     rows = _numbered(base, "_h").drop("_h")
     n = rows.count()
-    grid = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"),
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("rep"),
                               F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
-                     for f, r, (a, b) in [(f, r, _bijection(n, seed, f, r))
-                                          for f in feats for r in range(repeats)] +
-                     [("__base__", 0, (1, 0))]])
-    rep = rows.select("*", F.explode(grid).alias("g")).select(
-        "*", "g.feature", "g.rep", ((F.col("g.a") * F.col("rn") + F.col("g.b")) % max(n, 1)).alias("donor")).drop("g")
-    donors = rows.select(F.col("rn").alias("donor"),
-                         F.struct(*[K.col(c) for c in feats]).alias("d"))
-    mixed = rep.join(donors, on="donor")
-    for c in feats:
-        mixed = mixed.withColumn(c, F.when((F.col("feature") == c), F.col("d")[c]).otherwise(K.col(c)))
-    x = res.prep.model.transform(mixed.drop("d"))
-    pred = res.model.transform(x) if res.model is not None else None
-    if pred is None:
-        raise ValueError("permutation importance needs a fitted MLlib model")
+                     for i, f in enumerate(feats) for r in range(repeats)
+                     for a, b in [_bijection(n, seed, f, r)]])
+    # Every row sends its value of a feature, as text, to another row: one value a (feature,
+    # repeat) is shuffled, not a copy of the row; the copies are made behind the join.
+    own = F.array(*[K.col(c).cast("string") for c in feats])
+    sent = rows.select("rn", own.alias("own"), F.explode(grid).alias("g")).select(
+        ((F.col("g.a") * F.col("rn") + F.col("g.b")) % max(n, 1)).alias("rn"),
+        F.struct("g.i", "g.rep", F.get("own", "g.i").alias("value")).alias("s"))
+    given = sent.groupBy("rn").agg(F.collect_list("s").alias("given"))
+    unchanged = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("rep"), F.lit(None).cast("string").alias("value")))
+    mixed = rows.join(given, "rn").withColumn("g", F.explode(F.concat(unchanged, "given"))).drop("given")
+    mixed = mixed.withColumns({
+        "feature": F.coalesce(F.get(F.array(*map(F.lit, feats)), "g.i"), F.lit("__base__")), "rep": F.col("g.rep"),
+        **{c: F.when(F.col("g.i") == i, F.col("g.value").cast(K.dtype_of(base, c))).otherwise(K.col(c))
+           for i, c in enumerate(feats)}}).drop("g")
+    pred = res.predict(res.prep.model.transform(mixed))
     scores = _score(pred, res.task_type, ["feature", "rep"])
     baseline = scores.where(F.col("feature") == "__base__").select(F.col("score").alias("b"))
     perm = scores.where(F.col("feature") != "__base__").groupBy("feature").agg(

@@ -47,6 +47,7 @@ REGRESSORS = ["linear_regression", "ridge", "lasso", "decision_tree", "random_fo
               "gradient_boosting", "knn", "svm", "xgboost", "lightgbm", "catboost"]
 CLASSIFIERS = ["logistic_regression", "naive_bayes", "knn", "svm", "decision_tree",
                "random_forest", "gradient_boosting", "xgboost", "lightgbm", "catboost"]
+KNN_GRID = [3, 5, 7]      # fixed values: neighbours tried by tuning
 CLUSTERERS = ["kmeans", "dbscan", "hierarchical", "agglomerative"]
 # Boosting presets standing in for the optional libraries: (max depth, step size).
 BOOST_PRESETS = {"xgboost": (6, 0.3), "lightgbm": (5, 0.1), "catboost": (6, 0.1)}
@@ -166,6 +167,14 @@ class TrainResult:
     predictions: DataFrame | None = None
     feature_names: list[str] = field(default_factory=list)
     cv_error: str | None = None
+    reference: DataFrame | None = None      # kNN: the distinct training points, checkpointed
+    neighbors: int = 5
+
+    def predict(self, prepared: DataFrame) -> DataFrame:
+        """``prepared`` rows (out of ``prep``) with their ``prediction``."""
+        if self.model is not None:
+            return self.model.transform(prepared)
+        return _knn_apply(self.reference, prepared, self.task_type, self.neighbors)
 
 
 def _rff_stage(train_feats: DataFrame, dim: int) -> RandomFourierFeatures:
@@ -175,10 +184,15 @@ def _rff_stage(train_feats: DataFrame, dim: int) -> RandomFourierFeatures:
     return RandomFourierFeatures(size=dim, gamma=1.0 / (dim * var if var > 0 else dim))
 
 
-def _knn_fit_predict(train: DataFrame, test: DataFrame, task: str, k: int = 5) -> DataFrame:
+def _knn_reference(train: DataFrame) -> DataFrame:
+    """(rid, vec, target, w): the distinct training points and how many rows each stands for."""
+    return _numbered(train.select(vector_to_array("features").alias("vec"), F.col("label").alias("target"))
+                     .groupBy("vec", "target").agg(F.count(F.lit(1)).alias("w")), "rid")
+
+
+def _knn_apply(ref: DataFrame, test: DataFrame, task: str, k: int) -> DataFrame:
+    """``test`` with ``prediction``; equal vectors are one query."""
     from tabsense.operators.neighbors import knn_predict
-    ref = _numbered(train.select(vector_to_array("features").alias("vec"), F.col("label").alias("target"))
-                    .groupBy("vec", "target").agg(F.count(F.lit(1)).alias("w")), "rid")
     rows = test.withColumn("_vec", vector_to_array("features"))
     q = _numbered(rows.select(F.col("_vec").alias("vec")).distinct(), "qid")
     pred = knn_predict(q, ref, k, task).join(q.select("qid", F.col("vec").alias("_vec")), on="qid")
@@ -198,13 +212,13 @@ def _by_normal_equations(est, scaling: str) -> bool:
 
 def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
              num: Sequence[str], cat: Sequence[str], scaling: str,
-             rff: bool = False) -> float | None:
+             rff: bool = False, neighbors: int = 5) -> float | None:
     """Mean score (r2 / accuracy) of the whole pipeline refitted on k hash folds.
 
     As in a cross-validated pipeline, every fold fits its own preprocessor (and
     random-feature map) on its training rows before refitting a copy of ``est``.
     Linear and ridge regression on standard scaling get the same scores from one pass
-    (``linear_cv``).
+    (``linear_cv``).  ``est`` None is kNN with ``neighbors``.
     The input is persisted once with its fold id; the k fold fits are independent
     Spark jobs submitted concurrently, so on a cluster they share the executors
     instead of queueing one after another.
@@ -213,7 +227,7 @@ def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
 
     from pyspark import inheritable_thread_target
 
-    if _by_normal_equations(est, scaling):
+    if est is not None and _by_normal_equations(est, scaling):
         scores = linear_cv_scores(data, keys, k, num, cat, est.getRegParam(), SEED)
         if scores is not None:
             return float(np.mean(scores)) if scores else None
@@ -229,8 +243,9 @@ def cv_score(est, data: DataFrame, keys: Sequence[str], k: int, task: str,
         if rff:
             stage = _rff_stage(tr, len(prep.feature_names))
             tr, va = stage.transform(tr), stage.transform(va)
-        fitted = est.copy().fit(tr)
-        return score(fitted.transform(va), "label", "prediction").first()[metric]
+        pred = (_knn_apply(_knn_reference(tr), va, task, neighbors) if est is None
+                else est.copy().fit(tr).transform(va))
+        return score(pred, "label", "prediction").first()[metric]
 
     try:
         with ThreadPoolExecutor(max_workers=k) as pool:
@@ -277,9 +292,13 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
         prep = replace(prep, model=PipelineModel(stages=[*prep.model.stages, stage]))
         tr, te = stage.transform(tr), stage.transform(te)
     metric_name = "r2" if task == "regression" else "accuracy"
+    reference, neighbors = None, 5
     if est is None:
-        model = None
-        pred = _knn_fit_predict(tr, te, task)
+        model, reference = None, _knn_reference(tr)
+        if tuning:
+            found = {k: cv_score(None, train, keys, 3, task, num, cat, scaling, neighbors=k) for k in KNN_GRID}
+            neighbors = max(KNN_GRID, key=lambda k: -math.inf if found[k] is None else found[k])
+        pred = _knn_apply(reference, te, task, neighbors)
     else:
         grid = param_grid(est, used) if tuning else None
         if grid:
@@ -307,13 +326,13 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
             if auc is not None:
                 mrow["roc_auc"] = auc
     cv_error = None
-    if cv_folds and est is not None:
+    if cv_folds:
         try:
             best = est
-            if tuning:
+            if tuning and est is not None:
                 best = est.copy({est.getParam(p.name): v for p, v in model.extractParamMap().items()
                                  if est.hasParam(p.name)})
-            score = cv_score(best, data, keys, cv_folds, task, num, cat, scaling, used == "svm_rff")
+            score = cv_score(best, data, keys, cv_folds, task, num, cat, scaling, used == "svm_rff", neighbors)
             if score is not None:
                 mrow["cv_mean_score"] = score
         except Exception as e:  # noqa: BLE001  (a failed CV leaves the trained model usable)
@@ -321,7 +340,7 @@ def train_supervised(df: DataFrame, target: str, features: Sequence[str] | None
     train.unpersist()
     metrics = {k: float(v) for k, v in mrow.items() if v is not None}
     return TrainResult(str(uuid.uuid4()), task, normalise_algorithm(algorithm), used, target, feats,
-                       metrics, classes, [], prep, model, pred, prep.feature_names, cv_error)
+                       metrics, classes, [], prep, model, pred, prep.feature_names, cv_error, reference, neighbors)
 
 
 def train_clustering(df: DataFrame, features: Sequence[str] | None = None,

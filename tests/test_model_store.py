@@ -32,3 +32,28 @@ def test_svm_is_explained(table):
     assert res.algorithm_used == "svm_rff" and res.metrics["accuracy"] > 0.8 and res.cv_error is None
     rank = {r.feature: r["rank"] for r in X.permutation_importance(res, df, repeats=2).collect()}
     assert rank["a"] == 1 and set(rank) == {"a", "b", "c"}
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_knn_has_a_cv_score_and_is_explained(table, task):
+    df = table.drop("y" if task == "classification" else "flag")
+    res = MD.train_supervised(df, "flag" if task == "classification" else "y", algorithm="knn", cv_folds=2)
+    assert res.algorithm_used == "knn" and res.cv_error is None and res.metrics["cv_mean_score"] > 0.7
+    rank = {r.feature: r["rank"] for r in X.permutation_importance(res, df, repeats=2).collect()}
+    assert rank["a"] == 1 and set(rank) == {"a", "b", "c"}
+
+
+def test_knn_tuning_takes_the_best_of_the_grid(table, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(MD, "cv_score", lambda est, *a, neighbors=5, **kw: asked.setdefault(neighbors, neighbors == 3) * 1.0)
+    res = MD.train_supervised(table.drop("y"), "flag", algorithm="knn", cv_folds=0, tuning=True)
+    assert sorted(asked) == MD.KNN_GRID and res.neighbors == 3
+
+
+def test_permuted_values_keep_their_type(spark):
+    """Values travel as text: doubles, booleans, wide integers and nulls come back as they were."""
+    df = spark.range(60).selectExpr("id / 7.0D AS d", "id % 2 = 0 AS t", "9223372036854775800 + id % 7 AS w",
+                                    "CASE WHEN id % 4 > 0 THEN 'é' || id % 4 END AS s", "id % 2 AS y")
+    res = MD.train_supervised(df, "y", task_type="classification", algorithm="decision_tree", cv_folds=0)
+    got = {r.feature: r.importance for r in X.permutation_importance(res, df, repeats=2).collect()}
+    assert got["t"] > 0.2 and set(got) == {"d", "t", "w", "s"}
