@@ -129,17 +129,33 @@ def q_chart_density(spark, sf):
     return rounded(C.density(table(spark, sf, "events"), "value", "event_type"))
 
 
+def _quartiles_sql(src: str, value: str, group: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {group}, 'box' AS part, CAST({k} AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS at,
+       round(quantile_cont({value}, {k}), 6) AS value FROM {src} WHERE {value} IS NOT NULL GROUP BY {group}"""
+        for k in (0.25, 0.5, 0.75))
+
+
 @register("chart_violin", f"""
 SELECT l_returnflag, 'density' AS part, CAST(point AS DOUBLE) AS k, x AS at, density AS value
 FROM ({_density_sql("lineitem", "l_extendedprice", "l_returnflag", 100)}) d
-UNION ALL
-SELECT l_returnflag, 'box' AS part, CAST(NULL AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS at,
-       round(quantile_cont(l_extendedprice, 0.5), 6) AS value
-FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag""")
+UNION ALL {_quartiles_sql("lineitem", "l_extendedprice", "l_returnflag")}""")
 def q_chart_violin(spark, sf):
     return rounded(C.violin(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice"))
 
 
+_FLAGS = "(SELECT l_returnflag || '/' || l_linestatus AS g, l_quantity FROM lineitem) s"
+
+
+@register("chart_violin_hue", f"""
+SELECT split_part(g, '/', 1) AS l_returnflag, split_part(g, '/', 2) AS l_linestatus, part, k, "at", value FROM (
+SELECT g, 'density' AS part, CAST(point AS DOUBLE) AS k, x AS at, density AS value
+FROM ({_density_sql(_FLAGS, "l_quantity", "g", 100)}) d
+UNION ALL {_quartiles_sql(_FLAGS, "l_quantity", "g")}) v""")
+def q_chart_violin_hue(spark, sf):
+    return rounded(C.violin(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "l_linestatus"))
+
+
 def _pairs_sql(src: str, cols: list[str], bins: int = 20) -> str:
     """2-D bins of every pair (a <= b) and 1-D bins on the diagonal, as V12."""
     stats = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo{i}, max(CAST({c} AS DOUBLE)) AS hi{i}"
