@@ -53,10 +53,21 @@ def q_drop_null_target(spark, sf):
 SELECT o_orderkey, o_orderpriority, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS label
 FROM orders""")
 def q_label_index(spark, sf):
-    df, _classes = T.label_index(table(spark, sf, "orders"), "o_orderpriority")
+    df, _index = T.label_index(table(spark, sf, "orders"), "o_orderpriority")
     return df.select("o_orderkey", "o_orderpriority", "label")
 
 
+@register("label_index_many", """
+SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY l_orderkey) - 1 AS DOUBLE) AS label,
+  count(*) OVER (PARTITION BY l_orderkey) AS n
+FROM lineitem""")
+def q_label_index_many(spark, sf):
+    """One class an order: more classes than any list on the driver should hold."""
+    df, index = T.label_index(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
+    return df.join(index.select(F.col("value").alias("l_orderkey"), "n"), "l_orderkey").select(
+        "l_orderkey", "l_linenumber", "label", "n")
+
+
 @register("impute_median", f"""
 WITH t AS {LINEITEM_NULLS_SQL}
 SELECT l_orderkey, l_linenumber,
@@ -129,6 +140,17 @@ def q_onehot(spark, sf):
     return T.onehot_columns(o, "o_orderpriority")
 
 
+@register("onehot_sparse", """
+SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY CAST(l_orderkey AS VARCHAR)) - 1 AS idx, 1.0::DOUBLE AS x,
+  (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS size
+FROM lineitem""")
+def q_onehot_sparse(spark, sf):
+    df, _index = T.onehot_sparse(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", out="v")
+    return df.select("l_orderkey", "l_linenumber", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"),
+                     "v.size").select("l_orderkey", "l_linenumber", F.col("e.indices").alias("idx"),
+                                      F.col("e.values").alias("x"), "size")
+
+
 @register("split_counts")
 def q_split_counts(spark, sf):
     li = table(spark, sf, "lineitem")
