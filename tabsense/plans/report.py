@@ -112,11 +112,21 @@ class StepContext:
     df: DataFrame
     session_id: str = "default"
     dataset_id: str | None = None
+    store: str | None = None                # shared folder: trained models are saved and listed there
     models: dict[str, Any] = field(default_factory=dict)
     last_model: str | None = None
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
 
+def _keep(ctx: StepContext, res) -> None:
+    """Remember a trained model for this run and, with a store, for later sessions."""
+    from tabsense.operators.model_store import register
+    ctx.models[res.model_id] = res
+    ctx.last_model = res.model_id
+    if ctx.store:
+        register(res, ctx.df.sparkSession, ctx.store, ctx.session_id, ctx.dataset_id)
+
+
 def _eda(ctx: StepContext, **_):
     prof = P.full_profile(ctx.df)
     ctx.frames["eda"] = prof
@@ -153,8 +163,7 @@ def _train(ctx: StepContext, target=None, algorithm="random_forest", features=No
     feats, dropped = PR.feature_select(ctx.df, target, features)
     res = MD.train_supervised(ctx.df, target, feats, algorithm=algorithm)
     res.excluded_features = dropped
-    ctx.models[res.model_id] = res
-    ctx.last_model = res.model_id
+    _keep(ctx, res)
     return {"model_id": res.model_id, "algorithm": res.algorithm_requested, "task_type": res.task_type,
             "metrics": res.metrics, "excluded_features": dropped}
 
@@ -163,7 +172,9 @@ def _cluster(ctx: StepContext, features=None, algorithm="kmeans", n_clusters=3,
     from tabsense.operators import models as MD
     feats = features.split(",") if isinstance(features, str) else features
     res, labelled = MD.train_clustering(ctx.df, feats, algorithm, int(n_clusters))
-    ctx.models[res.model_id] = res
+    last = ctx.last_model                   # a clustering is not what explain_model means
+    _keep(ctx, res)
+    ctx.last_model = last
     ctx.frames["cluster"] = labelled
     return {"model_id": res.model_id, "algorithm": res.algorithm_requested, "task_type": "clustering",
             "metrics": res.metrics}
@@ -171,10 +182,17 @@ def _cluster(ctx: StepContext, features=None, algorithm="kmeans", n_clusters=3,
 
 def _explain(ctx: StepContext, model_id=None, **_):
     from tabsense.operators import explain as X
+    from tabsense.operators.model_store import find_model, load_result
     mid = model_id or ctx.last_model
-    if not mid or mid not in ctx.models:
+    if mid in ctx.models:
+        res = ctx.models[mid]
+    elif ctx.store:                         # by its id, else the session's newest
+        spark = ctx.df.sparkSession
+        res = load_result(spark, find_model(spark, ctx.store, ctx.session_id, mid)["filepath"])
+        mid = res.model_id
+    else:
         raise ValueError("no trained model to explain; train a model first")
-    t = X.explain_top(ctx.models[mid], ctx.df)
+    t = X.explain_top(res, ctx.df)
     ctx.frames["explain_model"] = t
     return {"model_id": mid, "top": [(r["feature"], r["importance"]) for r in t.collect()]}
 

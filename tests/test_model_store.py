@@ -57,3 +57,30 @@ def test_permuted_values_keep_their_type(spark):
     res = MD.train_supervised(df, "y", task_type="classification", algorithm="decision_tree", cv_folds=0)
     got = {r.feature: r.importance for r in X.permutation_importance(res, df, repeats=2).collect()}
     assert got["t"] > 0.2 and set(got) == {"d", "t", "w", "s"}
+
+
+def test_trained_here_explained_in_another_session(table, spark, tmp_path):
+    """Saved and listed by the run, found as the session's newest, equal predictions and ranks."""
+    from tabsense.operators import model_store as ST
+    from tabsense.plans import report as H
+
+    root, df = str(tmp_path / "store"), table.drop("y")
+    ctx = H.StepContext(df, "007", "d1", store=root)
+    status, out = H.run_steps(ctx, [{"tool": "train_model", "args": {"target": "flag", "algorithm": "decision_tree"}},
+                                    {"tool": "train_model", "args": {"target": "flag", "algorithm": "knn"}},
+                                    {"tool": "explain_model"}])
+    assert [r.error for r in status.orderBy("step").collect()] == [None] * 3
+    tree, knn = (o["result"]["model_id"] for o in out[:2])
+    other = spark.newSession()
+    assert ST.find_model(other, root, "007")["id"] == knn and ST.find_model(other, root, model_id=tree)["dataset_id"] == "d1"
+    with pytest.raises(ValueError):
+        ST.find_model(other, root, "7")
+    for mid in (tree, knn):
+        ours, theirs = ctx.models[mid], ST.load_result(other, ST.find_model(other, root, model_id=mid)["filepath"])
+        raw = df.withColumn("rid", F.monotonically_increasing_id())
+        got = [{r.rid: r.prediction for r in m.predict(m.prep.model.transform(raw)).select("rid", "prediction").collect()}
+               for m in (ours, theirs)]
+        assert got[0] == got[1] and len(set(got[0].values())) == 2 and theirs.classes == ["no", "yes"]
+    later = H.StepContext(df, "007", "d1", store=root)
+    _, again = H.run_steps(later, [{"tool": "explain_model"}])
+    assert again[0]["result"] == out[2]["result"] and again[0]["result"]["model_id"] == knn
