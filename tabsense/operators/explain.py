@@ -12,7 +12,7 @@ import math
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions import kinds as K
@@ -36,7 +36,7 @@ def native_importance(res: TrainResult) -> DataFrame | None:
         vals = [abs(v) for v in m.coefficients.toArray().tolist()]
     if vals is None or len(vals) != len(names):
         return None
-    spark = res.predictions.sparkSession
+    spark = res.predictions.sparkSession if res.predictions is not None else SparkSession.active()   # loaded: no predictions
     rows = sorted(zip(names, map(float, vals)), key=lambda kv: -kv[1])
     return spark.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(rows)],
                                  "rank int, feature string, importance double")

@@ -221,7 +221,7 @@ def run_steps(ctx: StepContext, steps: Sequence[dict]) -> tuple[DataFrame, list[
         try:
             outputs.append({"tool": name, "success": True, "args": args, "result": fn(ctx, **args)})
         except Exception as exc:  # noqa: BLE001  (a failed step must not stop the rest)
-            outputs.append({"tool": name, "success": False, "args": args, "error": str(exc)[:500]})
+            outputs.append({"tool": name, "success": False, "args": args, "error": str(exc)})
     status = ctx.df.sparkSession.createDataFrame(
         [(i, o["tool"], o["success"], o.get("error")) for i, o in enumerate(outputs)],
         "step int, tool string, success boolean, error string")

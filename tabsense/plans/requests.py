@@ -203,9 +203,10 @@ def plan(df: DataFrame, text_col: str, columns: Sequence[str], dataset_col: str
 
 def validate_plans(df: DataFrame, json_col: str) -> DataFrame:
     """Q8: keep steps naming a known tool; non-object args become {}; a step whose
-    chart_type is not a known kind or alias is dropped; at most six steps."""
+    chart_type is not a known kind or a short name of one is dropped (an empty one counts
+    as none, and ``correlation_matrix`` is no plan's name for a heatmap); at most six steps."""
     raw = F.from_json(F.col(json_col), "struct<steps: array<string>>")
-    known_charts = F.array(*[F.lit(c) for c in CHART_TYPES + list(CHART_ALIASES)])
+    known_charts = F.array(*[F.lit(c) for c in [*CHART_TYPES, *CHART_ALIASES] if c != "correlation_matrix"])
     tools = F.array(*[F.lit(t) for t in TOOLS])
 
     def parse(e: Column) -> Column:
@@ -218,5 +219,5 @@ def validate_plans(df: DataFrame, json_col: str) -> DataFrame:
 
     parsed = F.transform(F.coalesce(raw["steps"], F.array().cast("array<string>")), parse)
     ok = F.filter(parsed, lambda s: F.array_contains(tools, s["tool"]) & (
-        s["args"]["chart_type"].isNull() | F.array_contains(known_charts, F.lower(s["args"]["chart_type"]))))
+        (F.coalesce(s["args"]["chart_type"], F.lit("")) == "") | F.array_contains(known_charts, F.lower(s["args"]["chart_type"]))))
     return df.withColumn("valid_steps", F.slice(ok, 1, MAX_STEPS))

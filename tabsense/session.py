@@ -2,8 +2,8 @@
 
 The library never creates machine-local scratch space on a cluster: lineage is
 cut with ``checkpoint()`` into the folder the cluster names in
-``spark.checkpoint.dir``.  Only when that setting is absent (local tests) do we
-point it at a fresh temporary folder.
+``spark.checkpoint.dir``.  When that setting is absent a local session (tests) gets
+a fresh temporary folder, and a cluster session an error.
 """
 from __future__ import annotations
 

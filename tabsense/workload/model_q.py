@@ -1,12 +1,16 @@
 """Model, neighbour, clustering and explanation queries."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabsense.operators import explain as X
+from tabsense.operators import model_store as ST
 from tabsense.operators import models as MD
 from tabsense.operators.dbscan import dbscan
 from tabsense.operators.neighbors import knn_predict
+from tabsense.session import ensure_checkpoint_dir
 from tabsense.workload.base import register, rounded, table
 
 
@@ -126,3 +130,13 @@ def q_explain_top(spark, sf):
                                              "l_returnflag")
     res = MD.train_supervised(li, "l_returnflag", algorithm="decision_tree", cv_folds=0)
     return rounded(X.explain_top(res, li))
+
+
+@register("explain_saved")
+def q_explain_saved(spark, sf):
+    """Trained and listed in a store in the shared folder, then found there and explained."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_linestatus",
+                                             "l_returnflag")
+    ST.register(MD.train_supervised(li, "l_returnflag", algorithm="decision_tree", cv_folds=0), spark, root, "s1", "lineitem")
+    return rounded(ST.explain_saved(spark, root, li, "s1"))

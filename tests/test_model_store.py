@@ -81,6 +81,8 @@ def test_trained_here_explained_in_another_session(table, spark, tmp_path):
         got = [{r.rid: r.prediction for r in m.predict(m.prep.model.transform(raw)).select("rid", "prediction").collect()}
                for m in (ours, theirs)]
         assert got[0] == got[1] and len(set(got[0].values())) == 2 and theirs.classes == ["no", "yes"]
+    native = [X.explain_top(ctx.models[tree], df), ST.explain_saved(other, root, df, model_id=tree)]
+    assert native[0].collect() == native[1].collect() and native[1].first()["source"] == "native"
     later = H.StepContext(df, "007", "d1", store=root)
     _, again = H.run_steps(later, [{"tool": "explain_model"}])
     assert again[0]["result"] == out[2]["result"] and again[0]["result"]["model_id"] == knn

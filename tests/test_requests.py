@@ -50,3 +50,11 @@ def test_validate_plans(spark):
     assert [s["tool"] for s in out[0]["valid_steps"]] == ["eda", "chart"]
     assert dict(out[0]["valid_steps"][1]["args"]) == {}
     assert out[1]["valid_steps"] == []
+
+
+def test_validate_plans_reads_chart_names_as_plans_write_them(spark):
+    """An empty or null kind stays, any case is read, a name that only the chart call knows goes."""
+    kinds = ['""', "null", '"Bar"', '"heatmap"', '"correlation_matrix"', '"DIST"', '"bar chart"']
+    steps = ", ".join(f'{{"tool": "chart", "args": {{"chart_type": {k}, "x": "{i}"}}}}' for i, k in enumerate(kinds))
+    out = Q.validate_plans(spark.createDataFrame([(f'{{"steps": [{steps}]}}',)], "plan string"), "plan").first()
+    assert [dict(s["args"])["x"] for s in out["valid_steps"]] == ["0", "1", "2", "3", "5"]
