@@ -12,8 +12,9 @@ Grid of side ``eps / sqrt(d)``: two points in one cell are always within eps.
   core cell when some pair of their core points is within eps.  Most links are
   settled without any point pair: sub-cells of half the cell side whose farthest
   points are within eps link their cells when both hold a core point (a join of
-  distinct sub-cells).  Only neighbouring core-cell pairs left open compare their
-  core points.  Components come from min-label
+  distinct sub-cells).  Neighbouring core cells that these links leave in different
+  components are decided by the boxes of their points, halved until they decide or
+  few point pairs are left.  Components come from min-label
   propagation with pointer jumping, checkpointed into ``spark.checkpoint.dir``.
 * border points (non-core, within eps of a core point; always in sparse cells)
   take the smallest neighbouring cluster label.
@@ -85,6 +86,64 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+#: Open cell pairs compare their points when that is at most so many pairs a core point.
+PAIRS_A_POINT = 16
+#: Boxes are halved so often at most; what is then open lies within side / 2**20 of eps.
+BOX_LEVELS = 20
+
+
+def _close_cells(core_pts: DataFrame, pairs: DataFrame, d: int, side: float, eps: float) -> DataFrame | None:
+    """The (home, cell) of ``pairs`` that hold core points within eps of each other; None
+    without pairs.
+
+    Dual refinement: two boxes (least and greatest coordinates of the points of a
+    sub-cell) link their cells if their farthest corners are within eps and are dropped
+    if their nearest ones are not; the others are halved.  Every round is one pass over
+    the points of the open cells.  Once the open boxes hold at most ``PAIRS_A_POINT``
+    pairs a core point, their points are compared."""
+    n = core_pts.count()
+    at = lambda level: F.transform("vec", lambda x: F.floor(x / F.lit(side / 2 ** level)).cast("bigint"))
+    open_ = cut_lineage(pairs.select("home", "cell", F.col("home").alias("hsub"), F.col("cell").alias("csub")))
+    if open_.isEmpty():
+        return None
+    found = None
+    for level in range(BOX_LEVELS + 1):
+        cells = open_.select("cell").unionByName(open_.select(F.col("home").alias("cell"))).distinct()
+        pts = (core_pts.select("cell", "vec").join(cells, on="cell", how="left_semi")
+               .withColumn("up", at(max(level - 1, 0))).withColumn("sub", at(level)))
+        box = pts.groupBy("cell", "up", "sub").agg(
+            F.array(*[F.min(F.col("vec")[i]) for i in range(d)]).alias("lo"),
+            F.array(*[F.max(F.col("vec")[i]) for i in range(d)]).alias("hi"), F.count(F.lit(1)).alias("n"))
+        near, far = F.lit(0.0), F.lit(0.0)
+        for i in range(d):
+            gap = F.greatest(F.col("lo")[i] - F.col("hhi")[i], F.col("hlo")[i] - F.col("hi")[i], F.lit(0.0))
+            span = F.greatest(F.col("hi")[i] - F.col("hlo")[i], F.col("hhi")[i] - F.col("lo")[i])
+            near, far = near + gap * gap, far + span * span
+        met = (open_.join(box.select(F.col("cell").alias("home"), F.col("up").alias("hsub"), F.col("sub").alias("hsub2"),
+                                     F.col("lo").alias("hlo"), F.col("hi").alias("hhi"), F.col("n").alias("hn")),
+                          on=["home", "hsub"])
+               .join(box.withColumnRenamed("up", "csub"), on=["cell", "csub"])
+               .where(F.sqrt(near) <= F.lit(eps))
+               .select("home", "cell", F.col("hsub2").alias("hsub"), F.col("sub").alias("csub"),
+                       (F.sqrt(far) <= F.lit(eps)).alias("sure"), (F.col("hn") * F.col("n")).alias("work")))
+        met = cut_lineage(met)
+        linked = met.where("sure").select("home", "cell").distinct()
+        found = linked if found is None else found.unionByName(linked)
+        open_ = cut_lineage(met.join(linked, on=["home", "cell"], how="left_anti").drop("sure"))
+        work = open_.agg(F.sum(F.col("work").cast("double"))).first()[0] or 0.0
+        open_ = open_.drop("work")
+        if work <= PAIRS_A_POINT * n:
+            break
+    if work:
+        last = core_pts.select("cell", "vec", at(level).alias("csub"))
+        found = found.unionByName(
+            open_.join(last.select(F.col("cell").alias("home"), F.col("csub").alias("hsub"), F.col("vec").alias("pvec")),
+                       on=["home", "hsub"])
+            .join(last, on=["cell", "csub"])
+            .where(dist(F.col("pvec"), F.col("vec")) <= F.lit(eps)).select("home", "cell").distinct())
+    return found
+
+
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
            grid_max_dims: int = 4) -> DataFrame:
     """points: (pid bigint, vec array<double>[, w bigint]).  Returns (pid, cluster, is_core).
@@ -108,14 +167,13 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
     stencil = F.array(*[F.array(*[F.lit(o) for o in off]) for off in _stencil(d)])
 
     # sparse points probe their neighbour cells (including their own)
-    probes = (pts.where(~dense)
-              .select("pid", F.col("vec").alias("pvec"),
-                      F.explode(F.transform(stencil, lambda off: F.zip_with(
-                          F.col("cell"), off, lambda c, o: c + o))).alias("cell")))
-    near = (probes.join(pts.select("cell", F.col("pid").alias("other"), "vec", "w"), on="cell")
-            .where(dist(F.col("pvec"), F.col("vec")) <= F.lit(float(eps)))
-            .select("pid", "other", "w"))
-    degree = near.groupBy("pid").agg(F.sum("w").alias("deg"))
+    def near(sparse: DataFrame, others: DataFrame) -> DataFrame:
+        probes = sparse.select("pid", F.col("vec").alias("pvec"),
+                               F.explode(F.transform(stencil, lambda off: F.zip_with(
+                                   F.col("cell"), off, lambda c, o: c + o))).alias("cell"))
+        return probes.join(others, on="cell").where(dist(F.col("pvec"), F.col("vec")) <= F.lit(float(eps)))
+
+    degree = near(pts.where(~dense), pts.select("cell", "vec", "w")).groupBy("pid").agg(F.sum("w").alias("deg"))
     core = (pts.join(degree, on="pid", how="left")
             .select("pid", "cell", "vec", (dense | (F.coalesce("deg", F.lit(0)) >= min_samples))
                     .alias("is_core")))
@@ -135,25 +193,32 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5,
                 sure_st, lambda off: F.zip_with(F.col("sub"), off, lambda c, o: c + o))).alias("sub"))
             .join(core_sub, on="sub").where(F.col("home") != F.col("cell"))
             .select("home", "cell").distinct())
-    # 2. the neighbouring core-cell pairs not settled above compare their points
-    cell_pairs = (core_cells.select(F.col("cell").alias("home"), F.explode(F.transform(
-                      stencil, lambda off: F.zip_with(F.col("cell"), off, lambda c, o: c + o))).alias("cell"))
-                  .join(core_cells.select("cell"), on="cell").where(F.col("home") != F.col("cell")))
-    todo = cell_pairs.join(sure, on=["home", "cell"], how="left_anti")
-    cprobe = core_pts.select(F.col("cell").alias("home"), F.col("vec").alias("pvec")).join(todo, on="home")
-    checked = (cprobe.join(core_pts.select("cell", "vec"), on="cell")
-               .where(dist(F.col("pvec"), F.col("vec")) <= F.lit(float(eps)))
-               .select("home", "cell").distinct())
-    links = sure.unionByName(checked)
     ids = core_cells.select(F.col("cell").alias("home"), F.col("node").alias("a"))
-    edges = (links.join(ids, on="home")
+    edges = (sure.join(ids, on="home")
              .join(core_cells.select("cell", F.col("node").alias("b")), on="cell").select("a", "b"))
     comps = connected_components(edges, core_cells.select("node"))
-    cell_label = core_cells.join(comps, on="node").select("cell", F.col("comp").alias("cluster"))
-    core_lab = core_pts.join(cell_label, on="cell").select("pid", "cluster")
+    # 2. of the neighbouring core cells only pairs that the links above leave in
+    #    different components are open: the boxes of their points decide, and the links
+    #    found join whole components.
+    cell_comp = cut_lineage(core_cells.join(comps, on="node").select("cell", "comp"))
+    home_comp = cell_comp.select(F.col("cell").alias("home"), F.col("comp").alias("hcomp"))
+    cell_pairs = (cell_comp.select(F.col("cell").alias("home"), F.col("comp").alias("hcomp"), F.explode(F.transform(
+                      stencil, lambda off: F.zip_with(F.col("cell"), off, lambda c, o: c + o))).alias("cell"))
+                  .where(F.col("home") < F.col("cell"))
+                  .join(cell_comp, on="cell").where("comp <> hcomp").select("home", "cell"))
+    checked = _close_cells(core_pts, cell_pairs, d, side, float(eps))
+    cell_label = cell_comp.withColumnRenamed("comp", "cluster")
+    if checked is not None:
+        edges = (checked.join(home_comp, on="home").join(cell_comp, on="cell")
+                 .select(F.col("hcomp").alias("a"), F.col("comp").alias("b")))
+        whole = connected_components(edges, cell_comp.select(F.col("comp").alias("node")).distinct())
+        cell_label = cell_comp.join(whole.select(F.col("node").alias("comp"), F.col("comp").alias("cluster")),
+                                    on="comp").select("cell", "cluster")
+    labelled = core_pts.join(cell_label, on="cell")
+    core_lab = labelled.select("pid", "cluster")
 
     # border points: smallest label among core neighbours
-    border = (near.join(core_lab.select(F.col("pid").alias("other"), "cluster"), on="other")
+    border = (near(core.where(~F.col("is_core")), labelled.select("cell", "vec", "cluster"))
               .groupBy("pid").agg(F.min("cluster").alias("bl")))
     out = (core.select("pid", "is_core").join(core_lab, on="pid", how="left")
            .join(border, on="pid", how="left")

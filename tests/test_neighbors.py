@@ -143,3 +143,27 @@ def test_dbscan_pivot_path_long_chain(spark):
     exp, core = _dbscan_brute(x, 0.1, 2)
     assert (got.is_core.values == core).all()
     assert (got.cluster.values == exp).all()
+
+
+def test_dbscan_far_apart_dense_cells_cost_no_point_pairs(spark, monkeypatch):
+    """Dense cells that touch are one component by their boxes; every point pair of theirs
+    (2.6 billion here) was compared before.  Two blobs a hair within and beyond eps of each
+    other are told apart by refined boxes."""
+    import time
+
+    from tabsense.operators import dbscan as D
+
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 1, (60000, 2))
+    begun = time.time()
+    pts = spark.createDataFrame(pd.DataFrame({"pid": range(len(x)), "vec": list(x)})).repartition(8)
+    got = dbscan(pts, 0.3, 5).groupBy("cluster", "is_core").count().collect()
+    assert [(r.cluster, r.is_core, r["count"]) for r in got] == [(0, True, 60000)]
+    assert time.time() - begun < 90
+
+    monkeypatch.setattr(D, "PAIRS_A_POINT", 0)              # boxes are refined to the end
+    for gap, clusters in ((0.2999, 1), (0.3, 1), (0.3001, 2)):
+        left = [(0.0, 0.01 * i) for i in range(-20, 20)]
+        y = np.array(left + [(gap + a, b) for a, b in left])
+        pts = spark.createDataFrame(pd.DataFrame({"pid": range(len(y)), "vec": list(y)}))
+        assert dbscan(pts, 0.3, 5).select("cluster").distinct().count() == clusters
