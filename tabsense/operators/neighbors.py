@@ -12,7 +12,8 @@ equi-joined to the cells whose lower bound is within its search radius.
   cells alone: the k-th smallest ``d(q, p_c) + d(x, p_c)`` over each cell's k
   points nearest to its pivot.
 
-Points also carry a ring id (their pivot distance in bands of r_c / 32).  A
+For k nearest, cells are put together to blocks and compared by matrix products (see
+``knn``).  For a radius, points also carry a ring id (their pivot distance in bands of r_c / 32).  A
 query is sent once to each cell its radius can reach, with the ring interval of
 the annulus ``|d(q, p_c) - d(x, p_c)| <= radius``; inside a cogrouped numpy block
 the cell's points are sorted by ring and each query computes exact distances only
@@ -101,6 +102,17 @@ def build_index(ref: DataFrame, n_pivots: int | None = None, seed: int = 7,
     Pivot distances are numpy blocks inside ``mapInPandas`` tasks; the pivots
     themselves are a bounded hash sample brought to the driver once.
     """
+    base, pivots, stats = _assigned_cells(ref, n_pivots, seed, keep_k)
+    # one row per cell (at most p rows): a bounded broadcast
+    assigned = base.join(F.broadcast(stats.select("cell", "w")), on="cell").select(
+        "rid", "vec", "cell", "dcell", F.floor(F.col("dcell") / F.col("w")).cast("bigint").alias("ring"))
+    cells = stats.agg(F.array_sort(F.collect_list(F.struct("cell", "n", "r", "w", "kd"))).alias("cs"))
+    return assigned, pivots, cells.scalar()
+
+
+def _assigned_cells(ref: DataFrame, n_pivots: int | None, seed: int,
+                    keep_k: int) -> tuple[DataFrame, list, DataFrame]:
+    """(rid, vec, cell, dcell), the pivots, and (cell, n, r, w, kd) a cell (see ``build_index``)."""
     import numpy as np
     import pandas as pd
 
@@ -136,12 +148,7 @@ def build_index(ref: DataFrame, n_pivots: int | None = None, seed: int = 7,
         stats = stats.join(near, on="cell", how="left")
     else:
         stats = stats.withColumn("kd", F.array().cast("array<double>"))
-    stats = cut_lineage(stats)
-    # one row per cell (at most p rows): a bounded broadcast
-    assigned = base.join(F.broadcast(stats.select("cell", "w")), on="cell").select(
-        "rid", "vec", "cell", "dcell", F.floor(F.col("dcell") / F.col("w")).cast("bigint").alias("ring"))
-    cells = stats.agg(F.array_sort(F.collect_list(F.struct("cell", "n", "r", "w", "kd"))).alias("cs"))
-    return assigned, pivots, cells.scalar()
+    return base, pivots, cut_lineage(stats)
 
 
 def _query_pivot_dists(queries: DataFrame, pivots: list) -> DataFrame:
@@ -314,8 +321,187 @@ def range_pairs(queries: DataFrame, index: tuple, radius: float, block: int = BL
     return pairs.where(F.col("d") <= F.lit(float(radius)))
 
 
+#: Sides of a k-NN task: a sixteenth of the points, at most so many rows and bytes.
+KNN_SIDES, KNN_ROWS, KNN_BYTES = 16, 1 << 16, 32 << 20
+#: Queries and points multiplied at once.
+TILE_QUERIES, TILE_POINTS = 512, 2048
+
+
+def _matrix(vecs):
+    """Arrow lists of doubles as a matrix; a missing entry is NaN."""
+    import numpy as np
+
+    vecs = vecs.combine_chunks() if hasattr(vecs, "combine_chunks") else vecs
+    if not len(vecs):
+        return np.zeros((0, 0))
+    sizes = vecs.value_lengths().to_numpy()
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths")
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(len(vecs), -1)
+
+
+def _blocks(cells: list, pivots: list, block: int):
+    """(first block of every cell, its number of blocks): neighbouring cells share a block
+    of about ``block`` points, a cell with more has several of its own."""
+    import numpy as np
+
+    piv = np.asarray(pivots, dtype="float64")
+    left, chain = {c["cell"]: c["n"] for c in cells}, []
+    at = min(left)
+    while left:                                             # a walk to the nearest cell not yet seen
+        ids = np.array(sorted(left))
+        at = int(ids[np.argmin(((piv[ids] - piv[at]) ** 2).sum(axis=1))])
+        chain.append((at, left.pop(at)))
+    first, parts = np.zeros(len(piv), "int32"), np.ones(len(piv), "int32")
+    no, held = 0, 0
+    for cell, n in chain:
+        if held and held + n > block:
+            no, held = no + 1, 0
+        first[cell], parts[cell] = no, max(1, -(-n // block))
+        no, held = (no + int(parts[cell]), 0) if parts[cell] > 1 else (no, held + n)
+    return first, parts
+
+
+def _reached_blocks(queries: DataFrame, pivots: list, cells: list, first, parts, need: int) -> DataFrame:
+    """(qid, qvec, lim, blocks): every query with its search radius and the blocks it reaches."""
+    import numpy as np
+    import pyarrow as pa
+
+    dists = _pivot_distances(pivots)
+    ids = np.array([c["cell"] for c in cells])
+    radii = np.array([c["r"] for c in cells], dtype="float64")
+    owner = np.array([i for i, c in enumerate(cells) for _ in c["kd"] or []], dtype="int64")
+    offset = np.array([v for c in cells for v in c["kd"] or []], dtype="float64")
+    n_blocks = int((first + parts).max())
+    member = np.zeros((len(ids), n_blocks), "float32")
+    for i, c in enumerate(ids):
+        member[i, first[c]:first[c] + parts[c]] = 1
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                dq = dists(_matrix(part.column(1)))[:, ids]
+                if len(offset) >= need:
+                    bounds = dq[:, owner] + offset
+                    lim = np.partition(bounds, need - 1, axis=1)[:, need - 1] * (1 + SLACK) + SLACK
+                else:
+                    lim = np.full(len(dq), np.inf)
+                near = (~(dq - radii > lim[:, None])).astype("float32") @ member > 0
+                row, block = np.nonzero(near)
+                blocks = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(row, np.arange(len(dq) + 1)).astype("int32")), pa.array(block.astype("int32")))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lim), blocks],
+                                                 ["qid", "qvec", "lim", "blocks"])
+
+    return (queries.where(F.col("vec").isNotNull())
+            .select(F.col("qid").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("vec"))
+            .mapInArrow(run, "qid long, qvec array<double>, lim double, blocks array<int>"))
+
+
+def _block_nearest(pivots: list, cells: list, k: int, exclude_self: bool):
+    """Per pair of a query block and a point block: each query's k best points (distance,
+    then id) within its radius.
+
+    Matrix products of tiles, centred on the block, give every squared distance up to a
+    known rounding error; only points that could be among the k best by it get the exact
+    distance (of differences).  A query skips cells that its k best so far rule out."""
+    import numpy as np
+    import pyarrow as pa
+
+    radius = np.full(len(pivots), np.inf)
+    for c in cells:
+        radius[c["cell"]] = c["r"]
+    piv = np.asarray(pivots, dtype="float64")
+
+    def best_exact(qv, rv, rid, lim, i, j):
+        """The k best (i, j) of each i, with distances."""
+        d = np.empty(len(i))
+        for a in range(0, len(i), 1 << 15):
+            diff = rv[j[a:a + (1 << 15)]] - qv[i[a:a + (1 << 15)]]
+            d[a:a + (1 << 15)] = np.sqrt(np.einsum("rd,rd->r", diff, diff))
+        keep = d <= lim[i]
+        i, j, d = i[keep], j[keep], d[keep]
+        order = np.lexsort((rid[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[keep], j[keep], d[keep]
+
+    def tile(qv, qid, lim, qx, slack, q2, dq, segments, rv, rid, rx):
+        """(query, point, distance) of one tile of queries against all points."""
+        best = np.full((len(qv), k), np.inf, qx.dtype)
+        bound = lim * lim - q2 + slack
+        got = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0, qx.dtype)]
+        for c in np.argsort(dq.mean(axis=0)):
+            cell, start, end = segments[c]
+            reach = np.minimum(lim, np.sqrt(np.maximum(bound + q2, 0)) * (1 + SLACK) + SLACK)
+            act = np.flatnonzero(~(dq[:, c] - radius[cell] > reach))
+            for a in range(start, end if len(act) else start, TILE_POINTS):
+                b = min(a + TILE_POINTS, end)
+                sq = qx[act] @ rx[a:b].T
+                hit = sq <= bound[act, None]
+                rows = np.flatnonzero(hit.any(axis=1))
+                if not len(rows):
+                    continue
+                sq, hit = sq[rows], hit[rows]
+                i, j = np.nonzero(hit)
+                if exclude_self:
+                    own = rid[a + j] == qid[act[rows[i]]]
+                    hit[i[own], j[own]] = False
+                    i, j = i[~own], j[~own]
+                rows = act[rows]
+                best[rows] = np.partition(np.concatenate([best[rows], np.where(hit, sq, np.inf)], axis=1),
+                                          k - 1, axis=1)[:, :k]
+                bound[rows] = np.minimum(bound[rows], best[rows].max(axis=1) + 2 * slack[rows])
+                sq = sq[i, j]
+                keep = sq <= bound[rows[i]]
+                for held, new in zip(got, (rows[i], a + j, sq)):
+                    held.append(new[keep])
+                if sum(map(len, got[0])) > 1 << 20:         # many equal distances: settle them now
+                    i, j, sq = (np.concatenate(x) for x in got)
+                    keep = sq <= bound[i]
+                    i, j, _ = best_exact(qv, rv, rid, lim, i[keep], j[keep])
+                    got = [i], [j], [np.full(len(i), -np.inf, qx.dtype)]
+        i, j, sq = (np.concatenate(x) for x in got)
+        keep = sq <= bound[i]
+        return best_exact(qv, rv, rid, lim, i[keep], j[keep])
+
+    def run(_key, qt: pa.Table, rt: pa.Table) -> pa.Table:
+        out = [], [], []
+        if qt.num_rows and rt.num_rows:
+            cell = rt["cell"].to_numpy()
+            order = np.argsort(cell, kind="stable")
+            cell, rv, rid = cell[order], _matrix(rt["vec"])[order], rt["rid"].to_numpy()[order]
+            ids, starts = np.unique(cell, return_index=True)
+            segments = list(zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(cell)]))
+            qv, qid, lim = _matrix(qt["qvec"]), qt["qid"].to_numpy(), qt["lim"].to_numpy()
+            dq = _pivot_distances(piv[ids])(qv)
+            order = np.argsort(dq.argmin(axis=1), kind="stable")
+            qv, qid, lim, dq = qv[order], qid[order], lim[order], dq[order]
+            with np.errstate(all="ignore"):
+                whole = np.isfinite(rv).all(axis=1)
+                centre = rv[whole].mean(axis=0) if whole.any() else np.zeros(rv.shape[1])
+                qc, rc = qv - centre, rv - centre
+                q2, r2 = np.einsum("rd,rd->r", qc, qc), np.einsum("rd,rd->r", rc, rc)
+                top = np.sqrt(r2[whole].max(initial=0.0))
+                size = (np.sqrt(np.nan_to_num(q2).max()) + top) ** 2
+                kind = np.float32 if 1e-30 < size < 1e30 else np.float64
+                slack = 4 * (rv.shape[1] + 8) * float(np.finfo(kind).eps) * (np.sqrt(q2) + top) ** 2
+                qx = np.c_[-2 * qc, np.ones(len(qc))].astype(kind)
+                rx = np.c_[rc, r2].astype(kind)
+                for a in range(0, len(qv), TILE_QUERIES):
+                    t = slice(a, a + TILE_QUERIES)
+                    i, j, d = tile(qv[t], qid[t], lim[t], qx[t], slack[t], q2[t], dq[t], segments, rv, rid, rx)
+                    for held, new in zip(out, (qid[t][i], rid[j], d)):
+                        held.append(new)
+        none = np.zeros(0)
+        return pa.table({n: pa.array(np.concatenate([none, *x]) if n == "d" else np.concatenate([none.astype("int64"), *x]))
+                         for n, x in zip(("qid", "rid", "d"), out)})
+    return run
+
+
 def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = False,
-        n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+        n_pivots: int | None = None, block: int | None = None) -> DataFrame:
     """Exact k nearest reference points per query: (qid, rid, d, rank).
 
     queries: (qid, vec); ref: (rid, vec).  With ``exclude_self`` a reference point
@@ -324,24 +510,43 @@ def knn(queries: DataFrame, ref: DataFrame, k: int = 5, exclude_self: bool = Fal
     d(q, p_c) + d(x, p_c) over the cells' nearest-to-pivot points, an upper bound
     on the k-th neighbour distance by the triangle inequality.
 
-    A query is sent once to every cell its radius can reach, with the ring
-    interval of that cell's annulus; queries and reference points meet per cell
-    in a cogrouped ``applyInPandas``.  A cell with more than ``block`` points on
-    either side is split into sub-blocks (reference rows by hash, queries
-    replicated to each sub-block and vice versa), so no task holds more than a
-    block per side.
+    Neighbouring cells form blocks of ``block`` points (a sixteenth of the points; at
+    most 65,536 rows and 32 MB); a query is sent once to every block its radius can
+    reach.  Queries and points meet per block in a cogrouped ``applyInArrow``; a block
+    that more than ``block`` queries reach is sent to several tasks.  Where nothing can
+    be pruned (unit vectors of many dimensions) a row is so sent to 16 tasks, and the
+    pairs cost a matrix product each.  Of equal points only the least ids take part.
     """
-    need = k + (1 if exclude_self else 0)
-    assigned, pv, cs = build_index(ref, n_pivots, keep_k=need)
-    q = _query_pivot_dists(queries, pv).withColumn("_cs", cs)
-    bounds = F.array_sort(F.flatten(F.transform(
-        "_cs", lambda c: F.transform(F.coalesce(c["kd"], F.array().cast("array<double>")),
-                                     lambda v: F.col("dq")[c["cell"]] + v))))
-    q = q.withColumn("_u", F.coalesce(F.try_element_at(bounds, F.lit(need)), F.lit(float("inf"))))
-    lim = F.col("_u") * (1 + SLACK) + SLACK
-    pairs = _cell_blocks(q, assigned, lim, need, block)
-    if exclude_self:
-        pairs = pairs.where(F.col("qid") != F.col("rid"))
+    ids = ref.where(F.col("vec").isNotNull()).select(F.col("rid").cast("long").alias("rid"),
+                                                     F.col("vec").cast("array<double>").alias("vec"))
+    need = k
+    if exclude_self:                                        # an id may stand on several rows
+        queries = queries.where(F.col("qid").isNotNull())
+        ids = ids.where(F.col("rid").isNotNull())
+        need += ids.groupBy("rid").count().agg(F.max("count")).first()[0] or 0
+    least = Window.partitionBy("vec").orderBy("rid")
+    points = cut_lineage(ids.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= need).drop("_n"))
+    base, pivots, stats = _assigned_cells(points, n_pivots, 7, min(need, k + 8))
+    cells = stats.orderBy("cell").collect()                 # at most 512 rows
+    if not cells:
+        return points.sparkSession.createDataFrame([], "qid long, rid long, d double, rank int")
+    n = sum(c["n"] for c in cells)
+    block = block or max(1, min(max(1024, -(-n // KNN_SIDES)), KNN_ROWS, KNN_BYTES // (8 * max(1, len(pivots[0])))))
+    first, parts = _blocks(cells, pivots, block)
+    spark = points.sparkSession
+    probes = cut_lineage(_reached_blocks(queries, pivots, cells, first, parts, need))
+    asked = probes.select(F.explode("blocks").alias("blk")).groupBy("blk").count().collect()
+    shares = F.broadcast(spark.createDataFrame([(r["blk"], -(-r["count"] // block)) for r in asked], "blk int, qs int"))
+    layout = F.broadcast(spark.createDataFrame(
+        [(c["cell"], int(first[c["cell"]]), int(parts[c["cell"]])) for c in cells], "cell int, first int, parts int"))
+    r_side = (base.join(layout, on="cell")
+              .withColumn("blk", (F.col("first") + F.pmod(F.xxhash64("rid"), F.col("parts"))).cast("int"))
+              .join(shares, on="blk")
+              .select("blk", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("_qb"), "rid", "vec", "cell"))
+    q_side = (probes.select("qid", "qvec", "lim", F.explode("blocks").alias("blk")).join(shares, on="blk")
+              .select("blk", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int").alias("_qb"), "qid", "qvec", "lim"))
+    pairs = q_side.groupBy("blk", "_qb").cogroup(r_side.groupBy("blk", "_qb")).applyInArrow(
+        _block_nearest(pivots, cells, k, exclude_self), PAIR_SCHEMA)
     w = Window.partitionBy("qid").orderBy("d", "rid")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("qid", "rid", "d", "rank"))

@@ -167,3 +167,36 @@ def test_dbscan_far_apart_dense_cells_cost_no_point_pairs(spark, monkeypatch):
         y = np.array(left + [(gap + a, b) for a, b in left])
         pts = spark.createDataFrame(pd.DataFrame({"pid": range(len(y)), "vec": list(y)}))
         assert dbscan(pts, 0.3, 5).select("cluster").distinct().count() == clusters
+
+
+def test_knn_repeated_ids_and_many_equal_points(spark):
+    """A row's own id stands on several rows and most points are equal: neighbours are the
+    nearest rows of other ids, far from the origin too."""
+    rng = np.random.default_rng(8)
+    pts = np.concatenate([np.round(rng.normal(0, 1, (120, 12)), 2), np.full((200, 12), 0.5)]) + 1e6
+    ids = np.r_[np.arange(310), np.arange(10)]
+    pts[310:] = pts[:10]
+    df = pd.DataFrame({"id": ids, "vec": list(pts)})
+    r = spark.createDataFrame(df.rename(columns={"id": "rid"}))
+    q = spark.createDataFrame(df.iloc[:310].rename(columns={"id": "qid"}))
+    got = knn(q, r, 3, exclude_self=True, block=40).toPandas()
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    for i in range(310):
+        row = np.where(ids == i, np.inf, d[i])
+        exp = ids[np.lexsort((ids, row))][:3].tolist()
+        assert got[got.qid == i].sort_values("rank").rid.tolist() == exp
+
+
+def test_knn_sends_a_row_to_few_tasks(spark):
+    """Where no cell can be ruled out a row goes to 16 blocks, not to every cell."""
+    from tabsense.operators import neighbors as N
+
+    x = np.random.default_rng(9).normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cells = [{"cell": c, "n": 40, "r": 1.3, "kd": [0.9] * 5} for c in range(500)]
+    pivots = x[:500].tolist()
+    first, parts = N._blocks(cells, pivots, 1250)
+    assert parts.max() == 1 and first.max() < 20
+    q = spark.createDataFrame(pd.DataFrame({"qid": range(50), "vec": list(x[500:550])}))
+    sent = N._reached_blocks(q, pivots, cells, first, parts, 5).select(F.size("blocks")).distinct().collect()
+    assert [r[0] for r in sent] == [int(first.max()) + 1]
