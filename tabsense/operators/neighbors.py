@@ -327,17 +327,20 @@ KNN_SIDES, KNN_ROWS, KNN_BYTES = 16, 1 << 16, 32 << 20
 TILE_QUERIES, TILE_POINTS = 512, 2048
 
 
-def _matrix(vecs):
-    """Arrow lists of doubles as a matrix; a missing entry is NaN."""
+def _matrices():
+    """A function for tasks (which need not import this module): Arrow lists of doubles as
+    a matrix; a missing entry is NaN."""
     import numpy as np
 
-    vecs = vecs.combine_chunks() if hasattr(vecs, "combine_chunks") else vecs
-    if not len(vecs):
-        return np.zeros((0, 0))
-    sizes = vecs.value_lengths().to_numpy()
-    if (sizes != sizes[0]).any():
-        raise ValueError("vectors of different lengths")
-    return vecs.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(len(vecs), -1)
+    def matrix(vecs):
+        vecs = vecs.combine_chunks() if hasattr(vecs, "combine_chunks") else vecs
+        if not len(vecs):
+            return np.zeros((0, 0))
+        sizes = vecs.value_lengths().to_numpy()
+        if (sizes != sizes[0]).any():
+            raise ValueError("vectors of different lengths")
+        return vecs.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(len(vecs), -1)
+    return matrix
 
 
 def _blocks(cells: list, pivots: list, block: int):
@@ -367,7 +370,7 @@ def _reached_blocks(queries: DataFrame, pivots: list, cells: list, first, parts,
     import numpy as np
     import pyarrow as pa
 
-    dists = _pivot_distances(pivots)
+    dists, matrix = _pivot_distances(pivots), _matrices()
     ids = np.array([c["cell"] for c in cells])
     radii = np.array([c["r"] for c in cells], dtype="float64")
     owner = np.array([i for i, c in enumerate(cells) for _ in c["kd"] or []], dtype="int64")
@@ -381,7 +384,7 @@ def _reached_blocks(queries: DataFrame, pivots: list, cells: list, first, parts,
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                dq = dists(_matrix(part.column(1)))[:, ids]
+                dq = dists(matrix(part.column(1)))[:, ids]
                 if len(offset) >= need:
                     bounds = dq[:, owner] + offset
                     lim = np.partition(bounds, need - 1, axis=1)[:, need - 1] * (1 + SLACK) + SLACK
@@ -412,7 +415,7 @@ def _block_nearest(pivots: list, cells: list, k: int, exclude_self: bool):
     radius = np.full(len(pivots), np.inf)
     for c in cells:
         radius[c["cell"]] = c["r"]
-    piv = np.asarray(pivots, dtype="float64")
+    piv, matrix = np.asarray(pivots, dtype="float64"), _matrices()
 
     def best_exact(qv, rv, rid, lim, i, j):
         """The k best (i, j) of each i, with distances."""
@@ -471,11 +474,11 @@ def _block_nearest(pivots: list, cells: list, k: int, exclude_self: bool):
         if qt.num_rows and rt.num_rows:
             cell = rt["cell"].to_numpy()
             order = np.argsort(cell, kind="stable")
-            cell, rv, rid = cell[order], _matrix(rt["vec"])[order], rt["rid"].to_numpy()[order]
+            cell, rv, rid = cell[order], matrix(rt["vec"])[order], rt["rid"].to_numpy()[order]
             ids, starts = np.unique(cell, return_index=True)
             segments = list(zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(cell)]))
-            qv, qid, lim = _matrix(qt["qvec"]), qt["qid"].to_numpy(), qt["lim"].to_numpy()
-            dq = _pivot_distances(piv[ids])(qv)
+            qv, qid, lim = matrix(qt["qvec"]), qt["qid"].to_numpy(), qt["lim"].to_numpy()
+            dq = np.stack([np.sqrt(np.einsum("rd,rd->r", qv - p, qv - p)) for p in piv[ids]], axis=1)
             order = np.argsort(dq.argmin(axis=1), kind="stable")
             qv, qid, lim, dq = qv[order], qid[order], lim[order], dq[order]
             with np.errstate(all="ignore"):
